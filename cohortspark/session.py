@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +40,13 @@ def scratch_dir(spark: SparkSession) -> str:
     On a cluster this is ``spark.checkpoint.dir``.  Only a local master may fall
     back to a folder of this machine; executors elsewhere could not read it.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    current = context.getCheckpointDir()
     if configured:
+        if not current:
+            context.setCheckpointDir(configured)
         return configured
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
     if current:
         return current
     if not context.master.startswith("local"):
@@ -52,6 +55,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{scratch_dir(spark).rstrip('/')}/cohortspark-{name}-{uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it on shared storage, lineage cut.
 
