@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INFINITY = float("inf")
@@ -29,11 +27,6 @@ def log_if_positive(value: Column, base: int | None = None) -> Column:
     return F.when(value > 0, log)
 
 
-def polynomial(x: Column, coefficients: list[float]) -> Column:
-    """Horner evaluation, highest power first."""
-    return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
-
-
 def hash_order(seed: int, *parts: str) -> Column:
     """A text that orders rows pseudo-randomly but reproducibly."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]))
@@ -62,27 +55,48 @@ _FAR_DEN = [1.0, 2.56852019228982242, 1.87295284992346725, 5.27905102951428412e-
 _INV_SQRT_PI = 5.6418958354775628695e-1
 
 
-def erfc(x: Column) -> Column:
-    """Complementary error function as a plain expression (no Python workers)."""
-    y = F.abs(x)
-    square = x * x
-    near = 1 - x * polynomial(square, _ERF_NUM) / polynomial(square, _ERF_DEN)
-    middle = F.exp(-square) * polynomial(y, _MID_NUM) / polynomial(y, _MID_DEN)
-    inverse = 1 / F.when(y > 4, square).otherwise(F.lit(16.0))
-    far = F.exp(-square) / F.greatest(y, F.lit(1.0)) * (
-        _INV_SQRT_PI - inverse * polynomial(inverse, _FAR_NUM) / polynomial(inverse, _FAR_DEN)
-    )
-    tail = F.when(y <= 4, middle).otherwise(far)
-    return F.when(y <= 0.46875, near).when(x < 0, 2 - tail).otherwise(tail)
+def _number(value: float) -> str:
+    return f"{value!r}D".upper()
+
+
+def _horner(x: str, coefficients: list[float]) -> str:
+    text = _number(coefficients[0])
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + {_number(c)})"
+    return text
+
+
+def _rational(x: str, numerator: list[float], denominator: list[float]) -> str:
+    return f"{_horner(x, numerator)} / {_horner(x, denominator)}"
+
+
+def _erfc_text(name: str) -> str:
+    """SQL text of erfc of a column; kept to plain columns because it repeats them."""
+    x = f"`{name}`"
+    square, y = f"({x} * {x})", f"abs({x})"
+    inverse = f"(1 / (CASE WHEN {y} > 4 THEN {square} ELSE 16D END))"
+    near = f"1 - {x} * {_rational(square, _ERF_NUM, _ERF_DEN)}"
+    middle = f"exp(-{square}) * {_rational(y, _MID_NUM, _MID_DEN)}"
+    far = f"exp(-{square}) / greatest({y}, 1D) * ({_number(_INV_SQRT_PI)} - {inverse} * {_rational(inverse, _FAR_NUM, _FAR_DEN)})"
+    tail = f"(CASE WHEN {y} <= 4 THEN {middle} ELSE {far} END)"
+    return f"(CASE WHEN {y} <= 0.46875D THEN {near} WHEN {x} < 0 THEN 2 - {tail} ELSE {tail} END)"
+
+
+def erfc(name: str) -> Column:
+    """Complementary error function of a column, without Python workers."""
+    return F.expr(_erfc_text(name))
 
 
-_INV_SQRT_2 = 0.5**0.5
+_SQRT_2 = 2.0**0.5
 
 
-def normal_cdf(z: Column) -> Column:
-    return 0.5 * erfc(-z * _INV_SQRT_2)
+def with_normal_cdf(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add ``target = P(Z <= source)`` for each target and source column."""
+    scaled = df.withColumns({f"_x_{t}": -F.col(c) / _SQRT_2 for t, c in columns.items()})
+    return scaled.withColumns({t: 0.5 * erfc(f"_x_{t}") for t in columns}).drop(*[f"_x_{t}" for t in columns])
 
 
-def normal_two_sided(z: Column) -> Column:
-    """P(|Z| >= z) for z >= 0."""
-    return erfc(z * _INV_SQRT_2)
+def with_normal_two_sided(df: DataFrame, source: str, target: str) -> DataFrame:
+    """Add ``target = P(|Z| >= source)``; 1 where the source is not positive."""
+    scaled = df.withColumn("_x", F.greatest(F.col(source), F.lit(0.0)) / _SQRT_2)
+    return scaled.withColumn(target, F.least(F.lit(1.0), erfc("_x"))).drop("_x")

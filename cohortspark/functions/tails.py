@@ -194,7 +194,7 @@ def ks_two_sample_tail(d: float, n1: int, n2: int) -> float:
     n1, n2 = int(n1), int(n2)
     if max(n1, n2) > EXACT_TWO_SAMPLE:
         return ks_one_sample_tail(d, int(round(n1 * n2 / (n1 + n2))))
-    return _lattice_exit(n1, n2, int(round(d * n1 * n2)))
+    return _lattice_exit(min(n1, n2), max(n1, n2), int(round(d * n1 * n2)))
 
 
 def _lattice_exit(n1: int, n2: int, height: int) -> float:

@@ -93,7 +93,7 @@ def with_rank_sum(table: DataFrame, exact: bool) -> DataFrame:
     # All values equal (sd 0): no evidence either way.
     z = F.coalesce(ratio(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, F.col("_sd")), F.lit(0.0))
     table = table.withColumn("_z", z)
-    table = table.withColumn("u_p", F.when(u.isNotNull(), F.least(F.lit(1.0), numeric.normal_two_sided(F.col("_z")))))
+    table = numeric.with_normal_two_sided(table, "_z", "u_p").withColumn("u_p", F.when(u.isNotNull(), F.col("u_p")))
     if exact:
         small = (F.col("_ties") == 0) & (F.least("n_neg", "n_pos") <= EXACT_RANK_SUM) & (n1 * n2 <= EXACT_RANK_SUM_CELLS)
         counted = pvalues.rank_sum_exact(F.when(small, u), F.col("n_neg"), F.col("n_pos"))
@@ -161,15 +161,15 @@ def _with_fitted_normal(layout: OrderedGroups) -> OrderedGroups:
 
     Built in steps so that each long expression reads plain columns.
     """
-    z, cdf, gap = {}, {}, {}
+    z, gap = {}, {}
     for g in GROUPS:
         sd = F.sqrt(ratio(F.col(f"m2_{g}"), F.col(f"t_{g}")))
         z[f"z_{g}"] = ratio(F.col("v") - F.col(f"mean_{g}"), sd)
-        cdf[f"cdf_{g}"] = numeric.normal_cdf(F.col(f"z_{g}"))
         n, total, after, fitted = (F.col(f"{part}_{g}") for part in ("n", "t", "c", "cdf"))
         above, below = ratio(after, total) - fitted, fitted - ratio(after - n, total)
         gap[f"gap_{g}"] = F.when(n > 0, F.greatest(above, below))
-    return layout.with_columns(z).with_columns(cdf).with_columns(gap)
+    rows = numeric.with_normal_cdf(layout.rows.withColumns(z), {f"cdf_{g}": f"z_{g}" for g in GROUPS})
+    return layout.replace(rows.withColumns(gap))
 
 
 def mann_whitney(df: DataFrame, keys: list[str], value: str, positive: Column, **options) -> DataFrame:

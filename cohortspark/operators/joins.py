@@ -12,6 +12,7 @@ from cohortspark.session import materialise
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
+HEAVY_ROWS = 5_000_000
 
 Pairs = list[str] | list[tuple[str, str]]
 
@@ -24,30 +25,45 @@ def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
 
 
 def lookup_join(
-    big: DataFrame, small: DataFrame, on: Pairs, how: str = "left", max_rows: int = BROADCAST_ROWS, condition: Column | None = None
+    big: DataFrame, small: DataFrame, on: Pairs, how: str = "left", max_rows: int = BROADCAST_ROWS, condition: Column | None = None,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Join ``big`` to a table that is expected to be much smaller.
 
     The small side is computed once and measured.  Within the bounds it is broadcast.
-    Beyond them the join is salted: each row of ``big`` goes to one of ``SALTS``
-    places by a hash of its whole content, the small side is repeated for each, so a
-    key holding a large share of ``big`` is spread over that many tasks.
+    Beyond them the sides are shuffled, and keys with at least ``heavy_rows`` rows in
+    ``big`` are salted: their rows are spread over ``SALTS`` tasks by a hash of the
+    whole row and only their partners are repeated.  There are at most
+    rows / ``heavy_rows`` such keys, which bounds what is broadcast to mark them.
     ``on`` lists shared names or (big, small) pairs; the small side's key columns are
     dropped from the result.
     """
     pairs = [(c, c) if isinstance(c, str) else c for c in on]
+    mine, theirs = [b for b, _ in pairs], [f"_on_{i}" for i in range(len(pairs))]
     small = materialise(small)
-    renamed = small.withColumnsRenamed({s: f"_on_{i}" for i, (_, s) in enumerate(pairs)})
-    match = [F.col(f"`{b}`") == F.col(f"_on_{i}") for i, (b, _) in enumerate(pairs)]
+    renamed = small.withColumnsRenamed({s: t for (_, s), t in zip(pairs, theirs)})
+    match = [F.col(f"`{b}`") == F.col(t) for b, t in zip(mine, theirs)]
     if condition is not None:
         match.append(condition)
     if fits_broadcast(small, max_rows):
-        return big.join(F.broadcast(renamed), _all(match), how).drop(*[f"_on_{i}" for i in range(len(pairs))])
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)).cast("int"))
-    repeated = renamed.withColumn("_salt_s", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        return big.join(F.broadcast(renamed), _all(match), how).drop(*theirs)
+
+    heavy = big.groupBy(*[F.col(f"`{b}`").alias(f"_h{i}") for i, b in enumerate(mine)]).count().where(F.col("count") >= heavy_rows)
+    heavy = materialise(heavy.select(*[f"_h{i}" for i in range(len(pairs))], F.lit(True).alias("_heavy")))
+    if heavy.isEmpty():
+        return big.join(renamed, _all(match), how).drop(*theirs)
+
+    def marked(side: DataFrame, names: list[str]) -> DataFrame:
+        equal = [F.col(f"`{n}`") == F.col(f"_h{i}") for i, n in enumerate(names)]
+        return side.join(F.broadcast(heavy), _all(equal), "left").drop(*[f"_h{i}" for i in range(len(names))])
+
+    row_salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)).cast("int")
+    salted = marked(big, mine).withColumn("_salt", F.when(F.col("_heavy"), row_salt).otherwise(0)).drop("_heavy")
+    all_salts, only_first = F.array(*[F.lit(i) for i in range(SALTS)]), F.array(F.lit(0))
+    repeated = marked(renamed, theirs)
+    repeated = repeated.withColumn("_salt_s", F.explode(F.when(F.col("_heavy"), all_salts).otherwise(only_first))).drop("_heavy")
     match.append(F.col("_salt") == F.col("_salt_s"))
-    joined = salted.join(repeated, _all(match), how)
-    return joined.drop("_salt", "_salt_s", *[f"_on_{i}" for i in range(len(pairs))])
+    return salted.join(repeated, _all(match), how).drop("_salt", "_salt_s", *theirs)
 
 
 def _all(conditions: list[Column]) -> Column:

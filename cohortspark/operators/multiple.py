@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.joins import lookup_join
 from cohortspark.operators.ordered import Running, Total, ordered_groups
+from cohortspark.session import materialise
 
 METHODS = ("fdr_bh", "fdr_by", "bonferroni", "holm")
 
@@ -50,7 +51,8 @@ def adjust_pvalues(
         if method == "fdr_by":
             scaled = scaled * _harmonic(m)
         layout = layout.compute(q=Running(scaled, "min", backward=True))
-    corrected = layout.frame().select(*by, "test", "p", F.least(F.lit(1.0), F.col("q")).alias("q"))
+    # Read once per corrected column.
+    corrected = materialise(layout.frame().select(*by, "test", "p", F.least(F.lit(1.0), F.col("q")).alias("q")))
 
     for column in columns:
         name = f"{prefix}{column}"

@@ -94,10 +94,11 @@ class OrderedGroups:
         for name, spec in wanted.items():
             if isinstance(spec, Total):
                 over = partition
-            elif spec.backward:
-                over = partition.orderBy(*self.order).rowsBetween(0, Window.unboundedFollowing)
             else:
-                over = partition.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+                # A frame that grows is one pass; one that shrinks would start over
+                # for every row, so backward means forward in descending order.
+                ends = [F.desc(c) if spec.backward else F.asc(c) for c in self.order]
+                over = partition.orderBy(*ends).rowsBetween(Window.unboundedPreceding, 0)
             local[name] = _COMBINE[spec.how](f"_in_{name}").over(over)
         if not self.sliced:
             return self.replace(rows.withColumns(local).drop(*inputs))

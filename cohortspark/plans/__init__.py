@@ -1 +1,6 @@
 """Worked queries over the test tables."""
+
+from cohortspark.plans import cohort_queries, model_queries, stat_queries
+from cohortspark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "cohort_queries", "model_queries", "stat_queries"]
