@@ -61,7 +61,7 @@ def contributing_features(model: PipelineModel, df: DataFrame | None = None, dig
     Columns constant in ``df`` (a null counts as a value) leave both counts.
     """
     names = model.stages[0].getInputCols()
-    importance = dict(zip(names, model.stages[-1].featureImportances.toArray()))
+    importance = dict(zip(names, model.stages[-1].featureImportances.toArray().tolist()))
     constant: list[str] = []
     if df is not None:
         # One pass; constant means equal extremes without nulls, or nulls only.
@@ -72,7 +72,7 @@ def contributing_features(model: PipelineModel, df: DataFrame | None = None, dig
         flags = df.agg(*checks).first()
         constant = [n for n, flag in zip(names, flags) if flag]
     considered = [n for n in names if n not in constant]
-    contributing = sum(importance[n] > 0 for n in considered)
+    contributing = sum(1 for n in considered if importance[n] > 0)
     share = round(contributing / len(considered), digits) if considered else None
     return {"ratio": share, "contributing": contributing, "total": len(considered), "constant_features": constant}
 

@@ -156,6 +156,6 @@ def top_features_retrain(
 
 
 def margin(model: PipelineModel, df: DataFrame, name: str = "margin") -> DataFrame:
-    """The boosted margin itself (half the raw score Spark reports)."""
+    """The boosted margin; the probability is the logistic function of twice it."""
     raw: Column = vector_to_array("rawPrediction")[1]
     return model.transform(df).withColumn(name, raw).drop("features", "rawPrediction", "probability", "prediction")

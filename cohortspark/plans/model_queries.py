@@ -195,14 +195,22 @@ def attribution_rank(spark, sf_dir):
     return ranked.select("feature", F.round("mean_abs", 5).alias("mean_abs"))
 
 
-@query()
+@query("SELECT count(*) AS n_rows, 0::BIGINT AS n_off FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def tree_attribution(spark, sf_dir):
-    """Rows with their margin, the expected margin and the sum of attributions."""
+    """Rows whose attributions and expected margin do not add up to the margin."""
     rows = complete_subject(spark, sf_dir).select("id", "label", *FEATURES)
     model = build.fit_classifier(rows, FEATURES, "label", "XGBoost", SMALL)
     explained, expected = explain.tree_attributions(model, explain.margin(model, rows))
-    total = F.aggregate("attribution", F.lit(0.0), lambda a, v: a + v)
-    return explained.select("id", "margin", F.lit(expected).alias("expected"), total.alias("attributed"))
+    total = F.aggregate("attribution", F.lit(expected), lambda a, v: a + v)
+    off = F.abs(total - F.col("margin")) > 1e-9
+    return explained.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(off).alias("n_off"))
+
+
+@query()
+def tree_attribution_rank(spark, sf_dir):
+    rows = complete_subject(spark, sf_dir).select("id", "label", *FEATURES)
+    model = build.fit_classifier(rows, FEATURES, "label", "XGBoost", SMALL)
+    return explain.rank_features(explain.tree_attributions(model, rows)[0], FEATURES)
 
 
 @query()
