@@ -109,8 +109,7 @@ def _matrix_ks_cdf(n: int, d: float) -> float:
     if 2 * h - 1 > 0:
         matrix[-1, 0] += (2 * h - 1) ** m
     gap = np.arange(m)[:, None] - np.arange(m)[None, :] + 1
-    factorial = np.cumprod(np.concatenate([[1.0], np.arange(1, m + 1)]))
-    matrix = np.where(gap > 0, matrix / factorial[np.clip(gap, 0, m)], matrix)
+    matrix = np.where(gap > 0, matrix * np.exp(-_lgamma(np.clip(gap, 0, m) + 1.0)), matrix)
 
     result, exponent = np.eye(m), 0
     base, base_exponent, left = matrix, 0, n
