@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.numeric import is_finite, log_if_positive, ratio
+from cohortspark.functions.numeric import INFINITY, log_if_positive, ratio
 from cohortspark.operators.clean import column
 
 # Columns never combined, columns that give the target away, and the
@@ -35,20 +34,32 @@ def feature_expressions(bases: list[str]) -> dict[str, Column]:
     return made
 
 
-def _all_finite(bases: list[str]) -> Column:
-    """Whether every generated feature of a row is finite, decided on the bases.
+SAFE_DIVISOR = 1e-150
+"""No ratio overflows above this, given that every square is finite."""
 
-    A finite logarithm needs x > 0, and for positive finite numbers the roots and
-    logarithms exist, so only overflow is left: no product exceeds the square of the
-    greatest base, and no ratio with a given divisor exceeds the one of the greatest
-    base before it.  A few comparisons per base replace one test per feature.
+
+def finite_rows(df: DataFrame, bases: list[str]) -> DataFrame:
+    """Rows whose every generated feature is finite, decided on the bases.
+
+    A finite logarithm needs a positive number, and then the roots exist too, so only
+    overflow is left.  No product exceeds the square of the greatest base; and a ratio
+    can overflow only for a divisor so small that the (rare) pairwise look is taken,
+    where the dividend to beat is the greatest base before the divisor.  A few
+    comparisons per row replace one test per generated column.
     """
     numbers = [column(b).cast("double") for b in sorted(bases)]
-    rules = [is_finite(x) & (x > 0) for x in numbers] + [is_finite(x * x) for x in numbers]
-    for j in range(1, len(numbers)):
-        greatest = F.greatest(*numbers[:j]) if j > 1 else numbers[0]
-        rules.append(is_finite(ratio(greatest, numbers[j])))
-    return reduce(lambda a, b: a & b, rules)
+    known = df.na.drop("any", subset=bases)  # null and NaN
+    least, greatest = (F.least(*numbers), F.greatest(*numbers)) if len(numbers) > 1 else (numbers[0], numbers[0])
+    bounded = (least > 0) & (greatest * greatest < F.lit(INFINITY))
+    pairwise = F.aggregate(
+        F.array(*numbers),
+        F.struct(F.lit(0.0).alias("top"), F.lit(True).alias("ok")),
+        lambda s, x: F.struct(
+            F.greatest(s["top"], x).alias("top"), (s["ok"] & F.coalesce(F.try_divide(s["top"], x) < INFINITY, F.lit(False))).alias("ok")
+        ),
+        lambda s: s["ok"],
+    )
+    return known.where(bounded & ((least > SAFE_DIVISOR) | pairwise))
 
 
 def generate_interactions(
@@ -62,7 +73,7 @@ def generate_interactions(
     df = df.withColumn(code_column, F.lit(code))
     bases = [c for c in df.columns if c not in exclude]
     made = feature_expressions(bases)
-    kept = df.where(_all_finite(bases)) if bases else df
+    kept = finite_rows(df, bases) if bases else df
     names = sorted([*df.columns, *made])
     return kept.select(*[made[n].alias(n) if n in made else column(n) for n in names])
 

@@ -14,58 +14,69 @@ from pyspark.sql import functions as F
 from cohortspark.functions import numeric, pvalues
 from cohortspark.functions.numeric import ratio
 from cohortspark.functions.tails import EXACT_RANK_SUM, EXACT_RANK_SUM_CELLS
+from cohortspark.operators.joins import lookup_join
 from cohortspark.operators.ordered import OrderedGroups, Running, Total, ordered_groups
+from cohortspark.session import materialise
 
 GROUPS = ("neg", "pos")
 
 
-def group_counts(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    positive: Column,
-    max_group_rows: int | None = None,
-    sums: bool = False,
-) -> OrderedGroups:
-    """Counts of negatives and positives at each distinct value, cumulated.
+def labelled_values(df: DataFrame, keys: list[str], value: str, positive: Column) -> DataFrame:
+    """``v`` and ``_pos``; rows with a null or NaN value or an undecided group are left out."""
+    rows = df.select(*keys, F.col(value).cast("double").alias("v"), positive.cast("boolean").alias("_pos"))
+    return rows.where(F.col("v").isNotNull() & ~F.isnan("v") & F.col("_pos").isNotNull())
 
-    Columns: ``n_*`` at the value, ``c_*`` up to and including it, ``t_*`` in the
-    whole key, with ``sums`` also ``s_*``, the sum of the group's values.  Rows with a null or NaN value, or an undecided group, are left out.
+
+def group_moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Size, mean and squared deviations of both groups: one row per key, kept.
+
+    Partial aggregation makes this cheap, and it doubles as the measurement that
+    decides how the rows are laid out.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("v"), positive.cast("boolean").alias("_pos"))
-    rows = rows.where(F.col("v").isNotNull() & ~F.isnan("v") & F.col("_pos").isNotNull())
-    layout = ordered_groups(
-        rows,
-        keys,
-        ["v"],
-        {"n_neg": F.count_if(~F.col("_pos")), "n_pos": F.count_if(F.col("_pos"))},
-        max_group_rows,
-    )
-    wanted = {}
-    for g in GROUPS:
-        wanted |= {f"c_{g}": Running(F.col(f"n_{g}")), f"t_{g}": Total(F.col(f"n_{g}"))}
-        if sums:
-            wanted[f"s_{g}"] = Total(F.col(f"n_{g}") * F.col("v"))
-    return layout.compute(**wanted)
+    aggregates = []
+    for g, member in (("neg", ~F.col("_pos")), ("pos", F.col("_pos"))):
+        inside = F.when(member, F.col("v"))
+        aggregates += [
+            F.count(inside).alias(f"t_{g}"),
+            F.sum(inside).alias(f"s_{g}"),
+            F.avg(inside).alias(f"mean_{g}"),
+            (F.var_pop(inside) * F.count(inside)).alias(f"m2_{g}"),
+        ]
+    return materialise(rows.groupBy(*keys).agg(*aggregates))
 
 
-def with_moments(layout: OrderedGroups) -> OrderedGroups:
-    """Add the group means and squared deviations (a second pass, no cancellation)."""
-    layout = layout.with_columns({f"mean_{g}": ratio(F.col(f"s_{g}"), F.col(f"t_{g}")) for g in GROUPS})
-    return layout.compute(
-        **{f"m2_{g}": Total(F.col(f"n_{g}") * (F.col("v") - F.col(f"mean_{g}")) ** 2) for g in GROUPS}
-    )
+def counted_layout(
+    rows: DataFrame, keys: list[str], moments: DataFrame | None = None, max_group_rows: int | None = None
+) -> OrderedGroups:
+    """Counts ``n_*`` of both groups at each distinct value and running counts ``c_*``."""
+    sizes = None
+    if moments is not None:
+        per_key = F.col("t_neg") + F.col("t_pos")
+        sizes = tuple(moments.agg(F.max(per_key), F.sum(per_key)).first())
+    counts = {"n_neg": F.count_if(~F.col("_pos")), "n_pos": F.count_if(F.col("_pos"))}
+    layout = ordered_groups(rows, keys, ["v"], counts, max_group_rows, sizes)
+    return layout.compute(**{f"c_{g}": Running(F.col(f"n_{g}")) for g in GROUPS})
 
 
-def _value_at(position: Column, group: str) -> Column:
-    """Aggregate: the value at a 0-based position among one group's sorted values."""
-    after, at = F.col(f"c_{group}"), F.col(f"n_{group}")
-    return F.max(F.when((after - at <= position) & (position < after), F.col("v")))
+def attach_moments(counts: DataFrame, moments: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Put a key's moments on each of its rows."""
+    if not keys:
+        row = moments.first()
+        return counts.withColumns({c: F.lit(row[c]) for c in columns})
+    return lookup_join(counts, moments.select(*keys, *columns), keys, "inner", null_safe=True, kept=True)
 
 
-def _median(group: str) -> Column:
-    middle = (F.col(f"t_{group}") - 1) / 2
-    return (_value_at(F.floor(middle), group) + _value_at(F.ceil(middle), group)) / 2
+def group_counts(
+    df: DataFrame, keys: list[str], value: str, positive: Column, max_group_rows: int | None = None
+) -> DataFrame:
+    """Counts of negatives and positives at each distinct value ``v``, cumulated.
+
+    Columns: ``n_*`` at the value, ``c_*`` up to and including it, ``t_*`` in the
+    whole key.
+    """
+    rows = labelled_values(df, keys, value, positive)
+    layout = counted_layout(rows, keys, None, max_group_rows)
+    return layout.compute(**{f"t_{g}": Total(F.col(f"n_{g}")) for g in GROUPS}).frame()
 
 
 def rank_sum_aggregates() -> dict[str, Column]:
@@ -127,23 +138,33 @@ def two_group_tests(
     ``t`` Welch, ``ks1`` each group against a normal with that group's own mean and
     population sd, ``ks2`` between the groups.  One layout of the data serves all.
     """
-    layout = with_moments(group_counts(df, keys, value, positive, max_group_rows, sums=True))
-    aggregates = {}
+    rows = labelled_values(df, keys, value, positive)
+    moments = group_moments(rows, keys)
+    ordered = counted_layout(rows, keys, moments, max_group_rows).frame()
+
+    placed = ["t_neg", "t_pos"] + (["mean_neg", "m2_neg", "mean_pos", "m2_pos"] if "ks1" in tests else [])
+    counts = attach_moments(ordered, moments, keys, placed)
+    derived, aggregates = {}, {}
     for g in GROUPS:
-        aggregates[f"n_{g}"] = F.max(f"t_{g}")
-        aggregates[f"sum_{g}"] = F.max(f"s_{g}")
-        aggregates[f"mean_{g}"] = F.max(f"mean_{g}")
-        aggregates[f"sd_{g}"] = F.max(F.sqrt(ratio(F.col(f"m2_{g}"), F.col(f"t_{g}") - 1)))
-        aggregates[f"med_{g}"] = _median(g)
+        derived[f"mid_{g}"] = _middle(g)
+        aggregates[f"med_{g}"] = (F.min(f"mid_{g}") + F.max(f"mid_{g}")) / 2
     if "u" in tests:
         aggregates |= rank_sum_aggregates()
     if "ks2" in tests:
-        aggregates["ks_d"] = F.max(F.abs(ratio(F.col("c_neg"), F.col("t_neg")) - ratio(F.col("c_pos"), F.col("t_pos"))))
+        derived["gap"] = _between_groups()
+        aggregates["ks_d"] = F.max("gap")
+    counts = counts.withColumns(derived)
     if "ks1" in tests:
-        layout = _with_fitted_normal(layout)
+        counts = _with_fitted_normal(counts)
         aggregates |= {f"ks_d_{g}": F.max(f"gap_{g}") for g in GROUPS}
-    table = layout.frame().groupBy(*keys).agg(*[c.alias(name) for name, c in aggregates.items()])
+    ranked = counts.groupBy(*keys).agg(*[c.alias(name) for name, c in aggregates.items()])
 
+    table = attach_moments(ranked, moments, keys, [c for c in moments.columns if c not in keys])
+    renames = {}
+    for g in GROUPS:
+        table = table.withColumn(f"sd_{g}", F.sqrt(ratio(F.col(f"m2_{g}"), F.col(f"t_{g}") - 1))).drop(f"m2_{g}")
+        renames |= {f"t_{g}": f"n_{g}", f"s_{g}": f"sum_{g}"}
+    table = table.withColumnsRenamed(renames)
     if "u" in tests:
         table = with_rank_sum(table, exact_rank_sum)
     if "t" in tests:
@@ -156,28 +177,45 @@ def two_group_tests(
     return table
 
 
-def _with_fitted_normal(layout: OrderedGroups) -> OrderedGroups:
+def _middle(group: str) -> Column:
+    """The value where a row holds one of the group's middle positions."""
+    total, after, n = F.col(f"t_{group}"), F.col(f"c_{group}"), F.col(f"n_{group}")
+    return F.when((n > 0) & (2 * after >= total) & (2 * (after - n) <= total), F.col("v"))
+
+
+def _between_groups() -> Column:
+    """Distance of the two distribution functions at a value."""
+    return F.abs(ratio(F.col("c_neg"), F.col("t_neg")) - ratio(F.col("c_pos"), F.col("t_pos")))
+
+
+def _with_fitted_normal(counts: DataFrame) -> DataFrame:
     """Distance of each group's distribution function from its fitted normal, per value.
 
-    Built in steps so that each long expression reads plain columns.
+    Built in steps so that each long expression reads plain columns, and null where
+    the group has no such value, which skips the work.
     """
     z, gap = {}, {}
     for g in GROUPS:
-        sd = F.sqrt(ratio(F.col(f"m2_{g}"), F.col(f"t_{g}")))
-        z[f"z_{g}"] = ratio(F.col("v") - F.col(f"mean_{g}"), sd)
         n, total, after, fitted = (F.col(f"{part}_{g}") for part in ("n", "t", "c", "cdf"))
-        above, below = ratio(after, total) - fitted, fitted - ratio(after - n, total)
-        gap[f"gap_{g}"] = F.when(n > 0, F.greatest(above, below))
-    rows = numeric.with_normal_cdf(layout.rows.withColumns(z), {f"cdf_{g}": f"z_{g}" for g in GROUPS})
-    return layout.replace(rows.withColumns(gap))
+        sd = F.sqrt(ratio(F.col(f"m2_{g}"), total))
+        z[f"z_{g}"] = F.when(n > 0, ratio(F.col("v") - F.col(f"mean_{g}"), sd))
+        gap[f"gap_{g}"] = F.greatest(after / total - fitted, fitted - (after - n) / total)
+    gap = {name: F.when(F.col(f"cdf_{name[4:]}").isNotNull(), c) for name, c in gap.items()}
+    fitted = {f"cdf_{g}": numeric.normal_cdf(f"z_{g}") for g in GROUPS}
+    return counts.withColumns(z).withColumns(fitted).withColumns(gap)
+
+
+def _sizes_from_counts() -> dict[str, Column]:
+    return {f"n_{g}": F.sum(f"n_{g}") for g in GROUPS}
 
 
 def mann_whitney(df: DataFrame, keys: list[str], value: str, positive: Column, **options) -> DataFrame:
     """Rank-sum test only: n per group, U of the negatives, two-sided p."""
     exact = options.pop("exact_rank_sum", True)
-    layout = group_counts(df, keys, value, positive, options.pop("max_group_rows", None))
-    aggregates = {f"n_{g}": F.max(f"t_{g}") for g in GROUPS} | rank_sum_aggregates()
-    return with_rank_sum(layout.frame().groupBy(*keys).agg(*[c.alias(k) for k, c in aggregates.items()]), exact)
+    rows = labelled_values(df, keys, value, positive)
+    counts = counted_layout(rows, keys, None, options.pop("max_group_rows", None)).frame()
+    aggregates = _sizes_from_counts() | rank_sum_aggregates()
+    return with_rank_sum(counts.groupBy(*keys).agg(*[c.alias(k) for k, c in aggregates.items()]), exact)
 
 
 def welch(df: DataFrame, keys: list[str], value: str, positive: Column) -> DataFrame:
@@ -198,11 +236,8 @@ def welch(df: DataFrame, keys: list[str], value: str, positive: Column) -> DataF
 
 def ks_two_sample(df: DataFrame, keys: list[str], value: str, positive: Column, max_group_rows: int | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance and p-value."""
-    layout = group_counts(df, keys, value, positive, max_group_rows)
-    distance = F.abs(ratio(F.col("c_neg"), F.col("t_neg")) - ratio(F.col("c_pos"), F.col("t_pos")))
-    table = layout.frame().groupBy(*keys).agg(
-        *[F.max(f"t_{g}").alias(f"n_{g}") for g in GROUPS], F.max(distance).alias("ks_d")
-    )
+    counts = group_counts(df, keys, value, positive, max_group_rows)
+    table = counts.groupBy(*keys).agg(*[F.max(f"t_{g}").alias(f"n_{g}") for g in GROUPS], F.max(_between_groups()).alias("ks_d"))
     return table.withColumn("ks_p", pvalues.ks_two_sample("ks_d", "n_neg", "n_pos"))
 
 

@@ -26,7 +26,7 @@ def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
 
 def lookup_join(
     big: DataFrame, small: DataFrame, on: Pairs, how: str = "left", max_rows: int = BROADCAST_ROWS, condition: Column | None = None,
-    heavy_rows: int = HEAVY_ROWS,
+    heavy_rows: int = HEAVY_ROWS, null_safe: bool = False, kept: bool = False,
 ) -> DataFrame:
     """Join ``big`` to a table that is expected to be much smaller.
 
@@ -36,13 +36,15 @@ def lookup_join(
     whole row and only their partners are repeated.  There are at most
     rows / ``heavy_rows`` such keys, which bounds what is broadcast to mark them.
     ``on`` lists shared names or (big, small) pairs; the small side's key columns are
-    dropped from the result.
+    dropped from the result.  With ``null_safe`` null keys meet each other; ``kept`` says the
+    small side is materialised already.
     """
     pairs = [(c, c) if isinstance(c, str) else c for c in on]
     mine, theirs = [b for b, _ in pairs], [f"_on_{i}" for i in range(len(pairs))]
-    small = materialise(small)
+    small = small if kept else materialise(small)
     renamed = small.withColumnsRenamed({s: t for (_, s), t in zip(pairs, theirs)})
-    match = [F.col(f"`{b}`") == F.col(t) for b, t in zip(mine, theirs)]
+    same = (lambda a, b: a.eqNullSafe(b)) if null_safe else (lambda a, b: a == b)
+    match = [same(F.col(f"`{b}`"), F.col(t)) for b, t in zip(mine, theirs)]
     if condition is not None:
         match.append(condition)
     if fits_broadcast(small, max_rows):
@@ -54,7 +56,7 @@ def lookup_join(
         return big.join(renamed, _all(match), how).drop(*theirs)
 
     def marked(side: DataFrame, names: list[str]) -> DataFrame:
-        equal = [F.col(f"`{n}`") == F.col(f"_h{i}") for i, n in enumerate(names)]
+        equal = [same(F.col(f"`{n}`"), F.col(f"_h{i}")) for i, n in enumerate(names)]
         return side.join(F.broadcast(heavy), _all(equal), "left").drop(*[f"_h{i}" for i in range(len(names))])
 
     row_salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)).cast("int")
@@ -75,14 +77,19 @@ def full_outer_all(frames: list[DataFrame], key: str) -> DataFrame:
     return reduce(lambda left, right: left.join(right, key, "full_outer"), frames)
 
 
-def complete_keys(readings: DataFrame, key: str, member: str, value: str, n_members: int) -> DataFrame:
+def complete_keys(
+    readings: DataFrame, key: str, member: str, value: str, n_members: int, unique: bool = False
+) -> DataFrame:
     """Keys with a usable value for every one of ``n_members`` members.
 
     ``n_members`` comes from the list of members: a member without any reading must
     make every key incomplete.  Distinct (key, member) pairs are reduced before the
-    count, so repeated readings do not pass for missing ones.
+    count, so repeated readings do not pass for missing ones; that shuffles the pairs.
+    When the source holds a pair only once, ``unique`` counts rows instead, and only
+    one partial count per key and task is shuffled.
     """
-    usable = readings.where(F.col(value).isNotNull() & ~F.isnan(value)).select(key, member).distinct()
+    usable = readings.where(F.col(value).isNotNull() & ~F.isnan(value)).select(key, member)
+    usable = usable if unique else usable.distinct()
     return usable.groupBy(key).count().where(F.col("count") == n_members).select(key)
 
 

@@ -33,13 +33,16 @@ def usable_readings(readings: DataFrame, value: str = "AVG_Beta", detection: str
     return cast.where(column(detection) < limit)
 
 
-def complete_readings(readings: DataFrame, probes: DataFrame | None, n_samples: int) -> DataFrame:
-    """Readings of eligible probes that every one of ``n_samples`` samples has."""
+def complete_readings(readings: DataFrame, probes: DataFrame | None, n_samples: int, unique: bool = False) -> DataFrame:
+    """Readings of eligible probes that every one of ``n_samples`` samples has.
+
+    ``unique`` states that a sample has at most one reading of a probe.
+    """
     if n_samples <= 0:
         raise FileNotFoundError("no samples given")
     if probes is not None:
         readings = keep_keys(readings, probes, "TargetID")
-    complete = complete_keys(readings, "TargetID", "MET_ID", "AVG_Beta", n_samples)
+    complete = complete_keys(readings, "TargetID", "MET_ID", "AVG_Beta", n_samples, unique)
     return keep_keys(readings, complete, "TargetID").where(F.col("AVG_Beta").isNotNull())
 
 

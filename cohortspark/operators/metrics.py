@@ -21,7 +21,7 @@ METRICS = ("roc_auc", "accuracy", "sensitivity", "specificity", "ppv", "npv", "f
 def _score_counts(df: DataFrame, keys: list[str], label: str, score: str, weight: str | None, max_group_rows: int | None):
     """Positives and negatives per distinct score, cumulated from the lowest score."""
     if weight is None:
-        return group_counts(df, keys, score, F.col(label).cast("boolean"), max_group_rows).frame()
+        return group_counts(df, keys, score, F.col(label).cast("boolean"), max_group_rows)
     rows = df.select(*keys, F.col(score).alias("v"), F.col(label).cast("boolean").alias("_pos"), F.col(weight).alias("_w"))
     layout = ordered_groups(
         rows,
@@ -163,7 +163,7 @@ def calibration_table(
     A prediction's bin is one more than the number of inner edges at or below it.
     """
     keys = keys or []
-    counts = group_counts(df, keys, score, F.col(label).cast("boolean"), max_group_rows).frame()
+    counts = group_counts(df, keys, score, F.col(label).cast("boolean"), max_group_rows)
     counts = counts.select(
         *keys, "v", (F.col("n_neg") + F.col("n_pos")).alias("n"), (F.col("c_neg") + F.col("c_pos")).alias("c"),
         (F.col("t_neg") + F.col("t_pos")).alias("t"), "n_pos",

@@ -60,7 +60,7 @@ def adjust_pvalues(
             *[F.col(b).alias(f"_b_{b}") for b in by], F.col("p").alias("_p"), F.col("q").alias(name)
         )
         on = [(b, f"_b_{b}") for b in by] + [(column, "_p")]
-        table = lookup_join(table, one, on, "left")
+        table = lookup_join(table, one, on, "left", kept=True)
     return table
 
 

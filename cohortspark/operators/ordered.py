@@ -93,7 +93,8 @@ class OrderedGroups:
         local = {}
         for name, spec in wanted.items():
             if isinstance(spec, Total):
-                over = partition
+                # Ordered like the running ones, so that one window operator does all.
+                over = partition.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             else:
                 # A frame that grows is one pass; one that shrinks would start over
                 # for every row, so backward means forward in descending order.
@@ -143,15 +144,18 @@ def ordered_groups(
     order: list[str],
     counts: dict[str, Column] | None = None,
     max_group_rows: int | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> OrderedGroups:
     """Lay out ``rows`` by ``keys``, ordered by ``order`` within each group.
 
     With ``counts`` (aggregate expressions) the rows are first collapsed to one per
     (keys, order), which turns any number of ties into a single row; without it the
-    order columns must be unique within a group.
+    order columns must be unique within a group.  ``sizes`` (rows of the largest group,
+    rows in all) spares the count when the caller has measured them already.
     """
     limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    sizes = rows.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    if sizes is None:
+        sizes = rows.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
     largest, total = sizes[0] or 0, sizes[1] or 0
 
     def collapse(df: DataFrame) -> DataFrame:

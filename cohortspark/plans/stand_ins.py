@@ -83,7 +83,8 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of the probes that every sample has."""
-    return complete_readings(readings(spark, sf_dir), None, table(spark, sf_dir, "embeddings").count())
+    # A vector is exploded by position, so a (probe, sample) pair occurs once.
+    return complete_readings(readings(spark, sf_dir), None, table(spark, sf_dir, "embeddings").count(), unique=True)
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
