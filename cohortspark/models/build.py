@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.operators.splits import SEED, stratified_split
+from cohortspark.session import materialise
 
 # Default size, step and depth of each preset.
 PRESETS = {
@@ -145,7 +146,8 @@ def train_classifier(
     test_share: float = 0.3, seed: int = SEED, **options,
 ) -> Run:
     """Split, fit and score one classifier on one feature set."""
-    split = stratified_split(df, key, label, test_share, seed)
+    # Read by every boosting round and by the scores: computed once, kept on shared storage.
+    split = materialise(stratified_split(df, key, label, test_share, seed))
     train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
     model = fit_classifier(train, features, label, algorithm, params, **options)
     return Run(model, train, scored(model, test), features)

@@ -12,6 +12,7 @@ from cohortspark.models.build import PRESETS, Run, VotingModel, build_regressors
 from cohortspark.operators.clean import column
 from cohortspark.operators.metrics import METRICS, classification_metrics
 from cohortspark.operators.splits import SEED, assign_folds, stratified_split
+from cohortspark.session import materialise
 
 
 def regression_scores(predictions: DataFrame, by: list[str], y: str = "y", fitted: str = "prediction") -> DataFrame:
@@ -119,7 +120,7 @@ def cross_cohort_transfer(
     for name, frame in cohorts.items():
         spark = frame.sparkSession
         chosen = {a: (params or {}).get(name, {}).get(a, {}) for a in PRESETS}
-        split = stratified_split(frame, key, label).persist()
+        split = materialise(stratified_split(frame, key, label))
         train, test = split.where(~F.col("is_test")), split.where("is_test")
         models: dict[str, PipelineModel | VotingModel] = {
             a: fit_classifier(train, features, label, a, p, **options) for a, p in chosen.items()
@@ -132,7 +133,6 @@ def cross_cohort_transfer(
             for algorithm, model in models.items():
                 metrics = score_external(model, data, key, label).first().asDict()
                 rows.append((evaluation, name, target, algorithm, metrics["n_samples"], *_metric_values(metrics)))
-        split.unpersist()
     schema = f"evaluation string, trained_on string, evaluated_on string, model string, n_samples bigint, {_METRIC_SCHEMA}"
     return spark.createDataFrame(rows, schema)
 
@@ -141,7 +141,7 @@ def pooled_performance(
     df: DataFrame, features: list[str], key: str, label: str, params: dict[str, dict] | None = None, **options
 ) -> tuple[DataFrame, dict[str, Run]]:
     """All presets and their soft vote on one split of a pooled cohort."""
-    split = stratified_split(df, key, label)
+    split = materialise(stratified_split(df, key, label))
     train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
     chosen = {a: (params or {}).get(a, {}) for a in PRESETS}
     models: dict = {a: fit_classifier(train, features, label, a, p, **options) for a, p in chosen.items()}

@@ -33,9 +33,19 @@ def variable_moments(df: DataFrame, variables: list[str], label: str | None = No
     return df.agg(*aggregates).select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
-def _long(df: DataFrame, variables: list[str], carried: list[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(v).alias("variable"), column(v).cast("double").alias("value")) for v in variables])
-    return df.select(*carried, F.explode(pairs).alias("p")).select(*carried, "p.variable", "p.value")
+def long_values(df: DataFrame, variables: list[str], carried: list[str]) -> DataFrame:
+    """One row per variable and value; the variable is its number in the list.
+
+    A number rather than the name is what the many rows carry through a shuffle.
+    """
+    values = F.array(*[column(v).cast("double") for v in variables])
+    return df.select(*carried, F.posexplode(values).alias("variable_no", "value"))
+
+
+def named_variables(df: DataFrame, variables: list[str]) -> DataFrame:
+    """Replace the variable number by its name."""
+    name = F.array(*[F.lit(v) for v in variables])[F.col("variable_no")]
+    return df.withColumn("variable", name).drop("variable_no")
 
 
 def descriptive_statistics(
@@ -54,8 +64,9 @@ def descriptive_statistics(
     cells = {"cell_all": mean_sd(F.col("mean_all"), F.col("sd_all"))}
     if label is not None:
         cells |= {f"cell_{g}": mean_sd(F.col(f"mean_{g}"), F.col(f"sd_{g}")) for g in ("neg", "pos")}
-        long = _long(df, variables, [label])
-        tested = two_group_tests(long, ["variable"], "value", F.col(label), tests, max_group_rows=max_group_rows)
+        long = long_values(df, variables, [label])
+        tested = two_group_tests(long, ["variable_no"], "value", F.col(label), tests, max_group_rows=max_group_rows)
+        tested = named_variables(tested, variables)
         p_columns = [c for c in ("ks_p_neg", "ks_p_pos", "t_p", "u_p") if c in tested.columns]
         table = table.join(F.broadcast(tested.select("variable", *p_columns)), "variable", "left")
         cells |= {f"{c}_text": reported_p(F.col(c), alpha) for c in p_columns}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions import numeric, pvalues
 from cohortspark.functions.numeric import ratio
 from cohortspark.functions.tails import EXACT_RANK_SUM, EXACT_RANK_SUM_CELLS
-from cohortspark.operators.joins import lookup_join
+from cohortspark.operators.joins import fits_broadcast, lookup_join
 from cohortspark.operators.ordered import OrderedGroups, Running, Total, ordered_groups
 from cohortspark.session import materialise
 
@@ -58,12 +58,12 @@ def counted_layout(
     return layout.compute(**{f"c_{g}": Running(F.col(f"n_{g}")) for g in GROUPS})
 
 
-def attach_moments(counts: DataFrame, moments: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Put a key's moments on each of its rows."""
+def attach_moments(counts: DataFrame, moments: DataFrame, keys: list[str], columns: list[str], fits: bool | None = None) -> DataFrame:
+    """Put a key's moments on each of its rows; ``fits`` when they were measured."""
     if not keys:
         row = moments.first()
         return counts.withColumns({c: F.lit(row[c]) for c in columns})
-    return lookup_join(counts, moments.select(*keys, *columns), keys, "inner", null_safe=True, kept=True)
+    return lookup_join(counts, moments.select(*keys, *columns), keys, "inner", null_safe=True, kept=True, fits=fits)
 
 
 def group_counts(
@@ -143,7 +143,8 @@ def two_group_tests(
     ordered = counted_layout(rows, keys, moments, max_group_rows).frame()
 
     placed = ["t_neg", "t_pos"] + (["mean_neg", "m2_neg", "mean_pos", "m2_pos"] if "ks1" in tests else [])
-    counts = attach_moments(ordered, moments, keys, placed)
+    fits = fits_broadcast(moments) if keys else True
+    counts = attach_moments(ordered, moments, keys, placed, fits)
     derived, aggregates = {}, {}
     for g in GROUPS:
         derived[f"mid_{g}"] = _middle(g)
@@ -159,7 +160,7 @@ def two_group_tests(
         aggregates |= {f"ks_d_{g}": F.max(f"gap_{g}") for g in GROUPS}
     ranked = counts.groupBy(*keys).agg(*[c.alias(name) for name, c in aggregates.items()])
 
-    table = attach_moments(ranked, moments, keys, [c for c in moments.columns if c not in keys])
+    table = attach_moments(ranked, moments, keys, [c for c in moments.columns if c not in keys], fits)
     renames = {}
     for g in GROUPS:
         table = table.withColumn(f"sd_{g}", F.sqrt(ratio(F.col(f"m2_{g}"), F.col(f"t_{g}") - 1))).drop(f"m2_{g}")

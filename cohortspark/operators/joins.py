@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from cohortspark.session import materialise
 
@@ -19,14 +20,17 @@ Pairs = list[str] | list[tuple[str, str]]
 
 def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure a materialised table, reading at most ``max_rows + 1`` rows of it."""
-    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in small.columns])))
-    rows, size = small.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
-    return rows <= max_rows and (size or 0) <= max_bytes
+    varying = [F.col(f"`{f.name}`") for f in small.schema.fields if isinstance(f.dataType, (StringType, BinaryType, ArrayType, MapType, StructType))]
+    fixed = 8 * (len(small.columns) - len(varying))
+    size = F.sum(F.length(F.to_json(F.struct(*varying)))) if varying else F.lit(0)
+    rows, size = small.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    return rows <= max_rows and rows * fixed + (size or 0) <= max_bytes
 
 
 def lookup_join(
     big: DataFrame, small: DataFrame, on: Pairs, how: str = "left", max_rows: int = BROADCAST_ROWS, condition: Column | None = None,
     heavy_rows: int = HEAVY_ROWS, null_safe: bool = False, kept: bool = False,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Join ``big`` to a table that is expected to be much smaller.
 
@@ -37,7 +41,7 @@ def lookup_join(
     rows / ``heavy_rows`` such keys, which bounds what is broadcast to mark them.
     ``on`` lists shared names or (big, small) pairs; the small side's key columns are
     dropped from the result.  With ``null_safe`` null keys meet each other; ``kept`` says the
-    small side is materialised already.
+    small side is materialised already, ``fits`` that it was measured already.
     """
     pairs = [(c, c) if isinstance(c, str) else c for c in on]
     mine, theirs = [b for b, _ in pairs], [f"_on_{i}" for i in range(len(pairs))]
@@ -47,7 +51,7 @@ def lookup_join(
     match = [same(F.col(f"`{b}`"), F.col(t)) for b, t in zip(mine, theirs)]
     if condition is not None:
         match.append(condition)
-    if fits_broadcast(small, max_rows):
+    if fits_broadcast(small, max_rows) if fits is None else fits:
         return big.join(F.broadcast(renamed), _all(match), how).drop(*theirs)
 
     heavy = big.groupBy(*[F.col(f"`{b}`").alias(f"_h{i}") for i, b in enumerate(mine)]).count().where(F.col("count") >= heavy_rows)

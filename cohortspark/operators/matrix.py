@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.numeric import INFINITY, ratio
 from cohortspark.functions.text import first_item
-from cohortspark.operators.clean import column
+from cohortspark.operators.clean import column, select_matching
 from cohortspark.operators.hypothesis import two_group_tests
 from cohortspark.operators.joins import complete_keys, keep_keys, lookup_join
 from cohortspark.operators.multiple import adjust_pvalues
@@ -118,6 +118,18 @@ def significant_points(table: DataFrame, manifest: DataFrame, probe: str = "Prob
     return joined if regions is None else joined.join(regions, "TargetID", "left")
 
 
+def ranked_points(points: DataFrame, n: int | None = None) -> DataFrame:
+    """Strongest first, ties by probe; with ``n`` the top of the list."""
+    ordered = points.orderBy(F.desc("neg_log10_p"), "TargetID")
+    return ordered if n is None else ordered.limit(n)
+
+
+def candidate_table(points: DataFrame, manifest: DataFrame, probe: str = "Probe_ID", pattern: str = r"^.*UCSC.*$") -> DataFrame:
+    """The reported probes with every manifest column that matches ``pattern``."""
+    kept = select_matching(manifest, include=rf"{probe}|CHR|MAPINFO|{pattern}")
+    return lookup_join(kept, points.select("TargetID"), [(probe, "TargetID")], "left_semi")
+
+
 def score_ties(points: DataFrame, score: str = "neg_log10_p") -> DataFrame:
     """Rows whose score is shared with another row, where a sort order is arbitrary."""
     return points.agg((F.count(F.lit(1)) - F.count_distinct(score)).alias("ties"))

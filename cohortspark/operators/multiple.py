@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.operators.joins import lookup_join
+from cohortspark.operators.joins import fits_broadcast, lookup_join
 from cohortspark.operators.ordered import Running, Total, ordered_groups
 from cohortspark.session import materialise
 
@@ -32,10 +32,8 @@ def adjust_pvalues(
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; one of {METHODS}")
     by = by or []
-    stacked = table.select(
-        *by,
-        F.explode(F.array(*[F.struct(F.lit(c).alias("test"), F.col(f"`{c}`").cast("double").alias("p")) for c in columns])).alias("s"),
-    ).select(*by, "s.test", "s.p").where(F.col("p").isNotNull() & ~F.isnan("p"))
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+    stacked = table.select(*by, F.posexplode(values).alias("test", "p")).where(F.col("p").isNotNull() & ~F.isnan("p"))
 
     layout = ordered_groups(stacked, by + ["test"], ["p"], {"n": F.count(F.lit(1))}, max_group_rows)
     layout = layout.compute(rank=Running(F.col("n")), m=Total(F.col("n")))
@@ -54,13 +52,14 @@ def adjust_pvalues(
     # Read once per corrected column.
     corrected = materialise(layout.frame().select(*by, "test", "p", F.least(F.lit(1.0), F.col("q")).alias("q")))
 
-    for column in columns:
+    fits = fits_broadcast(corrected)
+    for number, column in enumerate(columns):
         name = f"{prefix}{column}"
-        one = corrected.where(F.col("test") == column).select(
+        one = corrected.where(F.col("test") == number).select(
             *[F.col(b).alias(f"_b_{b}") for b in by], F.col("p").alias("_p"), F.col("q").alias(name)
         )
         on = [(b, f"_b_{b}") for b in by] + [(column, "_p")]
-        table = lookup_join(table, one, on, "left", kept=True)
+        table = lookup_join(table, one, on, "left", null_safe=True, kept=True, fits=fits)
     return table
 
 

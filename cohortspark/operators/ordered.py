@@ -33,6 +33,9 @@ MAX_GROUP_ROWS = 5_000_000
 SLICE_ROWS = 2_000_000
 """Rows aimed at per slice."""
 
+MAX_SLICES = 20_000
+"""Most slices made; beyond that slices grow.  Bounds the broadcast border table."""
+
 _SLICE = "_slice"
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -164,18 +167,17 @@ def ordered_groups(
         return df.groupBy(*keys, *order).agg(*[c.alias(name) for name, c in counts.items()])
 
     if largest <= limit:
-        # One exchange serves the collapse and every window that follows.
-        placed = rows.repartition(*[F.col(k) for k in keys]) if keys else rows.coalesce(1)
+        # One exchange on the keys serves the collapse and every window that follows.
+        # Without keys the rows are collapsed where they are before they meet.
+        placed = rows.repartition(*[F.col(k) for k in keys]) if keys else rows
         return OrderedGroups(collapse(placed), keys, order, sliced=False)
 
     spark = rows.sparkSession
-    slices = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        -(-total // min(SLICE_ROWS, limit)),
-    )
+    wanted = -(-total // min(SLICE_ROWS, limit))
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, MAX_SLICES))
     laid_out = (
         collapse(rows)
-        .repartitionByRange(int(slices), *[F.col(c) for c in keys + order])
+        .repartitionByRange(slices, *[F.col(c) for c in keys + order])
         .withColumn(_SLICE, F.spark_partition_id())
     )
     return OrderedGroups(materialise(laid_out), keys, order, sliced=True)

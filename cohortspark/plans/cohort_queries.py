@@ -294,8 +294,9 @@ def boxplot_summary(spark, sf_dir):
     rows = subject(spark, sf_dir).where("label IS NOT NULL").withColumns(
         {"side": text.signed_label(F.col("label")), "price": F.log("price")}
     )
-    long = describe._long(rows, ["price", "total", "tax"], ["cohort", "side"])
-    boxes = quantiles.boxplot_summary(long, ["cohort", "side", "variable"], "value")
+    variables = ["price", "total", "tax"]
+    long = describe.long_values(rows, variables, ["cohort", "side"])
+    boxes = describe.named_variables(quantiles.boxplot_summary(long, ["cohort", "side", "variable_no"], "value"), variables)
     whole = {"cohort", "side", "variable", "n", "n_outliers"}
     return boxes.select(*[c if c in whole else F.round(c, 5).alias(c) for c in boxes.columns])
 

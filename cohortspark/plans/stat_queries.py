@@ -230,6 +230,20 @@ def manifest_join(spark, sf_dir):
     return matrix.significant_points(_volcano(spark, sf_dir), probes, "number")
 
 
+@query(with_tables("kept_readings", _VOLCANO_SQL + """ SELECT TargetID, round(neg_log10_p, 5) AS neg_log10_p FROM v WHERE significant
+    ORDER BY round(neg_log10_p, 5) DESC, TargetID LIMIT 10"""))
+def ranked_points(spark, sf_dir):
+    hits = _volcano(spark, sf_dir).where("significant")
+    return matrix.ranked_points(hits.select("TargetID", F.round("neg_log10_p", 5).alias("neg_log10_p")), 10)
+
+
+@query(with_tables("kept_readings, manifest", _VOLCANO_SQL + """ SELECT substr(Probe_ID, 3)::BIGINT AS number, CHR, MAPINFO, UCSC_REFGENE_NAME, UCSC_REFGENE_GROUP,
+    RELATION_TO_UCSC_CPG_ISLAND FROM v JOIN manifest ON substr(Probe_ID, 3)::BIGINT = TargetID WHERE significant"""))
+def candidate_table(spark, sf_dir):
+    probes = manifest(spark, sf_dir).withColumn("number", F.substring("Probe_ID", 3, 8).cast("bigint")).drop("Probe_ID")
+    return matrix.candidate_table(_volcano(spark, sf_dir).where("significant"), probes, "number")
+
+
 @query(with_tables("kept_readings", _VOLCANO_SQL + " SELECT count(*) - count(DISTINCT round(neg_log10_p, 3)) AS ties FROM v WHERE significant"))
 def score_ties(spark, sf_dir):
     hits = _volcano(spark, sf_dir).where("significant").withColumn("neg_log10_p", F.round("neg_log10_p", 3))
@@ -241,8 +255,9 @@ def score_ties(spark, sf_dir):
     {_ranked('variable', 'v', 'label', 'src')} SELECT k AS variable, n1 AS n_neg, n2 AS n_pos, u1::DOUBLE AS u_stat, round({sql_normal_two_sided('zz')}, 6) AS u_p FROM z)""" for v in VARIABLES)))
 def descriptive_tests(spark, sf_dir):
     rows = subject(spark, sf_dir).where("label IS NOT NULL")
-    long = describe._long(rows, VARIABLES, ["label"])
-    return hypothesis.mann_whitney(long, ["variable"], "value", F.col("label")).withColumn("u_p", F.round("u_p", 6))
+    long = describe.long_values(rows, VARIABLES, ["label"])
+    tested = hypothesis.mann_whitney(long, ["variable_no"], "value", F.col("label"))
+    return describe.named_variables(tested, VARIABLES).withColumn("u_p", F.round("u_p", 6))
 
 
 @query()

@@ -115,6 +115,12 @@ def test_corrections(spark, method, wanted, limit):
     assert all(q >= p for q, p in zip(got, RAW))
 
 
+def test_rows_without_a_family_are_a_family(spark):
+    df = spark.createDataFrame([(i, None, p) for i, p in enumerate(RAW)] + [(9, "f", 0.5)], "i int, fam string, p double")
+    got = {r["i"]: r["adj_p"] for r in multiple.adjust_pvalues(df, ["p"], by=["fam"]).collect()}
+    assert got[0] == pytest.approx(0.005) and got[4] == pytest.approx(0.042) and got[9] == 0.5
+
+
 def test_correction_is_monotone_with_ties_and_families(spark):
     draw = random.Random(5)
     rows = [(i, "f" if i % 3 else "g", round(draw.random() ** 2, 2)) for i in range(300)]
