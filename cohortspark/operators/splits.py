@@ -1,8 +1,16 @@
-"""Reproducible train/test splits and cross-validation folds."""
+"""Reproducible train/test splits and cross-validation folds.
+
+Rows are ordered by a hash of (seed, key).  Which part a row falls in depends only on
+which side of a few border rows it lies, so only hashes and keys are ever ordered: the
+borders (one per class and part) are looked up, and each full row is then assigned by
+comparing its own hash with them, where it is, without a shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.numeric import hash_order
@@ -12,11 +20,22 @@ SEED = 30
 TEST_SHARE = 0.3
 
 
-def _numbered(df: DataFrame, key: str, by: list[str], seed: int, max_group_rows: int | None) -> DataFrame:
-    """Rows numbered from 1 in hash order within ``by``, with the group size."""
-    rows = df.withColumn("_hash", hash_order(seed, key))
-    layout = ordered_groups(rows, by, ["_hash", key], None, max_group_rows)
-    return layout.compute(_row=Running(F.lit(1).cast("bigint")), _size=Total(F.lit(1).cast("bigint"))).frame().drop("_hash")
+def _borders(
+    df: DataFrame, key: str, by: list[str], seed: int, is_border: Column, max_group_rows: int | None
+) -> list[tuple[object, str, object]]:
+    """(class, hash, key) of the rows where ``is_border`` holds, given ``_row`` and ``_size``."""
+    hashes = df.select(*by, key, hash_order(seed, key).alias("_hash"))
+    layout = ordered_groups(hashes, by, ["_hash", key], None, max_group_rows)
+    one = F.lit(1).cast("bigint")
+    numbered = layout.compute(_row=Running(one), _size=Total(one)).frame()
+    rows = numbered.where(is_border).select(*by, "_hash", key).collect()
+    return [(r[by[0]] if by else None, r["_hash"], r[key]) for r in rows]
+
+
+def _beyond(key: str, seed: int, border: tuple[object, str, object]) -> Column:
+    """Whether a row comes after a border row."""
+    own, (_, at_hash, at_key) = hash_order(seed, key), border
+    return (own > at_hash) | ((own == at_hash) & (F.col(key) > F.lit(at_key)))
 
 
 def stratified_split(
@@ -32,12 +51,15 @@ def stratified_split(
     wanted = -(-round(test_share * total * 1e9) // 1_000_000_000)
     exact = {c: wanted * n / total for c, n in sizes.items()}
     quota = {c: int(e) for c, e in exact.items()}
-    by_fraction = sorted(exact, key=lambda c: (-(exact[c] - quota[c]), c))
+    by_fraction = sorted(exact, key=lambda c: (-(exact[c] - quota[c]), str(c)))
     for c in by_fraction[: wanted - sum(quota.values())]:
         quota[c] += 1
-    limit = F.coalesce(*[F.when(F.col(label) == F.lit(c), F.lit(q)) for c, q in sorted(quota.items())])
-    numbered = _numbered(df, key, [label], seed, max_group_rows)
-    return numbered.withColumn("is_test", F.col("_row") <= limit).drop("_row", "_size")
+    at_quota = [F.col(label).eqNullSafe(F.lit(c)) & (F.col("_row") == q) for c, q in quota.items() if q]
+    if not at_quota:
+        return df.withColumn("is_test", F.lit(False))
+    last = _borders(df, key, [label], seed, reduce(lambda a, b: a | b, at_quota), max_group_rows)
+    chosen = [F.col(label).eqNullSafe(F.lit(border[0])) & ~_beyond(key, seed, border) for border in last]
+    return df.withColumn("is_test", reduce(lambda a, b: a | b, chosen))
 
 
 def assign_folds(
@@ -47,8 +69,12 @@ def assign_folds(
 
     With ``by`` the folds are dealt within each class.
     """
-    numbered = _numbered(df, key, [by] if by else [], seed, max_group_rows)
-    base, extra = F.expr(f"_size div {folds}"), F.expr(f"_size % {folds}")
-    at, in_large = F.col("_row") - 1, (F.expr(f"_size div {folds}") + 1) * F.expr(f"_size % {folds}")
-    fold = F.when(at < in_large, F.floor(at / (base + 1))).otherwise(extra + F.floor((at - in_large) / F.greatest(base, F.lit(1))))
-    return numbered.withColumn("fold", fold.cast("int")).drop("_row", "_size")
+    # Last row of fold f, counted from 1: the first _size % folds folds get one more.
+    ends = [F.expr(f"_size div {folds} * {f + 1} + least(_size % {folds}, {f + 1})") for f in range(folds - 1)]
+    is_end = reduce(lambda a, b: a | b, [F.col("_row") == end for end in ends], F.lit(False))
+    borders = _borders(df, key, [by] if by else [], seed, is_end, max_group_rows)
+    # A fold that ends at row 0 of a small class has no border row; every row is beyond it.
+    passed = [
+        ((F.col(by).eqNullSafe(F.lit(border[0])) if by else F.lit(True)) & _beyond(key, seed, border)).cast("int") for border in borders
+    ]
+    return df.withColumn("fold", reduce(lambda a, b: a + b, passed, F.lit(0)))

@@ -235,3 +235,11 @@ def test_folds(spark, limit):
     for label, n in ((True, 35), (False, 68)):
         counts = [r["count"] for r in dealt if r["label"] == label]
         assert sum(counts) == n and max(counts) - min(counts) <= 1
+
+
+def test_folds_of_a_small_class(spark):
+    # Three rows in five folds: one each in the first three.
+    df = spark.createDataFrame([(i, "x") for i in range(3)] + [(i, None) for i in range(10, 17)], "id int, c string")
+    got = splits.assign_folds(df, "id", 5, by="c").collect()
+    assert sorted(r["fold"] for r in got if r["c"] == "x") == [0, 1, 2]
+    assert sorted(r["fold"] for r in got if r["c"] is None) == [0, 0, 1, 1, 2, 3, 4]
