@@ -13,7 +13,7 @@ from cohortspark.functions.numeric import ratio, uniform
 from cohortspark.operators.hypothesis import group_counts
 from cohortspark.operators.joins import lookup_join
 from cohortspark.operators.ordered import Running, Total, ordered_groups
-from cohortspark.operators.quantiles import quantile_aggregate
+from cohortspark.operators.quantiles import with_quantiles
 
 METRICS = ("roc_auc", "accuracy", "sensitivity", "specificity", "ppv", "npv", "f1", "youden", "pr_auc")
 
@@ -163,19 +163,11 @@ def calibration_table(
     A prediction's bin is one more than the number of inner edges at or below it.
     """
     keys = keys or []
-    counts = group_counts(df, keys, score, F.col(label).cast("boolean"), max_group_rows)
-    counts = counts.select(
-        *keys, "v", (F.col("n_neg") + F.col("n_pos")).alias("n"), (F.col("c_neg") + F.col("c_pos")).alias("c"),
-        (F.col("t_neg") + F.col("t_pos")).alias("t"), "n_pos",
-    )
-    edges = [f"_edge_{i}" for i in range(1, bins)]
-    per_key = counts.groupBy(*keys).agg(*[quantile_aggregate(i / bins).alias(e) for i, e in enumerate(edges, 1)])
-    if keys:
-        placed = lookup_join(counts, per_key, keys, "inner")
-    else:
-        # A single row of bins - 1 numbers.
-        row = per_key.first()
-        placed = counts.withColumns({e: F.lit(row[e]) for e in edges})
+    rows = df.select(*keys, F.col(score).cast("double").alias("v"), F.col(label).cast("boolean").alias("_pos")).where("v IS NOT NULL")
+    counts = {"n": F.count(F.lit(1)), "n_pos": F.count_if("_pos")}
+    layout = ordered_groups(rows, keys, ["v"], counts, max_group_rows).compute(c=Running(F.col("n")), t=Total(F.col("n")))
+    edges = {f"_edge_{i}": i / bins for i in range(1, bins)}
+    placed = with_quantiles(layout, edges).frame()
     bin_number = reduce(lambda a, e: a + (F.col("v") >= F.col(e)).cast("int"), edges, F.lit(1))
     return placed.groupBy(*keys, bin_number.alias("bin")).agg(
         (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean_predicted"),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.numeric import log_if_positive, ratio
-from cohortspark.operators.joins import lookup_join
 from cohortspark.operators.ordered import OrderedGroups, Running, Total, ordered_groups
 
 
@@ -29,6 +28,23 @@ def quantile_aggregate(q: float) -> Column:
     return low + (at(F.ceil(position)) - low) * share
 
 
+def with_quantiles(layout: OrderedGroups, quantiles: dict[str, float]) -> OrderedGroups:
+    """Put a group's quantiles on each of its rows, in the same pass over the layout.
+
+    Expects ``v``, ``n``, ``c`` and ``t`` as :func:`value_counts` makes them.
+    """
+    parts, made = {}, {}
+    for name, q in quantiles.items():
+        position = (F.col("t") - 1) * F.lit(float(q))
+        for side, index in (("low", F.floor(position)), ("high", F.ceil(position))):
+            here = (F.col("c") - F.col("n") <= index) & (index < F.col("c"))
+            parts[f"{name}_{side}"] = Total(F.when(here, F.col("v")), "max")
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        made[name] = low + (high - low) * (position - F.floor(position))
+    placed = layout.compute(**parts).with_columns(made)
+    return placed.replace(placed.rows.drop(*parts))
+
+
 def group_quantiles(
     df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], max_group_rows: int | None = None
 ) -> DataFrame:
@@ -42,11 +58,8 @@ def boxplot_summary(df: DataFrame, keys: list[str], value: str, max_group_rows:
 
     Whiskers are the most extreme values within 1.5 interquartile ranges of the box.
     """
-    counts = value_counts(df, keys, value, max_group_rows).frame()
-    quartiles = counts.groupBy(*keys).agg(
-        *[quantile_aggregate(q).alias(name) for name, q in {"q1": 0.25, "median": 0.5, "q3": 0.75}.items()]
-    )
-    placed = lookup_join(counts, quartiles, keys, "inner")
+    levels = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    placed = with_quantiles(value_counts(df, keys, value, max_group_rows), levels).frame()
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
     return placed.groupBy(*keys).agg(
