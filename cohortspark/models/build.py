@@ -123,6 +123,27 @@ def scored(model, df: DataFrame, p: str = "p") -> DataFrame:
     return model.transform(df).withColumn(p, vector_to_array("probability")[1]).drop(*made)
 
 
+def scored_by_all(models: dict, df: DataFrame, key: str, label: str) -> DataFrame:
+    """Predictions of several models in long form: ``model``, key, ``y``, ``p``.
+
+    The rows are read once.  A vote takes the probabilities of its members from the
+    models that are scored anyway.
+    """
+    columns: dict[int, str] = {}
+    for model in models.values():
+        for member in model.members if isinstance(model, VotingModel) else [model]:
+            if id(member) not in columns:
+                columns[id(member)] = f"_p_{len(columns)}"
+                df = scored(member, df, columns[id(member)])
+    cells = []
+    for name, model in models.items():
+        members = model.members if isinstance(model, VotingModel) else [model]
+        parts = [F.col(columns[id(m)]) for m in members]
+        cells.append(F.struct(F.lit(name).alias("model"), (sum(parts[1:], parts[0]) / len(parts)).alias("p")))
+    long = df.select(key, F.col(label).cast("int").alias("y"), F.explode(F.array(*cells)).alias("s"))
+    return long.select("s.model", key, "y", "s.p")
+
+
 def predict_labels(model, df: DataFrame, threshold: float = THRESHOLD, label: str = "IR") -> DataFrame:
     """Label an unlabelled cohort: 0/1 integer, 1 when p is strictly above the threshold."""
     return scored(model, df).withColumn(label, (F.col("p") > threshold).cast("int"))
@@ -141,16 +162,24 @@ class Run:
         return self.test.select(key, F.col(label).cast("int").alias("y"), "p")
 
 
+def split_once(df: DataFrame, key: str, label: str, test_share: float = 0.3, seed: int = SEED) -> DataFrame:
+    """Rows with ``is_test``, computed once: every fit and every score reads them again."""
+    return materialise(stratified_split(df, key, label, test_share, seed))
+
+
+def run_on_split(split: DataFrame, features: list[str], label: str, algorithm: str, params: dict | None = None, **options) -> Run:
+    """Fit on the training rows of a split and score its test rows."""
+    train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
+    model = fit_classifier(train, features, label, algorithm, params, **options)
+    return Run(model, train, scored(model, test), features)
+
+
 def train_classifier(
     df: DataFrame, features: list[str], key: str, label: str, algorithm: str = "XGBoost", params: dict | None = None,
     test_share: float = 0.3, seed: int = SEED, **options,
 ) -> Run:
     """Split, fit and score one classifier on one feature set."""
-    # Read by every boosting round and by the scores: computed once, kept on shared storage.
-    split = materialise(stratified_split(df, key, label, test_share, seed))
-    train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
-    model = fit_classifier(train, features, label, algorithm, params, **options)
-    return Run(model, train, scored(model, test), features)
+    return run_on_split(split_once(df, key, label, test_share, seed), features, label, algorithm, params, **options)
 
 
 def soft_voting(df: DataFrame, features: list[str], label: str, params: dict[str, dict], **options) -> VotingModel:

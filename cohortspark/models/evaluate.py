@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.numeric import ratio
-from cohortspark.models.build import PRESETS, Run, VotingModel, build_regressors, fit_classifier, scored, train_classifier
+from cohortspark.models.build import (
+    PRESETS, Run, VotingModel, build_regressors, fit_classifier, run_on_split, scored, scored_by_all, split_once,
+)
 from cohortspark.operators.clean import column
 from cohortspark.operators.metrics import METRICS, classification_metrics
-from cohortspark.operators.splits import SEED, assign_folds, stratified_split
-from cohortspark.session import materialise
+from cohortspark.operators.splits import SEED, assign_folds
 
 
 def regression_scores(predictions: DataFrame, by: list[str], y: str = "y", fitted: str = "prediction") -> DataFrame:
@@ -93,9 +96,9 @@ def feature_ablation(
     df: DataFrame, key: str, label: str, feature_sets: dict[str, list[str]], algorithm: str = "XGBoost", params: dict | None = None, **options
 ) -> DataFrame:
     """One classifier per feature set on a common split, with feature use."""
-    rows = []
+    rows, split = [], split_once(df, key, label)
     for name, features in feature_sets.items():
-        run = train_classifier(df, features, key, label, algorithm, params, **options)
+        run = run_on_split(split, features, label, algorithm, params, **options)
         use = contributing_features(run.model, run.train)
         rows.append((name, len(features), *_metric_values(_metric_row(run.predictions(key, label))), use["ratio"], use["contributing"], use["total"]))
     schema = f"feature_set string, n_features int, {_METRIC_SCHEMA}, cfr double, contributing_features int, features_considered int"
@@ -116,36 +119,36 @@ def cross_cohort_transfer(
 
     Per cohort: all presets plus their soft vote.  ``params`` is cohort -> preset.
     """
-    rows, spark = [], None
+    scored_parts = []
     for name, frame in cohorts.items():
-        spark = frame.sparkSession
-        chosen = {a: (params or {}).get(name, {}).get(a, {}) for a in PRESETS}
-        split = materialise(stratified_split(frame, key, label))
-        train, test = split.where(~F.col("is_test")), split.where("is_test")
-        models: dict[str, PipelineModel | VotingModel] = {
-            a: fit_classifier(train, features, label, a, p, **options) for a, p in chosen.items()
-        }
-        # Members are deterministic given rows and seed, so the vote reuses the fits.
-        models["Voting"] = VotingModel(list(models.values()))
-        targets = [("within-cohort hold-out", f"{name} (hold-out)", test)]
+        split = split_once(frame, key, label)
+        models = fit_all(split.where(~F.col("is_test")), features, label, (params or {}).get(name), **options)
+        targets = [("within-cohort hold-out", f"{name} (hold-out)", split.where("is_test"))]
         targets += [("cross-cohort", f"{other} (all)", f) for other, f in cohorts.items() if other != name]
         for evaluation, target, data in targets:
-            for algorithm, model in models.items():
-                metrics = score_external(model, data, key, label).first().asDict()
-                rows.append((evaluation, name, target, algorithm, metrics["n_samples"], *_metric_values(metrics)))
-    schema = f"evaluation string, trained_on string, evaluated_on string, model string, n_samples bigint, {_METRIC_SCHEMA}"
-    return spark.createDataFrame(rows, schema)
+            named = {"evaluation": F.lit(evaluation), "trained_on": F.lit(name), "evaluated_on": F.lit(target)}
+            scored_parts.append(scored_by_all(models, data, key, label).withColumns(named))
+    predictions = reduce(lambda a, b: a.unionByName(b), scored_parts)
+    table = classification_metrics(predictions, "y", "p", ["evaluation", "trained_on", "evaluated_on", "model"])
+    return table.withColumn("n_samples", F.col("TP") + F.col("TN") + F.col("FP") + F.col("FN"))
+
+
+def fit_all(train: DataFrame, features: list[str], label: str, params: dict[str, dict] | None = None, **options) -> dict:
+    """Every preset and their soft vote.
+
+    Fits are deterministic given rows and seed, so the vote takes the fitted presets.
+    """
+    models: dict = {a: fit_classifier(train, features, label, a, (params or {}).get(a, {}), **options) for a in PRESETS}
+    return models | {"Voting": VotingModel(list(models.values()))}
 
 
 def pooled_performance(
     df: DataFrame, features: list[str], key: str, label: str, params: dict[str, dict] | None = None, **options
 ) -> tuple[DataFrame, dict[str, Run]]:
     """All presets and their soft vote on one split of a pooled cohort."""
-    split = materialise(stratified_split(df, key, label))
+    split = split_once(df, key, label)
     train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
-    chosen = {a: (params or {}).get(a, {}) for a in PRESETS}
-    models: dict = {a: fit_classifier(train, features, label, a, p, **options) for a, p in chosen.items()}
-    models["Voting"] = VotingModel(list(models.values()))
+    models = fit_all(train, features, label, params, **options)
     runs = {name: Run(model, train, scored(model, test), features) for name, model in models.items()}
-    rows = [(name, len(features), *_metric_values(_metric_row(run.predictions(key, label)))) for name, run in runs.items()]
-    return df.sparkSession.createDataFrame(rows, f"model string, n_features int, {_METRIC_SCHEMA}"), runs
+    table = classification_metrics(scored_by_all(models, test, key, label), "y", "p", ["model"])
+    return table.withColumn("n_features", F.lit(len(features))), runs

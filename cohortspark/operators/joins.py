@@ -29,7 +29,7 @@ def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
 
 def lookup_join(
     big: DataFrame, small: DataFrame, on: Pairs, how: str = "left", max_rows: int = BROADCAST_ROWS, condition: Column | None = None,
-    heavy_rows: int = HEAVY_ROWS, null_safe: bool = False, kept: bool = False,
+    heavy_rows: int | None = HEAVY_ROWS, null_safe: bool = False, kept: bool = False,
     fits: bool | None = None,
 ) -> DataFrame:
     """Join ``big`` to a table that is expected to be much smaller.
@@ -38,7 +38,8 @@ def lookup_join(
     Beyond them the sides are shuffled, and keys with at least ``heavy_rows`` rows in
     ``big`` are salted: their rows are spread over ``SALTS`` tasks by a hash of the
     whole row and only their partners are repeated.  There are at most
-    rows / ``heavy_rows`` such keys, which bounds what is broadcast to mark them.
+    rows / ``heavy_rows`` such keys, which bounds what is broadcast to mark them.  None
+    spares the count of the keys where they are even by construction.
     ``on`` lists shared names or (big, small) pairs; the small side's key columns are
     dropped from the result.  With ``null_safe`` null keys meet each other; ``kept`` says the
     small side is materialised already, ``fits`` that it was measured already.
@@ -54,6 +55,8 @@ def lookup_join(
     if fits_broadcast(small, max_rows) if fits is None else fits:
         return big.join(F.broadcast(renamed), _all(match), how).drop(*theirs)
 
+    if heavy_rows is None:
+        return big.join(renamed, _all(match), how).drop(*theirs)
     heavy = big.groupBy(*[F.col(f"`{b}`").alias(f"_h{i}") for i, b in enumerate(mine)]).count().where(F.col("count") >= heavy_rows)
     heavy = materialise(heavy.select(*[f"_h{i}" for i in range(len(pairs))], F.lit(True).alias("_heavy")))
     if heavy.isEmpty():

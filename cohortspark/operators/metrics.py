@@ -141,7 +141,7 @@ def bootstrap_metrics(
     draws = spark.range(0, resamples * n, numPartitions=max(spark.sparkContext.defaultParallelism, resamples * n // 2_000_000 + 1))
     draws = draws.select(F.expr(f"id div {n}").alias("replicate"), F.expr(f"id % {n}").alias("draw"))
     draws = draws.select("replicate", F.floor(uniform(seed, "replicate", "draw") * n).alias("_row"))
-    resampled = lookup_join(draws, numbered, ["_row"], "inner")
+    resampled = lookup_join(draws, numbered, ["_row"], "inner", heavy_rows=None)  # uniform draws
     resampled = resampled.groupBy("replicate", "_p", "_y").agg(F.count(F.lit(1)).alias("_w"))
     replicates = classification_metrics(resampled, "_y", "_p", ["replicate"], threshold, digits, weight="_w")
     long = replicates.unpivot(["replicate"], list(METRICS), "metric", "value")

@@ -127,3 +127,34 @@ def test_search_is_reproducible(cohort):
     assert set(search.candidates("CatBoost", 1)[0]) == set(build.SEARCH_SPACE["CatBoost"])
     best, table = search.search_parameters(cohort, FEATURES, "id", "label", "CatBoost", n_candidates=2, folds=2, max_trees=3)
     assert table.count() == 2 and 1 <= best["n_estimators"] <= 3
+
+
+def test_transfer_scores_every_model_both_ways(cohort):
+    cohorts = {"even": cohort.where("id % 2 = 0"), "odd": cohort.where("id % 2 = 1")}
+    got = evaluate.cross_cohort_transfer(cohorts, FEATURES, "id", "label", {c: {a: SMALL for a in build.PRESETS} for c in cohorts}).collect()
+    assert len(got) == 2 * 2 * 4
+    cross = [r for r in got if r["evaluation"] == "cross-cohort"]
+    assert {(r["trained_on"], r["evaluated_on"], r["n_samples"]) for r in cross} == {("even", "odd (all)", 200), ("odd", "even (all)", 200)}
+    assert {r["n_samples"] for r in got if r not in cross} == {60}
+
+
+def test_long_predictions_equal_single_ones(cohort):
+    model = build.fit_classifier(cohort, FEATURES, "label", "XGBoost", SMALL)
+    other = build.fit_classifier(cohort, ["a"], "label", "CatBoost", SMALL)
+    vote = build.VotingModel([model, other])
+    long = build.scored_by_all({"m": model, "v": vote}, cohort, "id", "label")
+    got = {(r["model"], r["id"]): r["p"] for r in long.collect()}
+    for name, m in (("m", model), ("v", vote)):
+        assert all(got[name, r["id"]] == pytest.approx(r["p"]) for r in build.scored(m, cohort).collect())
+    assert len(got) == 800
+
+
+def test_normality_distance_agrees_with_spark(spark, cohort):
+    from pyspark.ml.stat import KolmogorovSmirnovTest
+
+    from cohortspark.operators.hypothesis import two_group_tests
+
+    moments = cohort.agg(F.avg("a"), F.stddev_pop("a")).first()
+    built_in = KolmogorovSmirnovTest.test(cohort, "a", "norm", *moments).first()["statistic"]
+    ours = two_group_tests(cohort, [], "a", F.lit(True), tests=("ks1",)).first()
+    assert ours["ks_d_pos"] == pytest.approx(built_in, abs=1e-9) and ours["ks_d_neg"] is None
