@@ -166,18 +166,24 @@ def ordered_groups(
             return df
         return df.groupBy(*keys, *order).agg(*[c.alias(name) for name, c in counts.items()])
 
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if largest <= limit:
-        # One exchange on the keys serves the collapse and every window that follows.
+        # One exchange on the keys serves the collapse and every window that follows; it
+        # gets more partitions than the session's default when the rows call for them.
         # Without keys the rows are collapsed where they are before they meet.
-        placed = rows.repartition(*[F.col(k) for k in keys]) if keys else rows
+        placed, by = rows, [F.col(k) for k in keys]
+        if keys:
+            needed = min(-(-total // SLICE_ROWS), MAX_SLICES)
+            placed = rows.repartition(needed, *by) if needed > partitions else rows.repartition(*by)
         return OrderedGroups(collapse(placed), keys, order, sliced=False)
 
-    spark = rows.sparkSession
-    wanted = -(-total // min(SLICE_ROWS, limit))
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, MAX_SLICES))
+    slices = max(partitions, min(-(-total // min(SLICE_ROWS, limit)), MAX_SLICES))
     laid_out = (
         collapse(rows)
         .repartitionByRange(slices, *[F.col(c) for c in keys + order])
         .withColumn(_SLICE, F.spark_partition_id())
     )
-    return OrderedGroups(materialise(laid_out), keys, order, sliced=True)
+    placed = materialise(laid_out)
+    if slices > partitions:
+        placed = placed.repartition(slices, _SLICE, *[F.col(k) for k in keys])
+    return OrderedGroups(placed, keys, order, sliced=True)

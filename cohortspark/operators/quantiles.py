@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.numeric import log_if_positive, ratio
+from cohortspark.functions.numeric import log_if_positive
 from cohortspark.operators.ordered import OrderedGroups, Running, Total, ordered_groups
 
 

@@ -11,7 +11,7 @@ from cohortspark.functions.numeric import uniform
 from cohortspark.operators import clean, describe, features, joins, quantiles
 from cohortspark.operators.hypothesis import cohens_d as effect_size
 from cohortspark.plans.registry import query
-from cohortspark.plans.stand_ins import SEED, complete_subject, manifest, readings, sql_uniform, subject, table, with_tables
+from cohortspark.plans.stand_ins import SEED, manifest, readings, sql_uniform, subject, table, with_tables
 from cohortspark.session import scratch_path
 from cohortspark.sources import readers, writers
 

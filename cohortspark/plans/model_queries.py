@@ -78,20 +78,25 @@ def bootstrap_ci(spark, sf_dir):
 
 _BINS_SQL = """WITH e AS (SELECT {key} AS k, quantile_cont(p, [{levels}]) AS edges FROM predictions GROUP BY ALL),
     b AS (SELECT {key} AS k, y, p, 1 + len(list_filter(edges, lambda x: x <= p)) AS bin FROM predictions JOIN e ON e.k = {key})
-    SELECT {out} bin::INT AS bin, round(avg(p), 6) AS mean_predicted, round(avg(y), 6) AS observed, count(*) AS n FROM b GROUP BY k, bin"""
+    SELECT {out} bin::INT AS bin, round(sum(p), 3) AS sum_predicted, round(avg(y), 6) AS observed, count(*) AS n FROM b GROUP BY k, bin"""
 _LEVELS = ", ".join(str(i / 10) for i in range(1, 10))
 
 
+def _sum_predicted():
+    """Mean times size: the predictions have three decimals, so their sum has no rounding ties."""
+    return F.round(F.col("mean_predicted") * F.col("n"), 3).alias("sum_predicted")
+
+
 @query(with_tables("predictions", _BINS_SQL.format(key="0", out="", levels=_LEVELS)))
 def calibration_bins(spark, sf_dir):
     bins = metrics.calibration_table(predictions(spark, sf_dir), "y", "p")
-    return bins.select("bin", F.round("mean_predicted", 6).alias("mean_predicted"), F.round("observed", 6).alias("observed"), "n")
+    return bins.select("bin", _sum_predicted(), F.round("observed", 6).alias("observed"), "n")
 
 
 @query(with_tables("predictions", _BINS_SQL.format(key="cohort", out="k AS cohort,", levels=_LEVELS)))
 def calibration_bins_by_cohort(spark, sf_dir):
     bins = metrics.calibration_table(predictions(spark, sf_dir), "y", "p", keys=["cohort"])
-    return bins.select("cohort", "bin", F.round("mean_predicted", 6).alias("mean_predicted"), F.round("observed", 6).alias("observed"), "n")
+    return bins.select("cohort", "bin", _sum_predicted(), F.round("observed", 6).alias("observed"), "n")
 
 
 @query(with_tables("predictions", "SELECT cohort, round(avg((p - y) * (p - y)), 6) AS brier_score FROM predictions GROUP BY cohort"))

@@ -56,3 +56,23 @@ def test_hot_group_is_spread(spark):
     df = spark.range(10_000).select(F.lit("one").alias("k"), F.col("id"))
     layout = ordered_groups(df, ["k"], ["id"], None, 1000)
     assert layout.rows.select("_slice").distinct().count() >= 4
+
+
+def test_many_rows_get_more_partitions(spark, monkeypatch):
+    from cohortspark.operators import ordered
+
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 100)
+    df = spark.range(1000).select((F.col("id") % 50).alias("k"), "id")
+    layout = ordered.ordered_groups(df, ["k"], ["id"]).compute(r=Running(F.lit(1)))
+    assert not layout.sliced and layout.rows.rdd.getNumPartitions() == 10
+    assert layout.frame().agg(F.sum("r")).first()[0] == 50 * 210
+
+
+def test_one_exchange_serves_all_tests(spark):
+    from cohortspark.operators import hypothesis
+
+    df = spark.range(400).select((F.col("id") % 4).alias("k"), (F.col("id") * 7 % 31).cast("double").alias("v"), (F.col("id") % 3 == 0).alias("g"))
+    tested = hypothesis.two_group_tests(df, ["k"], "v", F.col("g"))
+    plan = tested._jdf.queryExecution().executedPlan().toString()
+    # Broadcasts of the kept moments aside, the rows are shuffled once.
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange rangepartitioning" not in plan
