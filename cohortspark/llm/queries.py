@@ -1,6 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from cohortspark.llm import quality_queries
+import corpus_pipeline
+from cohortspark.llm import corpus_queries, quality_queries, web_queries
 from cohortspark.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "quality_queries"]
+__all__ = ["ORACLES", "QUERIES", "corpus_pipeline", "corpus_queries", "quality_queries", "web_queries"]
