@@ -56,7 +56,7 @@ def fit(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     rows = lookup_join(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), wanted, ["doc_id"])
     marked = rows.select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counts = marked.mapInArrow(_count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    held = counts.toPandas()  # a row per bucket
+    held = {c: x.to_numpy() for c, x in zip(counts.columns, counts.toArrow().columns)}  # a row per bucket
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     raw[held["bucket"]] += held["raw"]
     target[held["bucket"]] += held["target"]
