@@ -30,10 +30,10 @@ def ks_two_sample(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def rank_sum_exact(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-    """Null for rows whose groups are too large (or empty) to be counted."""
+    """Null for rows whose smaller group is too large (or empty) to be counted."""
 
     def tail(value, a, b):
-        countable = not pd.isna(value) and 0 < min(a, b) <= tails.EXACT_RANK_SUM and a * b <= tails.EXACT_RANK_SUM_CELLS
+        countable = not pd.isna(value) and 0 < min(a, b) <= tails.EXACT_RANK_SUM
         return tails.rank_sum_exact_tail(float(value), int(a), int(b)) if countable else None
 
     return pd.Series([tail(*row) for row in zip(u, n1, n2)], dtype=object)
@@ -41,4 +41,5 @@ def rank_sum_exact(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def hypergeometric(k: pd.Series, marked: pd.Series, drawn: pd.Series, population: pd.Series) -> pd.Series:
-    return pd.Series([tails.hypergeometric_tail(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(k, marked, drawn, population)])
+    rows = zip(k, marked, drawn, population)
+    return pd.Series([None if any(map(pd.isna, row)) else tails.hypergeometric_tail(*map(int, row)) for row in rows], dtype=object)

@@ -255,15 +255,16 @@ def _lattice_exit(n1: int, n2: int, height: int) -> float:
 EXACT_RANK_SUM = 8
 """Without ties, the rank-sum distribution is counted when a group is this small."""
 
-EXACT_RANK_SUM_CELLS = 400_000
-"""Largest n1 * n2 for which that count is made; beyond it the normal form is used."""
-
-
 def rank_sum_exact_tail(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p-value of the Mann-Whitney statistic without ties."""
+    """Two-sided exact p-value of the Mann-Whitney statistic without ties.
+
+    The tail is counted from its end, where coefficients are sums only; terms are taken away
+    from coefficients beyond the larger group's size, where a tail has at least a part in
+    n! of all orders, so no digit that counts is lost and none can fall below zero.
+    """
     small, large = (int(n1), int(n2)) if n1 <= n2 else (int(n2), int(n1))
     # Coefficients of the Gaussian binomial: prod (1 - q^(large+i)) / (1 - q^i).
-    size = small * large + 1
+    size = int(math.floor(min(u, n1 * n2 - u) + 1e-9)) + 1
     ways = np.zeros(size)
     ways[0] = 1.0
     for i in range(1, small + 1):
@@ -274,9 +275,7 @@ def rank_sum_exact_tail(u: float, n1: int, n2: int) -> float:
         for start in range(i):
             shifted[start::i] = np.cumsum(shifted[start::i])
         ways = shifted
-    top = max(u, n1 * n2 - u)
-    tail = ways[int(math.ceil(top - 1e-9)) :].sum() / ways.sum()
-    return float(min(1.0, 2 * tail))
+    return float(min(1.0, 2 * ways.sum() / math.comb(small + large, small)))
 
 
 def hypergeometric_tail(k: int, marked: int, drawn: int, population: int) -> float:

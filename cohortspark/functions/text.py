@@ -75,5 +75,5 @@ def count_share(count: Column, share: Column) -> Column:
 
 
 def signed_label(label: Column, name: str = "IR") -> Column:
-    """Boolean or 0/1 label as ``name+`` / ``name-``."""
-    return F.when(label.cast("int") == 1, F.lit(f"{name}+")).otherwise(F.lit(f"{name}-"))
+    """Boolean or 0/1 label as ``name+`` / ``name-``; null stays null."""
+    return F.when(label.cast("int") == 1, F.lit(f"{name}+")).when(label.isNotNull(), F.lit(f"{name}-"))

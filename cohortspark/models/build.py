@@ -65,9 +65,10 @@ def tree_params(params: dict) -> dict:
 
 
 def with_class_weight(df: DataFrame, label: str, algorithm: str, weight: str = "weight") -> DataFrame:
-    """Weight rows by class: neg/pos on positives, or balanced on both classes."""
-    counts = {bool(r[label]): r["count"] for r in df.groupBy(label).count().collect()}  # two rows
-    negative, positive = counts.get(False, 0), counts.get(True, 0)
+    """Weight rows by class: neg/pos on positives, or balanced on both classes; rows without a label are dropped."""
+    df = df.where(F.col(label).isNotNull())
+    positives = F.col(label).cast("boolean")
+    negative, positive = df.agg(F.count_if(~positives), F.count_if(positives)).first()
     if not negative or not positive:
         raise ValueError("both classes are needed to weight them")
     if algorithm == "CatBoost":

@@ -15,7 +15,6 @@ from cohortspark.operators.clean import column
 NOT_COMBINED = ["Release_No", "MET_ID", "IR", "SEX", "AGE", "RACE", "DIABETES"]
 LEAKING = ["Release_No", ".*HOMA-IR.*", ".*FASTING_INSULIN.*", ".*DIABETES.*"]
 BASELINE = ["AGE", "BMI", "FASTING_GLUCOSE", "HBA1C", "HDL_C", "RACE", "SEX", "TG", "T_CHO"]
-GENERATED = re.compile(r".*[mul|log|div|sqrt].*")
 
 
 def feature_expressions(bases: list[str]) -> dict[str, Column]:
@@ -84,17 +83,29 @@ def drop_target_derived(df: DataFrame, patterns: list[str] | None = None) -> Dat
     return df.select(*[column(c) for c in df.columns if not any(re.fullmatch(p, c) for p in patterns)])
 
 
+def _is_generated(name: str, columns: set[str]) -> bool:
+    """Whether a name is that of a transform, or of a pair, of columns that are there."""
+    for transform in ("_square", "_sqrt", "_log"):
+        if name.endswith(transform) and name.removesuffix(transform) in columns:
+            return True
+    for pair in ("_mul_", "_div_"):
+        pieces = name.split(pair)
+        if any(pair.join(pieces[:i]) in columns and pair.join(pieces[i:]) in columns for i in range(1, len(pieces))):
+            return True
+    return False
+
+
 def ablation_feature_sets(
     columns: list[str], target: str = "IR", base: list[str] | None = None, measured: list[str] | None = None
 ) -> dict[str, list[str]]:
     """Four nested feature lists over one table, the target left out.
 
-    ``measured`` names the variables that were not generated; by default those whose
-    name has none of the lower-case letters that only generated names contain.
+    ``measured`` names the variables that were not generated; by default those that are no
+    transform and no pair of other columns in the list.
     """
     features = [c for c in columns if c != target]
     base = BASELINE if base is None else base
-    measured = [c for c in features if not GENERATED.fullmatch(c)] if measured is None else measured
+    measured = [c for c in features if not _is_generated(c, set(columns))] if measured is None else measured
     extra = [c for c in measured if c not in base and c != target]
     return {
         "baseline": list(base),

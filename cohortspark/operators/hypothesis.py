@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import numeric, pvalues
 from cohortspark.functions.numeric import ratio
-from cohortspark.functions.tails import EXACT_RANK_SUM, EXACT_RANK_SUM_CELLS
+from cohortspark.functions.tails import EXACT_RANK_SUM
 from cohortspark.operators.joins import fits_broadcast, lookup_join
 from cohortspark.operators.ordered import OrderedGroups, Running, Total, ordered_groups
 from cohortspark.session import materialise
@@ -106,7 +106,7 @@ def with_rank_sum(table: DataFrame, exact: bool) -> DataFrame:
     table = table.withColumn("_z", z)
     table = numeric.with_normal_two_sided(table, "_z", "u_p").withColumn("u_p", F.when(u.isNotNull(), F.col("u_p")))
     if exact:
-        small = (F.col("_ties") == 0) & (F.least("n_neg", "n_pos") <= EXACT_RANK_SUM) & (n1 * n2 <= EXACT_RANK_SUM_CELLS)
+        small = (F.col("_ties") == 0) & (F.least("n_neg", "n_pos") <= EXACT_RANK_SUM)
         counted = pvalues.rank_sum_exact(F.when(small, u), F.col("n_neg"), F.col("n_pos"))
         table = table.withColumn("u_p", F.coalesce(counted, F.col("u_p")))
     return table.drop("_rank_sum", "_ties", "_sd", "_z")

@@ -12,8 +12,8 @@ from cohortspark.session import materialise
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
 HEAVY_ROWS = 5_000_000
+MOST_HEAVY = 100_000
 
 Pairs = list[str] | list[tuple[str, str]]
 
@@ -36,14 +36,17 @@ def lookup_join(
 
     The small side is computed once and measured.  Within the bounds it is broadcast.
     Beyond them the sides are shuffled, and keys with at least ``heavy_rows`` rows in
-    ``big`` are salted: their rows are spread over ``SALTS`` tasks by a hash of the
-    whole row and only their partners are repeated.  There are at most
-    rows / ``heavy_rows`` such keys, which bounds what is broadcast to mark them.  None
-    spares the count of the keys where they are even by construction.
+    ``big`` are salted: a key with k times that many rows is spread over k + 1 tasks by a hash
+    of the whole row, and only its partners are repeated.  The most frequent
+    ``MOST_HEAVY`` of them are broadcast to be marked; more than that are even by their number.
+    None spares the count of the keys where they are even by construction.  Rows of the small
+    side without a partner are never kept, so ``how`` is inner, left, left_semi or left_anti.
     ``on`` lists shared names or (big, small) pairs; the small side's key columns are
     dropped from the result.  With ``null_safe`` null keys meet each other; ``kept`` says the
     small side is materialised already, ``fits`` that it was measured already.
     """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"a lookup cannot be a {how} join")
     pairs = [(c, c) if isinstance(c, str) else c for c in on]
     mine, theirs = [b for b, _ in pairs], [f"_on_{i}" for i in range(len(pairs))]
     small = small if kept else materialise(small)
@@ -58,7 +61,8 @@ def lookup_join(
     if heavy_rows is None:
         return big.join(renamed, _all(match), how).drop(*theirs)
     heavy = big.groupBy(*[F.col(f"`{b}`").alias(f"_h{i}") for i, b in enumerate(mine)]).count().where(F.col("count") >= heavy_rows)
-    heavy = materialise(heavy.select(*[f"_h{i}" for i in range(len(pairs))], F.lit(True).alias("_heavy")))
+    heavy = heavy.orderBy(F.desc("count")).limit(MOST_HEAVY)
+    heavy = materialise(heavy.select(*[f"_h{i}" for i in range(len(pairs))], (F.expr(f"count div {heavy_rows}") + 1).alias("_salts")))
     if heavy.isEmpty():
         return big.join(renamed, _all(match), how).drop(*theirs)
 
@@ -66,11 +70,10 @@ def lookup_join(
         equal = [same(F.col(f"`{n}`"), F.col(f"_h{i}")) for i, n in enumerate(names)]
         return side.join(F.broadcast(heavy), _all(equal), "left").drop(*[f"_h{i}" for i in range(len(names))])
 
-    row_salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)).cast("int")
-    salted = marked(big, mine).withColumn("_salt", F.when(F.col("_heavy"), row_salt).otherwise(0)).drop("_heavy")
-    all_salts, only_first = F.array(*[F.lit(i) for i in range(SALTS)]), F.array(F.lit(0))
-    repeated = marked(renamed, theirs)
-    repeated = repeated.withColumn("_salt_s", F.explode(F.when(F.col("_heavy"), all_salts).otherwise(only_first))).drop("_heavy")
+    salts = F.coalesce("_salts", F.lit(1))
+    row_salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), salts)
+    salted = marked(big, mine).withColumn("_salt", row_salt).drop("_salts")
+    repeated = marked(renamed, theirs).withColumn("_salt_s", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("_salts")
     match.append(F.col("_salt") == F.col("_salt_s"))
     return salted.join(repeated, _all(match), how).drop("_salt", "_salt_s", *theirs)
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.numeric import ratio, uniform
+from cohortspark.functions.numeric import ratio
 from cohortspark.operators.hypothesis import group_counts
-from cohortspark.operators.joins import lookup_join
 from cohortspark.operators.ordered import Running, Total, ordered_groups
 from cohortspark.operators.quantiles import with_quantiles
+from cohortspark.session import materialise
 
 METRICS = ("roc_auc", "accuracy", "sensitivity", "specificity", "ppv", "npv", "f1", "youden", "pr_auc")
 
@@ -100,6 +103,11 @@ def classification_metrics(
         ratio(F.sum(beaten), F.max(t_pos).cast("double") * F.max(t_neg)).alias("roc_auc"),
         F.when(F.max(t_pos) > 0, F.sum(F.when(n_pos > 0, strip)) / F.max(t_pos)).alias("pr_auc"),
     )
+    return _with_metrics(table, keys, digits)
+
+
+def _with_metrics(table: DataFrame, keys: list[str], digits: int | None) -> DataFrame:
+    """Add what follows from the confusion counts."""
     TP, TN, FP, FN = (F.col(c) for c in ("TP", "TN", "FP", "FN"))
     table = table.withColumns(
         {
@@ -116,43 +124,118 @@ def classification_metrics(
     return table.select(*keys, "TP", "TN", "FP", "FN", *metrics)
 
 
+SLICE_ROWS = 200_000
+REPLICATES_AT_ONCE = 50
+
+
+def _generator(seed: int, *place: object) -> np.random.Generator:
+    """A generator that depends on the seed and the place alone, not on the task."""
+    return np.random.default_rng([seed, zlib.crc32(repr(place).encode())])
+
+
+def _draw_slices(keys: list[str], resamples: int, seed: int):
+    """How many positives and negatives every replicate draws from each slice of a key."""
+
+    def run(sizes: pd.DataFrame) -> pd.DataFrame:
+        sizes = sizes.sort_values("_slice", ascending=False)  # from the highest scores down
+        cells = sizes[["n_pos", "n_neg"]].to_numpy(float)
+        n = int(cells.sum())
+        drawn = _generator(seed, *sizes[keys].iloc[0].tolist()).multinomial(n, (cells / n).ravel(), resamples).reshape(resamples, -1, 2)
+        above = np.cumsum(drawn, axis=1) - drawn
+        lists = {"pos": drawn[:, :, 0], "neg": drawn[:, :, 1], "pos_above": above[:, :, 0], "neg_above": above[:, :, 1]}
+        out = sizes[[*keys, "_slice"]].copy()
+        for name, table in lists.items():
+            out[f"_{name}"] = list(table.T)
+        out["_neg_total"] = [drawn[:, :, 1].sum(axis=1)] * len(out)
+        return out
+
+    return run
+
+
+def _replicate_sums(keys: list[str], threshold: float, seed: int):
+    """What a slice adds to the curve areas and confusion counts of every replicate."""
+
+    def areas(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.where(n > 0, p / np.maximum(n, 1), 1.0)
+
+    def run(counts: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        counts = counts.sort_values("v", ascending=False)
+        plan = draws.iloc[0]
+        chance = {g: counts[f"n_{g}"].to_numpy(float) for g in ("pos", "neg")}
+        predicted = counts["v"].to_numpy() > threshold
+        parts = []
+        for at in range(0, len(plan["_pos"]), REPLICATES_AT_ONCE):
+            some = slice(at, at + REPLICATES_AT_ONCE)
+            draw = _generator(seed, *plan[[*keys, "_slice"]].tolist(), at)
+            got = {}
+            for g, share in chance.items():
+                wanted = np.asarray(plan[f"_{g}"])[some]
+                got[g] = draw.multinomial(wanted, share / share.sum()) if share.sum() else np.zeros((len(wanted), len(share)), int)
+            a, b = got["pos"], got["neg"]
+            tp = np.cumsum(a, axis=1) + np.asarray(plan["_pos_above"])[some, None]
+            fp = np.cumsum(b, axis=1) + np.asarray(plan["_neg_above"])[some, None]
+            below = np.asarray(plan["_neg_total"])[some, None] - fp
+            strip = (areas(tp, tp + fp) + areas(tp - a, tp - a + fp - b)) / 2
+            parts.append(pd.DataFrame({
+                "replicate": np.arange(at, at + len(a)), "_beaten": (a * (below + b / 2)).sum(axis=1), "_strip": (a * strip).sum(axis=1),
+                "TP": a[:, predicted].sum(axis=1), "FP": b[:, predicted].sum(axis=1), "TN": b[:, ~predicted].sum(axis=1), "FN": a[:, ~predicted].sum(axis=1),
+            }))
+        out = pd.concat(parts)
+        for k in keys:
+            out[k] = plan[k]
+        return out
+
+    return run
+
+
 def bootstrap_metrics(
     df: DataFrame,
-    key: str,
     label: str,
     score: str,
     resamples: int = 1000,
     seed: int = 30,
     threshold: float = 0.5,
     digits: int | None = 3,
+    keys: list[str] | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Percentile intervals of every metric by resampling rows with replacement.
+    """Percentile intervals of every metric by resampling rows with replacement, per ``keys``.
 
-    A draw is a hash of (seed, replicate, draw number) scaled to a row number, so a
-    replicate is the same whichever task computes it.  Draws meet the numbered rows,
-    and are at once added up per (replicate, score); nothing per draw is shuffled
-    when the scored rows are few enough to broadcast.
+    Rows with equal score and label are exchangeable, so a replicate is a multinomial draw of
+    counts.  Scores are cut into slices of about ``slice_rows`` rows.  First every replicate draws how
+    many positives and negatives come from each slice; then each slice draws its own
+    scores and adds up what it contributes, given what lies above it.  So no draw is
+    ever shuffled: a slice gives one row per replicate.  Draws depend on the seed, the key and
+    the slice alone.  Rows without a label or a score are left out, as in the estimate.
     """
-    scored = df.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("_p"))
-    numbered = ordered_groups(scored, [], ["_key"]).compute(_row=Running(F.lit(1))).frame()
-    numbered = numbered.select((F.col("_row") - 1).cast("bigint").alias("_row"), "_y", "_p")
-    n = scored.count()
-    spark = df.sparkSession
-    draws = spark.range(0, resamples * n, numPartitions=max(spark.sparkContext.defaultParallelism, resamples * n // 2_000_000 + 1))
-    draws = draws.select(F.expr(f"id div {n}").alias("replicate"), F.expr(f"id % {n}").alias("draw"))
-    draws = draws.select("replicate", F.floor(uniform(seed, "replicate", "draw") * n).alias("_row"))
-    resampled = lookup_join(draws, numbered, ["_row"], "inner", heavy_rows=None)  # uniform draws
-    resampled = resampled.groupBy("replicate", "_p", "_y").agg(F.count(F.lit(1)).alias("_w"))
-    replicates = classification_metrics(resampled, "_y", "_p", ["replicate"], threshold, digits, weight="_w")
-    long = replicates.unpivot(["replicate"], list(METRICS), "metric", "value")
+    keys = keys or []
+    counts = _score_counts(df, keys, label, score, None, None)
+    place = F.floor((F.col("c_pos") + F.col("c_neg") - 1) / slice_rows).alias("_slice")
+    counts = materialise(counts.select(*keys, "v", place, F.col("n_pos").cast("bigint"), F.col("n_neg").cast("bigint")))
+    sizes = counts.groupBy(*keys, "_slice").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+    kinds = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    head = f"{named}, " if keys else ""
+    lists = ", ".join(f"_{x} array<bigint>" for x in ("pos", "neg", "pos_above", "neg_above", "neg_total"))
+    draws = sizes.groupBy(*keys).applyInPandas(_draw_slices(keys, resamples, seed), f"{head}_slice bigint, {lists}")
+    schema = f"replicate bigint, _beaten double, _strip double, TP bigint, FP bigint, TN bigint, FN bigint{', ' + named if keys else ''}"
+    group = [*keys, "_slice"]
+    summed = counts.groupBy(*group).cogroup(draws.groupBy(*group)).applyInPandas(_replicate_sums(keys, threshold, seed), schema)
+    each = summed.groupBy(*keys, "replicate").agg(*[F.sum(c).alias(c) for c in ("_beaten", "_strip", "TP", "FP", "TN", "FN")])
+    n_pos, n_neg = F.col("TP") + F.col("FN"), F.col("TN") + F.col("FP")
+    each = each.withColumns({"roc_auc": ratio(F.col("_beaten"), n_pos.cast("double") * n_neg), "pr_auc": ratio(F.col("_strip"), n_pos)})
+    long = _with_metrics(each, [*keys, "replicate"], digits).unpivot([*keys, "replicate"], list(METRICS), "metric", "value")
     # ``resamples`` values per metric: a parameter, not the data, bounds this.
-    intervals = long.groupBy("metric").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"))
-    point = classification_metrics(df, label, score, threshold=threshold, digits=digits)
-    point = point.unpivot([], list(METRICS), "metric", "estimate").select("metric", "estimate")
+    intervals = long.groupBy(*keys, "metric").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"))
+    point = classification_metrics(df, label, score, keys, threshold, digits).unpivot(keys, list(METRICS), "metric", "estimate")
+    renamed = intervals.withColumnsRenamed({c: f"_of_{c}" for c in [*keys, "metric"]})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "metric"]])
     low, high = F.col("_ci")[0], F.col("_ci")[1]
     if digits is not None:
         low, high = F.round(low, digits), F.round(high, digits)
-    return point.join(F.broadcast(intervals), "metric").select("metric", "estimate", low.alias("ci_lower"), high.alias("ci_upper"))
+    return point.join(renamed, same).select(
+        *keys, "metric", "estimate", low.alias("ci_lower"), high.alias("ci_upper"), F.lit(resamples).alias("n_resamples"), F.lit(seed).alias("seed"),
+    )
 
 
 def calibration_table(

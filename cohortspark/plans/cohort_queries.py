@@ -7,24 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from cohortspark.functions import text
-from cohortspark.functions.numeric import uniform
 from cohortspark.operators import clean, describe, features, joins, quantiles
 from cohortspark.operators.hypothesis import cohens_d as effect_size
 from cohortspark.plans.registry import query
-from cohortspark.plans.stand_ins import SEED, manifest, readings, sql_uniform, subject, table, with_tables
+from cohortspark.plans.stand_ins import manifest, readings, subject, table, with_tables
 from cohortspark.session import scratch_path
 from cohortspark.sources import readers, writers
 
 
 def components(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Three component tables per participant, each missing some participants.
+    """Three component tables per participant; customers without orders and users without events leave gaps.
 
     Two of them carry the same measurement under different codes.
     """
-
-    def some(df: DataFrame, part: str, share: float) -> DataFrame:
-        return df.withColumn("_part", F.lit(part)).where(uniform(SEED, "SEQN", "_part") < share).drop("_part")
-
     customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("SEQN"), F.col("c_nationkey").alias("RIAGENDR"), F.col("c_acctbal").alias("LBXTC")
     )
@@ -34,16 +29,13 @@ def components(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     seen = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("SEQN")).agg(
         F.count(F.lit(1)).alias("LBXIN"), F.round(F.max("value"), 2).alias("LBDHDL")
     )
-    return [some(customers, "customer", 0.9), some(bought, "orders", 0.8), some(seen, "events", 0.7)]
+    return [customers, bought, seen]
 
 
-COMPONENTS_SQL = f"""
-WITH a AS (SELECT c_custkey AS SEQN, c_nationkey AS RIAGENDR, c_acctbal AS LBXTC FROM customer
-           WHERE {sql_uniform('c_custkey', "'customer'")} < 0.9),
-b AS (SELECT o_custkey AS SEQN, count(*) AS LBXGH, round(max(o_totalprice), 2) AS h1 FROM orders
-      GROUP BY o_custkey HAVING {sql_uniform('o_custkey', "'orders'")} < 0.8),
-c AS (SELECT user_id AS SEQN, count(*) AS LBXIN, round(max(value), 2) AS h2 FROM events
-      GROUP BY user_id HAVING {sql_uniform('user_id', "'events'")} < 0.7)
+COMPONENTS_SQL = """
+WITH a AS (SELECT c_custkey AS SEQN, c_nationkey AS RIAGENDR, c_acctbal AS LBXTC FROM customer),
+b AS (SELECT o_custkey AS SEQN, count(*) AS LBXGH, round(max(o_totalprice), 2) AS h1 FROM orders GROUP BY o_custkey),
+c AS (SELECT user_id AS SEQN, count(*) AS LBXIN, round(max(value), 2) AS h2 FROM events GROUP BY user_id)
 SELECT SEQN, RIAGENDR, LBXTC, LBXGH, coalesce(h1, h2) AS LBDHDD, LBXIN
 FROM a FULL JOIN b USING (SEQN) FULL JOIN c USING (SEQN)
 """
@@ -67,15 +59,16 @@ def schema_mapping(spark, sf_dir):
 
 
 @query(
-    """SELECT o_orderkey AS id, o_totalprice AS total,
-       CASE year(o_orderdate) WHEN 1997 THEN 0 WHEN 1998 THEN 1 ELSE 2 END AS file_seq
-       FROM orders WHERE year(o_orderdate) IN (1997, 1998, 1996)"""
+    """WITH y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), s AS (SELECT y, row_number() OVER (ORDER BY y % 3, y) - 1 AS file_seq FROM y)
+       SELECT o_orderkey AS id, o_totalprice AS total, file_seq::INT AS file_seq FROM orders JOIN s ON year(o_orderdate) = y"""
 )
 def cohort_yearly_union(spark, sf_dir):
+    """A file per year, all years, listed out of order."""
     orders = table(spark, sf_dir, "orders")
+    years = sorted((r[0] for r in orders.select(F.year("o_orderdate")).distinct().collect()), key=lambda y: (y % 3, y))
     listed = [
         orders.where(F.year("o_orderdate") == year).select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total"))
-        for year in (1997, 1998, 1996)
+        for year in years
     ]
     return clean.union_in_order(listed)
 
@@ -214,7 +207,7 @@ def finite_filter(spark, sf_dir):
 
 
 def _set_sql() -> str:
-    """AGE-like RACE and SEX aside, bases PRICE (extra), QTY and TOTAL (baseline)."""
+    """RACE and the label aside, bases price (extra), qty and total (baseline)."""
 
     def unary(x):
         return f"sqrt({x}) + log10({x})"
@@ -235,11 +228,10 @@ def _set_sql() -> str:
 @query(_set_sql())
 def feature_set_sizes(spark, sf_dir):
     rows = subject(spark, sf_dir).select(
-        F.col("id").alias("Release_No"), F.col("label").alias("IR"), F.col("qty").alias("QTY"), F.col("total").alias("TOTAL"),
-        F.col("price").alias("PRICE"), F.col("idx").alias("HOMA-IR"),
+        F.col("id").alias("Release_No"), F.col("label").alias("IR"), "qty", "total", "price", F.col("idx").alias("HOMA-IR"),
     )
     made = features.drop_target_derived(features.generate_interactions(rows))
-    sets = features.ablation_feature_sets(made.columns, "IR", base=["QTY", "RACE", "TOTAL"])
+    sets = features.ablation_feature_sets(made.columns, "IR", base=["RACE", "qty", "total"])
     sums = []
     for name, columns in sets.items():
         light = [F.col(c) for c in columns if "_mul_" not in c and not c.endswith("_square")]
@@ -318,14 +310,13 @@ def class_weights(spark, sf_dir):
     return weights.select("n_neg", "n_pos", *[F.round(c, 6).alias(c) for c in ("prevalence", "positive_weight", "balanced_neg", "balanced_pos")])
 
 
-@query(with_tables("subject", """WITH m AS (SELECT cohort, sex = 'F' AS f, price / total AS r FROM subject WHERE sex IN ('F', 'O') AND price IS NOT NULL),
+@query(with_tables("subject", """WITH m AS (SELECT cohort, sex = 'F' AS f, price / total AS r FROM subject WHERE price IS NOT NULL),
     s AS (SELECT cohort, count(*) FILTER (f) AS n_x, count(*) FILTER (NOT f) AS n_y, avg(r) FILTER (f) AS mx, avg(r) FILTER (NOT f) AS my,
           var_samp(r) FILTER (f) AS vx, var_samp(r) FILTER (NOT f) AS vy FROM m GROUP BY cohort)
     SELECT cohort, n_x, n_y, round(mx, 6) AS mean_x, round(my, 6) AS mean_y,
     round((mx - my) / sqrt(((n_x - 1) * vx + (n_y - 1) * vy) / (n_x + n_y - 2)), 6) AS cohens_d FROM s"""))
 def cohens_d(spark, sf_dir):
-    rows = subject(spark, sf_dir).where(F.col("sex").isin("F", "O"))
-    rows = features.log_ratio(rows, "price", "total", "ratio", log=False).where("ratio IS NOT NULL")
+    rows = features.log_ratio(subject(spark, sf_dir), "price", "total", "ratio", log=False).where("ratio IS NOT NULL")
     sized = effect_size(rows, ["cohort"], "ratio", F.col("sex") == "F")
     return sized.select("cohort", "n_x", "n_y", *[F.round(c, 6).alias(c) for c in ("mean_x", "mean_y", "cohens_d")])
 
@@ -368,7 +359,8 @@ def baseline_csv_scan(spark, sf_dir):
     path = scratch_path(spark, "baseline")
     customer = table(spark, sf_dir, "customer")
     follow = F.when(F.col("c_mktsegment") == "BUILDING", "Baseline").otherwise("Later")
-    writers.write_csv(customer.select(F.col("c_custkey").alias("Release_No"), follow.alias("FOLLOW"), F.col("c_nationkey").alias("SEX"), F.col("c_acctbal").alias("BMI")), path)
+    # As real files are: other columns too, in another order than the schema's.
+    writers.write_csv(customer.select(F.col("c_name").alias("NOTE"), F.col("c_acctbal").alias("BMI"), follow.alias("FOLLOW"), F.col("c_nationkey").alias("SEX"), F.col("c_custkey").alias("Release_No")), path)
     schema = StructType([StructField("Release_No", StringType()), StructField("FOLLOW", StringType()), StructField("SEX", LongType()), StructField("BMI", DoubleType())])
     return readers.read_baseline(spark, path, schema, ["Release_No", "SEX", "BMI"])
 
@@ -389,8 +381,8 @@ def sample_files(spark, sf_dir):
     long = readings(spark, sf_dir)
     # One text folder per sample, named like the vendor's files.
     export = long.select(
-        F.col("TargetID").cast("string").alias("TargetID"), F.col("AVG_Beta").cast("string").alias("AVG_Beta"),
-        F.col("det_p").cast("string").alias("Detection Pval"), F.concat(F.col("MET_ID").cast("string"), F.lit("_nor.txt")).alias("file"),
+        F.lit("x").alias("Index"), F.col("det_p").cast("string").alias("Detection Pval"), F.col("AVG_Beta").cast("string").alias("AVG_Beta"),
+        F.lit(1).alias("NBEADS"), F.col("TargetID").cast("string").alias("TargetID"), F.concat(F.col("MET_ID").cast("string"), F.lit("_nor.txt")).alias("file"),
     )
     export.hint("rebalance", "file").write.partitionBy("file").option("header", True).option("sep", "\t").csv(path)
     usable = readers.read_sample_readings(spark, path, limit=0.5)

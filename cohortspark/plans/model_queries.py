@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from cohortspark.models import build, evaluate, explain, search
 from cohortspark.operators import metrics, quantiles, splits
 from cohortspark.operators.metrics import METRICS
 from cohortspark.plans.registry import query
-from cohortspark.plans.stand_ins import complete_subject, predictions, sql_hash, sql_uniform, subject, with_tables
+from cohortspark.plans.stand_ins import complete_subject, predictions, sql_hash, subject, with_tables
 from cohortspark.session import scratch_path
 from cohortspark.sources import writers
 
@@ -58,22 +60,28 @@ def pr_auc(spark, sf_dir):
     return table_.select("cohort", "roc_auc", "pr_auc")
 
 
-RESAMPLES = 200
+RESAMPLES = 1000
 
 
-@query(with_tables("predictions", f"""WITH pos AS (SELECT row_number() OVER (ORDER BY id) - 1 AS row, y, p FROM predictions),
-    n AS (SELECT count(*) AS n FROM predictions),
-    d AS (SELECT rep AS replicate, floor({sql_uniform('rep', 'row')} * n)::BIGINT AS row FROM range({RESAMPLES}) r(rep), pos, n),
-    w AS (SELECT replicate, y, p FROM d JOIN pos USING (row)),
-    {_metrics_sql('w', 'replicate')},
-    l AS (UNPIVOT (SELECT k, {', '.join(METRICS)} FROM f) ON {', '.join(METRICS)} INTO NAME metric VALUE value),
-    ci AS (SELECT metric, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM l GROUP BY metric),
-    pt AS (SELECT * FROM (WITH {_metrics_sql('predictions', '0')} SELECT {', '.join(METRICS)} FROM f)),
-    pl AS (UNPIVOT pt ON {', '.join(METRICS)} INTO NAME metric VALUE value)
-    SELECT metric, round(value, 6) AS estimate, round(lo, 6) AS ci_lower, round(hi, 6) AS ci_upper FROM pl JOIN ci USING (metric)"""))
+@query(with_tables("predictions", f"""WITH {_metrics_sql('predictions', 'cohort')},
+    l AS (UNPIVOT (SELECT k, {', '.join(METRICS)} FROM f) ON {', '.join(METRICS)} INTO NAME metric VALUE value)
+    SELECT k AS cohort, metric, round(value, 6) AS estimate, TRUE AS inside, TRUE AS near_normal, {RESAMPLES} AS n_resamples FROM l"""))
 def bootstrap_ci(spark, sf_dir):
-    intervals = metrics.bootstrap_metrics(predictions(spark, sf_dir), "id", "y", "p", RESAMPLES, digits=None)
-    return intervals.select("metric", *[F.round(c, 6).alias(c) for c in ("estimate", "ci_lower", "ci_upper")])
+    """Intervals per cohort: each holds its estimate, and those of plain shares are as wide as the normal approximation says."""
+    rows = predictions(spark, sf_dir)
+    # A tenth of the rows again without a label, which must not count.
+    unlabelled = rows.where("id % 10 = 0").withColumn("y", F.lit(None).cast("int"))
+    intervals = metrics.bootstrap_metrics(rows.unionByName(unlabelled), "y", "p", RESAMPLES, digits=None, keys=["cohort"])
+    over = F.col("p") > 0.5
+    sizes = rows.groupBy("cohort").agg(
+        F.count(F.lit(1)).alias("accuracy"), F.sum("y").alias("sensitivity"), F.sum(1 - F.col("y")).alias("specificity"), F.count_if(over).alias("ppv"), F.count_if(~over).alias("npv"),
+    ).unpivot(["cohort"], ["accuracy", "sensitivity", "specificity", "ppv", "npv"], "metric", "n")
+    e, width = F.col("estimate"), F.col("ci_upper") - F.col("ci_lower")
+    normal = 2 * 1.959964 * F.sqrt(e * (1 - e) / F.col("n"))
+    near = F.coalesce(F.abs(width - normal) <= 0.25 * normal + 2 / F.col("n"), F.lit(True))
+    return intervals.join(sizes, ["cohort", "metric"], "left").select(
+        "cohort", "metric", F.round("estimate", 6).alias("estimate"), e.between(F.col("ci_lower"), F.col("ci_upper")).alias("inside"), near.alias("near_normal"), "n_resamples",
+    )
 
 
 _BINS_SQL = """WITH e AS (SELECT {key} AS k, quantile_cont(p, [{levels}]) AS edges FROM predictions GROUP BY ALL),
@@ -104,9 +112,16 @@ def brier(spark, sf_dir):
     return metrics.brier_score(predictions(spark, sf_dir), "y", "p", ["cohort"]).withColumn("brier_score", F.round("brier_score", 6))
 
 
-@query()
+@query(with_tables("predictions", """SELECT round(avg((p - y) * (p - y)), 6) AS brier_score, 0.0::DOUBLE AS score_intercept, 0.0::DOUBLE AS score_slope FROM predictions"""))
 def calibration_fit(spark, sf_dir):
-    return metrics.calibration_summary(predictions(spark, sf_dir), "y", "p")
+    """The fit by its score equations: residuals sum to zero, alone and times the logit."""
+    rows = predictions(spark, sf_dir)
+    fit = metrics.calibration_summary(rows, "y", "p", digits=None).first()
+    clipped = F.least(F.greatest(F.col("p"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    logit = F.log(clipped / (1 - clipped))
+    rest = F.col("y") - 1 / (1 + F.exp(-(F.lit(fit["calibration_intercept"]) + F.lit(fit["calibration_slope"]) * logit)))
+    near_zero = lambda c: (F.round(F.abs(c), 3) + 0.0)
+    return rows.agg(F.lit(round(fit["brier_score"], 6)).alias("brier_score"), near_zero(F.avg(rest)).alias("score_intercept"), near_zero(F.avg(rest * logit)).alias("score_slope"))
 
 
 @query(with_tables("predictions", """SELECT cohort, CASE WHEN p < 0 THEN 0 WHEN p > 1 THEN 51 ELSE least(floor(p / 0.02)::INT + 1, 50) END AS bin, count(*) AS n
@@ -116,15 +131,14 @@ def prediction_histogram(spark, sf_dir):
 
 
 @query(with_tables("subject", """WITH a AS (SELECT total AS v, row_number() OVER (ORDER BY total) - 1 AS i, count(*) OVER () AS n FROM subject WHERE sex = 'F'),
-    b AS (SELECT total AS v, row_number() OVER (ORDER BY total) - 1 AS i, count(*) OVER () AS n FROM subject WHERE sex = 'O'),
+    b AS (SELECT total AS v, row_number() OVER (ORDER BY total) - 1 AS i, count(*) OVER () AS n FROM subject WHERE sex <> 'F'),
     k AS (SELECT least((SELECT count(*) FROM a), (SELECT count(*) FROM b)) AS k),
     g AS (SELECT level, level * ((SELECT count(*) FROM a) - 1) / (k - 1)::DOUBLE AS ha, level * ((SELECT count(*) FROM b) - 1) / (k - 1)::DOUBLE AS hb
           FROM k, LATERAL (SELECT unnest(range(k)) AS level))
     SELECT level, round(a0.v + (a1.v - a0.v) * (ha - floor(ha)), 5) AS x, round(b0.v + (b1.v - b0.v) * (hb - floor(hb)), 5) AS y
     FROM g JOIN a a0 ON a0.i = floor(ha) JOIN a a1 ON a1.i = ceil(ha) JOIN b b0 ON b0.i = floor(hb) JOIN b b1 ON b1.i = ceil(hb)"""))
 def qq_quantiles(spark, sf_dir):
-    rows = subject(spark, sf_dir).where(F.col("sex").isin("F", "O"))
-    pairs = quantiles.quantile_pairs(rows, "total", F.col("sex") == "F")
+    pairs = quantiles.quantile_pairs(subject(spark, sf_dir), "total", F.col("sex") == "F")
     return pairs.select("level", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
@@ -134,6 +148,10 @@ _SPLIT_SQL = f"""WITH c AS (SELECT label, count(*) AS n, sum(count(*)) OVER () A
     r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {sql_hash('id')}, id) AS rn FROM complete_subject)"""
 
 
+_SIZES_SQL = _SPLIT_SQL + """, n AS (SELECT count(*) FILTER (rn <= quota) AS n_test, count(*) FILTER (rn > quota) AS n_train,
+    count(*) FILTER (rn <= quota AND label) AS n_pos, count(*) FILTER (rn <= quota AND NOT label) AS n_neg FROM r JOIN q USING (label))"""
+
+
 @query(with_tables("complete_subject", _SPLIT_SQL + " SELECT id, label, rn <= quota AS is_test FROM r JOIN q USING (label)"))
 def stratified_split(spark, sf_dir):
     return splits.stratified_split(complete_subject(spark, sf_dir).select("id", "label"), "id", "label")
@@ -218,14 +236,17 @@ def tree_attribution_rank(spark, sf_dir):
     return explain.rank_features(explain.tree_attributions(model, rows)[0], FEATURES)
 
 
-@query()
+@query(with_tables("complete_subject", _SIZES_SQL + " SELECT n_pos, n_neg, 2::BIGINT AS n_chosen, TRUE AS better_than_chance FROM n"))
 def top_features(spark, sf_dir):
     """Rank by attribution, refit on the top two, score the test rows."""
     rows = complete_subject(spark, sf_dir).select("id", "label", *FEATURES)
     run = build.train_classifier(rows, FEATURES, "id", "label", "CatBoost", SMALL)
     chosen, _, scored = explain.top_features_retrain(run.model, run.train, run.test.drop("p"), "label", "CatBoost", SMALL, top=2)
     table_ = metrics.classification_metrics(scored.withColumn("y", F.col("label").cast("int")), "y", "p")
-    return table_.withColumn("features", F.lit(";".join(chosen)))
+    return table_.select(
+        (F.col("TP") + F.col("FN")).alias("n_pos"), (F.col("TN") + F.col("FP")).alias("n_neg"), F.lit(len(set(chosen) & set(FEATURES))).cast("bigint").alias("n_chosen"),
+        (F.col("roc_auc") > 0.5).alias("better_than_chance"),
+    )
 
 
 @query()
@@ -238,7 +259,7 @@ def feature_ablation(spark, sf_dir):
 @query()
 def cross_cohort_transfer(spark, sf_dir):
     rows = complete_subject(spark, sf_dir).select("id", "sex", "label", *FEATURES)
-    cohorts = {name: rows.where(F.col("sex") == name) for name in ("F", "O")}
+    cohorts = {name: rows.where(F.col("sex") == name) for name in ("F", "O", "P")}
     return evaluate.cross_cohort_transfer(cohorts, FEATURES, "id", "label", {c: SMALL_PRESETS for c in cohorts})
 
 
@@ -248,17 +269,18 @@ def pooled_performance(spark, sf_dir):
     return evaluate.pooled_performance(rows, FEATURES, "id", "label", SMALL_PRESETS)[0]
 
 
-@query()
+@query(with_tables("complete_subject", "SELECT count(*) AS n, TRUE AS by_cutoff FROM complete_subject WHERE sex = 'P'"))
 def predict_unlabelled(spark, sf_dir):
-    """Train on two cohorts, save and load, label the third, count by group."""
+    """Train on two cohorts, save and load, label every row of the third by its probability."""
     rows = complete_subject(spark, sf_dir).select("id", "sex", "label", *FEATURES)
     model = build.fit_classifier(rows.where("sex <> 'P'"), FEATURES, "label", "CatBoost", SMALL)
     loaded = writers.load_model(writers.save_model(model, scratch_path(spark, "model")))
     labelled = build.predict_labels(loaded, rows.where("sex = 'P'").drop("label"))
-    return labelled.groupBy("IR").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"))
+    return labelled.agg(F.count(F.lit(1)).alias("n"), F.bool_and((F.col("p") > 0.5) == F.col("IR").cast("boolean")).alias("by_cutoff"))
 
 
-@query()
+@query(with_tables("complete_subject", _SIZES_SQL + f""" SELECT 'orders' AS training_data, {len(FEATURES)} AS n_features, n_train, n_test,
+    '{json.dumps(SMALL)}' AS hyperparameters, TRUE AS scored FROM n"""))
 def model_manifest(spark, sf_dir):
     rows = complete_subject(spark, sf_dir).select("id", "label", *FEATURES)
     run = build.train_classifier(rows, FEATURES, "id", "label", "CatBoost", SMALL)
@@ -268,7 +290,8 @@ def model_manifest(spark, sf_dir):
         "file": path.rsplit("/", 1)[-1], "training_data": "orders", "n_features": len(FEATURES), "n_train": run.train.count(), "n_test": run.test.count(),
         "params": SMALL, "roc_auc": scores["roc_auc"], "sensitivity": scores["sensitivity"], "npv": scores["npv"],
     }
-    return writers.model_manifest(spark, [entry])
+    scored = F.col("roc_auc").between(0.5, 1) & F.col("sensitivity").between(0, 1) & F.col("npv").between(0, 1)
+    return writers.model_manifest(spark, [entry]).select("training_data", "n_features", "n_train", "n_test", "hyperparameters", scored.alias("scored"))
 
 
 @query()

@@ -14,7 +14,8 @@ from cohortspark.operators.matrix import complete_readings
 
 SEED = 30
 LABEL_CUTOFF = 70000
-DETECTION_LIMIT = 0.9995
+FRAGILE, PRESENT = 5, 0.9
+"""Every fifth probe is read in nine samples of ten only; the others in all, however many samples there are."""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,7 +79,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((1 + F.col("x").cast("double")) / 2).alias("AVG_Beta"),
         uniform(SEED, "vec_id", "dim").alias("det_p"),
         (F.col("label") < 2).alias("positive"),
-    ).where(F.col("det_p") < DETECTION_LIMIT)
+    ).where((F.col("TargetID") % FRAGILE != 0) | (F.col("det_p") < PRESENT))
 
 
 def kept_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +89,7 @@ def kept_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probe manifest, every column text.  One probe per part key below 64."""
+    """Probe manifest, every column text, one probe per part."""
     number = F.col("p_partkey")
     place = number % 24
     chrom = F.when(place == 0, "X").when(place == 23, "Y").otherwise(place.cast("string"))
@@ -122,11 +123,12 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One position per supplier, some beyond every transcript."""
+    """One position per supplier, spread over all transcripts and a tenth beyond them."""
+    last = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
     return table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("TargetID"),
         (F.col("s_suppkey") % 24).alias("chrom"),
-        (F.col("s_suppkey") * 37 % 3000).alias("Position"),
+        (F.col("s_suppkey") * 7919 % (last * 11 // 10 + 1)).alias("Position"),
     )
 
 
@@ -157,7 +159,7 @@ TABLES = {
         SELECT dim AS TargetID, vec_id AS MET_ID, (1 + x::DOUBLE) / 2 AS AVG_Beta,
                {sql_uniform('vec_id', 'dim')} AS det_p, label < 2 AS positive
         FROM (SELECT vec_id, label, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM embeddings)
-        WHERE {sql_uniform('vec_id', 'dim')} < {DETECTION_LIMIT}""",
+        WHERE dim % {FRAGILE} <> 0 OR {sql_uniform('vec_id', 'dim')} < {PRESENT}""",
     "kept_readings": """
         SELECT * FROM readings WHERE TargetID IN (
             SELECT TargetID FROM readings GROUP BY TargetID
@@ -176,7 +178,7 @@ TABLES = {
                CASE p_partkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'incmpl' ELSE 'cmpl' END AS cdsEndStat
         FROM part""",
     "probe_positions": """
-        SELECT s_suppkey AS TargetID, s_suppkey % 24 AS chrom, s_suppkey * 37 % 3000 AS "Position" FROM supplier""",
+        SELECT s_suppkey AS TargetID, s_suppkey % 24 AS chrom, s_suppkey * 7919 % ((SELECT max(p_partkey) FROM part) * 11 // 10 + 1) AS "Position" FROM supplier""",
     "gene_sets": "SELECT DISTINCT p_type AS library, p_brand AS term, p_name AS gene FROM part",
     "query_genes": "SELECT DISTINCT p_name AS gene FROM part WHERE starts_with(p_name, 'red ')",
 }

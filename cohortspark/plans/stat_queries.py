@@ -94,21 +94,19 @@ def welch_probe(spark, sf_dir):
     )
 
 
-@query(with_tables("subject", """WITH s AS (SELECT cohort, sex = 'F' AS g, total AS v FROM subject WHERE sex IN ('F', 'O')),
+@query(with_tables("subject", """WITH s AS (SELECT cohort, sex = 'F' AS g, total AS v FROM subject),
     c AS (SELECT cohort, v, count(*) FILTER (NOT g) AS a, count(*) FILTER (g) AS b FROM s GROUP BY cohort, v),
     e AS (SELECT cohort, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY cohort) AS ta, sum(b) OVER (PARTITION BY cohort) AS tb
           FROM c WINDOW w AS (PARTITION BY cohort ORDER BY v))
     SELECT cohort, max(ta)::BIGINT AS n_neg, max(tb)::BIGINT AS n_pos, round(max(abs(ca / ta - cb / tb)), 6) AS ks_d FROM e GROUP BY cohort"""))
 def ks_two_sample(spark, sf_dir):
-    rows = subject(spark, sf_dir).where(F.col("sex").isin("F", "O"))
-    tested = hypothesis.ks_two_sample(rows, ["cohort"], "total", F.col("sex") == "F")
+    tested = hypothesis.ks_two_sample(subject(spark, sf_dir), ["cohort"], "total", F.col("sex") == "F")
     return tested.select("cohort", "n_neg", "n_pos", F.round("ks_d", 6).alias("ks_d"))
 
 
 @query()
 def ks_two_sample_p(spark, sf_dir):
-    rows = subject(spark, sf_dir).where(F.col("sex").isin("F", "O"))
-    return hypothesis.ks_two_sample(rows, ["cohort"], "total", F.col("sex") == "F")
+    return hypothesis.ks_two_sample(subject(spark, sf_dir), ["cohort"], "total", F.col("sex") == "F")
 
 
 def _phi(z: str) -> str:
@@ -167,12 +165,8 @@ def bh_adjust_by_family(spark, sf_dir):
     return adjusted.select("id", "family", "p1", F.round("adj_p1", 6).alias("adj_p1"))
 
 
-@query(f"""WITH {_TESTS_SQL}, h AS (SELECT id, least(1.0, max(w) OVER (PARTITION BY family ORDER BY p1, id ROWS UNBOUNDED PRECEDING)) AS q FROM (
-    SELECT id, family, p1, p1 * (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p1, id) + 1) AS w FROM t WHERE p1 IS NOT NULL)),
-    g AS (SELECT family, p1, max(q) AS top FROM h JOIN t USING (id, family) GROUP BY family, p1),
-    y AS (SELECT family, sum(1.0 / i) AS c FROM (SELECT family, unnest(range(1, n + 1)) AS i FROM (SELECT family, count(p1) AS n FROM t GROUP BY family)) GROUP BY family),
-    b AS {_bh_sql('p1', 'family')}
-    SELECT t.id AS id, round(min(least(1.0, p1 * n)), 6) AS bonferroni FROM t JOIN (SELECT family, count(p1) AS n FROM t GROUP BY family) USING (family) GROUP BY t.id""")
+@query(f"""WITH {_TESTS_SQL} SELECT id, round(least(1.0, p1 * n), 6) AS bonferroni
+    FROM t JOIN (SELECT family, count(p1) AS n FROM t GROUP BY family) USING (family)""")
 def bonferroni_adjust(spark, sf_dir):
     adjusted = multiple.adjust_pvalues(_tests(spark, sf_dir), ["p1"], by=["family"], method="bonferroni", prefix="b_")
     return adjusted.select("id", F.round("b_p1", 6).alias("bonferroni"))
@@ -180,19 +174,19 @@ def bonferroni_adjust(spark, sf_dir):
 
 @query(f"""WITH {_TESTS_SQL}, r AS (SELECT id, family, p2, p2 * (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p2) + 1) AS w
     FROM t WHERE p2 IS NOT NULL)
-    SELECT id, family, round(least(1.0, max(w) OVER (PARTITION BY family ORDER BY p2 ROWS UNBOUNDED PRECEDING)), 6) AS holm FROM r""")
+    SELECT t.id AS id, t.family AS family, round(q, 6) AS holm FROM t LEFT JOIN (
+    SELECT id, least(1.0, max(w) OVER (PARTITION BY family ORDER BY p2 ROWS UNBOUNDED PRECEDING)) AS q FROM r) h ON h.id = t.id""")
 def holm_adjust(spark, sf_dir):
-    tested = _tests(spark, sf_dir).where("p2 IS NOT NULL")
-    adjusted = multiple.adjust_pvalues(tested, ["p2"], by=["family"], method="holm")
+    adjusted = multiple.adjust_pvalues(_tests(spark, sf_dir), ["p2"], by=["family"], method="holm")
     return adjusted.select("id", "family", F.round("adj_p2", 6).alias("holm"))
 
 
 @query(f"""WITH {_TESTS_SQL}, y AS (SELECT sum(1.0 / i) AS c FROM (SELECT unnest(range(1, n + 1)) AS i FROM (SELECT count(p2) AS n FROM t))),
     r AS (SELECT id, p2, row_number() OVER (ORDER BY p2) AS rk, p2 * count(*) OVER () * (SELECT c FROM y) / row_number() OVER (ORDER BY p2) AS w FROM t WHERE p2 IS NOT NULL)
-    SELECT id, round(least(1.0, min(w) OVER (ORDER BY p2 DESC ROWS UNBOUNDED PRECEDING)), 6) AS fdr_by FROM r""")
+    SELECT t.id AS id, round(q, 6) AS fdr_by FROM t LEFT JOIN (
+    SELECT id, least(1.0, min(w) OVER (ORDER BY p2 DESC ROWS UNBOUNDED PRECEDING)) AS q FROM r) b ON b.id = t.id""")
 def by_adjust(spark, sf_dir):
-    tested = _tests(spark, sf_dir).where("p2 IS NOT NULL")
-    adjusted = multiple.adjust_pvalues(tested, ["p2"], method="fdr_by")
+    adjusted = multiple.adjust_pvalues(_tests(spark, sf_dir), ["p2"], method="fdr_by")
     return adjusted.select("id", F.round("adj_p2", 6).alias("fdr_by"))
 
 

@@ -43,6 +43,20 @@ DIASTOLIC = ["SIT_1_DIASTOLIC_PRESSURE", "SIT_2_DIASTOLIC_PRESSURE"]
 SYSTOLIC = ["SIT_1_SYSTOLIC_PRESSURE", "SIT_2_SYSTOLIC_PRESSURE"]
 
 
+def read_named(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",", **options: str) -> DataFrame:
+    """Delimited text with a header: the schema's columns by name, whatever else the files hold and in which order.
+
+    A cell that does not fit its type is null; a missing column raises.  Files of one read must
+    share a header, which is checked.
+    """
+    fields = schema.fields if isinstance(schema, StructType) else StructType.fromDDL(schema).fields
+    rows = spark.read.options(header=True, sep=sep, inferSchema=False, enforceSchema=False, **options).csv(path)
+    absent = [f.name for f in fields if f.name not in rows.columns]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    return rows.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in fields], "_metadata")
+
+
 def _strings(*names: str) -> list[StructField]:
     return [StructField(n, StringType()) for n in names]
 
@@ -110,8 +124,8 @@ def process_years(files: list[DataFrame]) -> DataFrame:
 
 
 def read_baseline(spark: SparkSession, path: str, schema: StructType, columns: list[str], visit: str = "Baseline") -> DataFrame:
-    """CSV with a fixed schema: baseline visits, chosen columns, bad cells null."""
-    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """CSV read by column name: baseline visits, chosen columns, bad cells null."""
+    rows = read_named(spark, path, schema)
     return rows.where(F.col("FOLLOW") == visit).select(*[column(c) for c in columns])
 
 
@@ -134,7 +148,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sample_readings(spark: SparkSession, path: str, sample: str = r"([^/=]+)_nor\.txt", limit: float = 0.001) -> DataFrame:
     """Text files per sample below ``path``; ``sample`` finds the sample in a file's path."""
-    rows = spark.read.schema(READING_SCHEMA).option("header", True).option("sep", "\t").option("recursiveFileLookup", True).csv(path)
+    rows = read_named(spark, path, READING_SCHEMA, "\t", recursiveFileLookup="true")
     beta, detection = F.expr("try_cast(AVG_Beta AS double)"), F.expr("try_cast(`Detection Pval` AS double)")
     return rows.select(
         "TargetID",
@@ -160,4 +174,4 @@ def read_samples(spark: SparkSession, path: str, columns: tuple[str, ...] = ("Ta
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return read_named(spark, path, schema).drop("_metadata")

@@ -205,8 +205,20 @@ def test_bootstrap_and_calibration(spark):
         p = draw.random()
         rows.append((i, int(draw.random() < p), p))
     df = spark.createDataFrame(rows, "id int, y int, p double")
-    intervals = metrics.bootstrap_metrics(df, "id", "y", "p", resamples=100).collect()
+    intervals = metrics.bootstrap_metrics(df, "y", "p", resamples=100).collect()
     assert len(intervals) == 9
+    again = metrics.bootstrap_metrics(df.repartition(3), "y", "p", resamples=100).collect()
+    assert sorted(intervals) == sorted(again)
+    unlabelled = df.withColumn("y", F.lit(None).cast("int"))
+    assert sorted(metrics.bootstrap_metrics(df.unionByName(unlabelled), "y", "p", resamples=100).collect()) == sorted(intervals)
+    both = df.withColumn("model", F.lit("a")).unionByName(df.withColumns({"model": F.lit("b"), "p": 1 - F.col("p")}))
+    keyed = metrics.bootstrap_metrics(both, "y", "p", resamples=200, keys=["model"], slice_rows=37, digits=None).collect()
+    assert len(keyed) == 18 and all(r["ci_lower"] <= r["estimate"] <= r["ci_upper"] for r in keyed)
+    wide = {(r["model"], r["metric"]): r for r in keyed}
+    n, share = len(rows), wide["a", "accuracy"]["estimate"]
+    normal = 2 * 1.96 * math.sqrt(share * (1 - share) / n)
+    assert wide["a", "accuracy"]["ci_upper"] - wide["a", "accuracy"]["ci_lower"] == pytest.approx(normal, rel=0.25)
+    assert wide["a", "roc_auc"]["estimate"] == pytest.approx(1 - wide["b", "roc_auc"]["estimate"])
     assert all(r["ci_lower"] <= r["estimate"] <= r["ci_upper"] for r in intervals)
     bins = metrics.calibration_table(df, "y", "p").orderBy("bin").collect()
     assert [r["bin"] for r in bins] == list(range(1, 11)) and sum(r["n"] for r in bins) == 400

@@ -1,6 +1,7 @@
 """Tail probabilities against known constants and full enumeration."""
 
 import math
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -88,3 +89,32 @@ def test_normal_cdf_expression(spark):
     xs = [x / 16 for x in range(-160, 161)]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", numeric.normal_cdf("x").alias("y")).collect()
     assert all(abs(r["y"] - 0.5 * math.erfc(-r["x"] / math.sqrt(2))) < 1e-12 for r in got)
+
+
+@pytest.mark.parametrize("n1,n2", [(1, 5), (3, 7), (8, 12), (8, 1_000), (2, 60_000)])
+def test_rank_sum_tail_by_integers(n1, n2):
+    size = n1 * n2 + 1
+    ways = [1] + [0] * (size - 1)
+    for i in range(1, n1 + 1):  # whole numbers, so nothing is lost
+        for u in range(size - 1, n2 + i - 1, -1):
+            ways[u] -= ways[u - n2 - i]
+        for u in range(i, size):
+            ways[u] += ways[u - i]
+    total = math.comb(n1 + n2, n1)
+    assert sum(ways) == total
+    for u in sorted({0, 1, 2, n2 // 2, n2, n1 * n2 // 4, n1 * n2 // 2, n1 * n2, min(n2 + 1, n1 * n2)}):
+        low = min(u, n1 * n2 - u)
+        exact = min(1.0, float(Fraction(2 * sum(ways[: low + 1]), total)))
+        assert tails.rank_sum_exact_tail(u, n1, n2) == pytest.approx(exact, rel=1e-9)
+
+
+@pytest.mark.parametrize("d", [0.004, 0.006, 0.01])
+def test_one_sided_sum_and_expansion_meet(d):
+    n = 200_000
+    assert tails._one_sided_ks(n, d) == pytest.approx(math.exp(-((6 * n * d + 1) ** 2) / (18 * n)), rel=2e-3)
+
+
+@pytest.mark.parametrize("d", [0.0016, 0.0024])
+def test_matrix_and_expansion_meet(d):
+    n = 100_000
+    assert tails._matrix_ks_cdf(n, d) == pytest.approx(tails._expansion_ks_cdf(n, d), abs=1e-6)
