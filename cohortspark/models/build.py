@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from cohortspark.operators.splits import SEED, stratified_split
 from cohortspark.session import materialise
 
-# Default size, step and depth of each preset.
+# Default size, step and depth of each preset.  CatBoost grows 1,000 trees by default where it is
+# native; as Spark trees are grown one job each, 200 is the default here, and ``n_estimators`` is a parameter.
 PRESETS = {
     "XGBoost": {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 6},
     "lightGBM": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 5},
     "CatBoost": {"n_estimators": 200, "learning_rate": 0.06, "max_depth": 6},
 }
 THRESHOLD = 0.5
+FOREST_DEPTH = 12
 SEARCH_SPACE = {
     "XGBoost": {
         "max_depth": (3, 12), "learning_rate": (0.01, 0.2), "colsample_bytree": (0.5, 1), "min_child_weight": (1, 20),
@@ -38,7 +40,7 @@ SEARCH_SPACE = {
     },
     "CatBoost": {"max_depth": (3, 12), "learning_rate": (0.01, 0.2), "colsample_bylevel": (0.5, 1), "reg_lambda": (0.001, 10)},
 }
-"""Ranges searched per preset."""
+"""Ranges searched per preset; fixed values."""
 
 
 def tree_params(params: dict) -> dict:
@@ -199,14 +201,15 @@ def average_predictions(frames: list[DataFrame], key: str, label: str, p: str =
 def build_regressors(seed: int = SEED, sizes: dict | None = None) -> dict[str, tuple]:
     """Model name to (feature stages, regressor), all with default settings.
 
-    ``sizes`` overrides Spark parameters by model name, for instance fewer trees.
+    ``sizes`` overrides Spark parameters by model name, for instance fewer trees.  The forest's trees
+    grow to ``FOREST_DEPTH``, which its ``maxDepth`` raises up to the 30 levels that Spark's trees can have.
     """
     sizes = sizes or {}
 
     def boosted(name: str, preset: str) -> tuple:
         return (), GBTRegressor(seed=seed, cacheNodeIds=True, **(tree_params(PRESETS[preset]) | sizes.get(name, {})))
 
-    forest = {"numTrees": 100, "featureSubsetStrategy": "all", "maxDepth": 12} | sizes.get("RandomForest", {})
+    forest = {"numTrees": 100, "featureSubsetStrategy": "all", "maxDepth": FOREST_DEPTH} | sizes.get("RandomForest", {})
     return {
         "LinearRegression": ((), LinearRegression(regParam=0.0, standardization=False)),
         "Polynomial_Regression": (

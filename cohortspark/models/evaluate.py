@@ -18,6 +18,13 @@ from cohortspark.operators.metrics import METRICS, classification_metrics
 from cohortspark.operators.splits import SEED, assign_folds
 
 
+# The nine and seventeen variables of the two regression feature sets, in the order
+# in which trees break ties.
+CORE = ["AGE", "BMI", "FASTING_GLUCOSE", "HBA1C", "HDL_C", "SEX", "TG", "T_CHO"]
+ADDITIONAL = ["BUN", "CREATININE", "URIC_ACID", "LDL_C", "SGOT", "SGPT", "MAP", "BODY_WAISTLINE"]
+REGRESSION_SETS = {"nine": [*CORE, "RACE"], "seventeen": [*CORE, *ADDITIONAL, "RACE"]}
+
+
 def regression_scores(predictions: DataFrame, by: list[str], y: str = "y", fitted: str = "prediction") -> DataFrame:
     """R2, MAE and RMSE per group, two passes over centred values."""
     error = F.col(y) - F.col(fitted)
@@ -30,14 +37,15 @@ def regression_scores(predictions: DataFrame, by: list[str], y: str = "y", fitte
 
 
 def evaluate_feature_sets(
-    df: DataFrame, key: str, target: str, feature_sets: dict[str, list[str]], models: dict | None = None, folds: int = 5,
+    df: DataFrame, key: str, target: str, feature_sets: dict[str, list[str]] | None = None, models: dict | None = None, folds: int = 5,
     seed: int = SEED, log_target: bool = True,
 ) -> DataFrame:
-    """Cross-validate every regressor on every feature set; same folds throughout.
+    """Cross-validate every regressor on every feature set (default: the nine and the seventeen variables); same folds throughout.
 
     Returns ``model, feature_set, n_features, r2, mae, rmse`` (means over folds).
     """
     models = models or build_regressors(seed)
+    feature_sets = REGRESSION_SETS if feature_sets is None else feature_sets
     y = F.log(column(target)) if log_target else column(target).cast("double")
     used = list(dict.fromkeys(c for columns in feature_sets.values() for c in columns))
     rows = assign_folds(df.select(key, y.alias("label"), *[column(c) for c in used if c != key]), key, folds, seed).persist()

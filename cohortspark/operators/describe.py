@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.numeric import ratio
@@ -104,6 +104,17 @@ def count_cells(block: DataFrame) -> DataFrame:
     return block.select("level", *[cell(s).alias(f"cell_{s}") for s in ("all", "neg", "pos")])
 
 
+def descriptive_sheet(df: DataFrame, variables: list[str], by: str, label: str) -> DataFrame:
+    """The sheet that is reported: counts of ``by`` on top, the total first, then the variables in order of their names."""
+    counts = count_cells(count_block(df, by, label)).select(
+        F.when(F.col("level") == "total", 0).otherwise(1).alias("block"), F.col("level").alias("variable"), "cell_all", "cell_neg", "cell_pos"
+    )
+    table = variable_moments(df, variables, label)
+    cells = [mean_sd(F.col(f"mean_{s}"), F.col(f"sd_{s}")).alias(f"cell_{s}") for s in ("all", "neg", "pos")]
+    sheet = counts.unionByName(table.select(F.lit(2).alias("block"), "variable", *cells))
+    return sheet.withColumn("row", F.row_number().over(Window.orderBy("block", "variable"))).drop("block")  # a few rows
+
+
 def correlation_long(df: DataFrame, variables: list[str], by: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair, strict lower triangle (``x`` after ``y``)."""
     by = by or []

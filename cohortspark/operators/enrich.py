@@ -55,6 +55,14 @@ def overlap_genes(genes: DataFrame, sets: DataFrame, kept: DataFrame, library: s
     return kept.join(lists, ["library", "term"], "left")
 
 
+def reported_terms(genes: DataFrame, sets: DataFrame, alpha: float | None = ALPHA, **names: str) -> DataFrame:
+    """Over-represented terms with the genes they share, numbered by falling combined score, ties by library and term."""
+    found = over_representation(genes, sets, alpha, **names)
+    listed = overlap_genes(genes, sets, found, **names)
+    rank = F.row_number().over(Window.orderBy(F.desc("combined"), "library", "term"))  # one row per reported term
+    return listed.withColumn("rank", rank).orderBy("rank")
+
+
 def top_terms(results: DataFrame, n: int = 3, wrap: bool = True) -> DataFrame:
     """The ``n`` terms with the highest combined score per library."""
     rank = F.row_number().over(Window.partitionBy("library").orderBy(F.desc("combined"), "term"))

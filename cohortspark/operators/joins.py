@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
@@ -116,20 +116,17 @@ def drop_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def attach_checked(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join on a key that must be unique and identical on both sides.
 
-    Raises when a row of either side finds no partner or more than one, which is the
-    keyed form of pasting two aligned tables side by side.
+    Raises, when the rows are computed, if one of either side finds no partner or more than one:
+    the keyed form of pasting two aligned tables side by side.  Each side is read and shuffled once.
     """
-    problems = (
-        left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r"))
-        .unionByName(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
-        .groupBy(key)
-        .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-        .where("l != 1 OR r != 1")
-    )
-    example = problems.first()
-    if example is not None:
-        raise ValueError(f"tables are not aligned on {key}: {example.asDict()}")
-    return left.join(right, key)
+    one = lambda side, name: side.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(key)))
+    theirs = one(right, "_r").withColumnRenamed(key, "_key")
+    both = one(left, "_l").join(theirs, F.col(f"`{key}`").eqNullSafe(F.col("_key")), "full_outer")
+    aligned = F.coalesce((F.col("_l") == 1) & (F.col("_r") == 1), F.lit(False))
+    shown = F.coalesce(F.col(f"`{key}`").cast("string"), F.col("_key").cast("string"), F.lit("null"))
+    wrong = F.raise_error(F.concat(F.lit(f"tables are not aligned on {key}: "), shown))
+    kept = F.when(aligned, F.col(f"`{key}`")).otherwise(wrong.cast(left.schema[key].dataType))
+    return both.withColumn(key, kept).drop("_l", "_r", "_key")
 
 
 def points_in_intervals(

@@ -59,6 +59,8 @@ def adjust_pvalues(
             *[F.col(b).alias(f"_b_{b}") for b in by], F.col("p").alias("_p"), F.col("q").alias(name)
         )
         on = [(b, f"_b_{b}") for b in by] + [(column, "_p")]
+        # A join by shuffle also counts the keys of what it is given: not of a chain that is computed again.
+        table = table if fits or not number else materialise(table)
         table = lookup_join(table, one, on, "left", null_safe=True, kept=True, fits=fits)
     return table
 

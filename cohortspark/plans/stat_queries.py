@@ -328,3 +328,51 @@ def top_terms_per_library(spark, sf_dir):
     tested = enrich.over_representation(genes, sets, alpha=None).withColumn("combined", F.round("combined", 5))
     top = enrich.top_terms(tested, 3, wrap=False).select("library", "term", F.col("rank").cast("bigint").alias("rank"), "combined")
     return enrich.overlap_genes(genes, sets, top)
+
+
+@query(with_tables("subject", """WITH s AS (SELECT * FROM subject WHERE label IS NOT NULL AND sex IS NOT NULL),
+    c AS (SELECT coalesce(sex, 'total') AS level, count(*) AS a, count(*) FILTER (NOT label) AS b, count(*) FILTER (label) AS c FROM s GROUP BY GROUPING SETS ((sex), ())),
+    t AS (SELECT a AS ta, b AS tb, c AS tc FROM c WHERE level = 'total'),
+    x AS (SELECT CASE level WHEN 'total' THEN 0 ELSE 1 END AS block, level AS variable,
+        CASE level WHEN 'total' THEN format('{:,}', a) ELSE format('{:,}', a) || printf('(%.1f%%)', 100.0 * a / ta) END AS cell_all,
+        CASE level WHEN 'total' THEN format('{:,}', b) ELSE format('{:,}', b) || printf('(%.1f%%)', 100.0 * b / tb) END AS cell_neg,
+        CASE level WHEN 'total' THEN format('{:,}', c) ELSE format('{:,}', c) || printf('(%.1f%%)', 100.0 * c / tc) END AS cell_pos FROM c, t UNION ALL """
+    + " UNION ALL ".join(f"""SELECT 2, '{v}', printf('%.1f±%.1f', avg({v}), stddev_samp({v})), printf('%.1f±%.1f', avg({v}) FILTER (NOT label), stddev_samp({v}) FILTER (NOT label)),
+        printf('%.1f±%.1f', avg({v}) FILTER (label), stddev_samp({v}) FILTER (label)) FROM subject""" for v in ("qty", "total", "price"))
+    + ") SELECT variable, cell_all, cell_neg, cell_pos, row_number() OVER (ORDER BY block, variable)::INT AS row FROM x"))
+def descriptive_sheet(spark, sf_dir):
+    return describe.descriptive_sheet(subject(spark, sf_dir), ["qty", "total", "price"], "sex", "label")
+
+
+@query(with_tables("kept_readings, manifest, probe_positions, transcripts", _VOLCANO_SQL + """, h AS (SELECT p.TargetID AS TargetID, "Position", cdsStart, cdsEnd, cdsStartStat, cdsEndStat
+    FROM probe_positions p LEFT JOIN transcripts t ON p.chrom = t.chrom AND txStart < "Position" AND txEnd >= "Position"),
+    l AS (SELECT TargetID, CASE WHEN bool_or(coalesce(cdsStartStat = 'cmpl' AND cdsEndStat = 'cmpl' AND "Position" BETWEEN cdsStart AND cdsEnd, false)) THEN 'coding'
+    WHEN bool_or(coalesce(cdsStartStat <> 'cmpl' AND cdsEndStat <> 'cmpl', false)) THEN 'non_coding'
+    WHEN bool_or(cdsStartStat IS NULL AND cdsEndStat IS NULL) THEN 'no_annotate' END AS coding FROM h GROUP BY TargetID)
+    SELECT v.TargetID AS TargetID, CHR, round(log2_fc, 3) AS log2_fc, coding
+    FROM v JOIN manifest ON substr(Probe_ID, 3)::BIGINT = v.TargetID LEFT JOIN l ON l.TargetID = v.TargetID WHERE significant"""))
+def candidate_regions(spark, sf_dir):
+    """Significant probes with their annotation and the class of the region they lie in."""
+    probes = manifest(spark, sf_dir).withColumn("number", F.substring("Probe_ID", 3, 8).cast("bigint")).drop("Probe_ID")
+    regions = annotate.classify_region(_overlaps(spark, sf_dir))
+    return matrix.significant_points(_volcano(spark, sf_dir), probes, "number", regions).select("TargetID", "CHR", "log2_fc", "coding")
+
+
+@query(with_tables("gene_sets, query_genes", _ENRICH_SQL + """ SELECT library, term, round(combined, 5) AS combined,
+    (SELECT string_agg(gene, ';' ORDER BY gene) FROM gene_sets s WHERE s.library = q.library AND s.term = q.term AND gene IN (SELECT gene FROM query_genes)) AS genes
+    FROM q"""))
+def enrichment_report(spark, sf_dir):
+    """Every tested term with its shared genes; the order is tested where rounding cannot disturb it."""
+    report = enrich.reported_terms(query_genes(spark, sf_dir), gene_sets(spark, sf_dir), alpha=None)
+    return report.select("library", "term", F.round("combined", 5).alias("combined"), "genes")
+
+
+@query(with_tables("predictions", """SELECT p > 0.5 AS predicted, count(*) AS n, count(vec_id) AS n_on_array
+    FROM predictions LEFT JOIN embeddings ON vec_id = id GROUP BY ALL"""))
+def array_subset_counts(spark, sf_dir):
+    """Predicted labels of everyone, and of those who have an array identifier."""
+    from cohortspark.plans.stand_ins import predictions
+
+    lab = table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("MET_ID"))
+    linked = joins.lookup_join(predictions(spark, sf_dir), lab, [("id", "vec_id")], "left").na.fill("", ["MET_ID"])
+    return linked.groupBy((F.col("p") > 0.5).alias("predicted")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("MET_ID") != "").alias("n_on_array"))

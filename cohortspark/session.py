@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,13 +55,38 @@ def scratch_dir(spark: SparkSession) -> str:
         return current
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortspark-"))
+    own = tempfile.mkdtemp(prefix="cohortspark-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for a driver whose folder they do not have on their path."""
+    top = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        archive = Path(folder, f"{top.name}.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted(top.rglob("*.py")):
+                out.write(source, source.relative_to(top.parent))
+        spark.sparkContext.addPyFile(str(archive))
+
+
+_WRITTEN: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every folder that :func:`scratch_path` named in this process; tables read from them are gone."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    while _WRITTEN:
+        path = paths(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_dir(spark).rstrip('/')}/cohortspark-{name}-{uuid4().hex}"
+    """A fresh path below the shared folder, removed by :func:`clear_scratch`."""
+    _WRITTEN.append(f"{scratch_dir(spark).rstrip('/')}/cohortspark-{name}-{uuid4().hex}")
+    return _WRITTEN[-1]
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohortspark.functions import text
 from cohortspark.operators import annotate, clean, describe, enrich, features, joins, matrix
@@ -217,8 +218,8 @@ def test_alignment_is_checked(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), spark.createDataFrame([(2, 5), (1, 4)], "k int, b int")
     assert sorted(map(tuple, joins.attach_checked(a, b, "k").collect())) == [(1, "x", 4), (2, "y", 5)]
     for other in ([(1, 4)], [(1, 4), (2, 5), (3, 6)], [(1, 4), (2, 5), (2, 6)]):
-        with pytest.raises(ValueError):
-            joins.attach_checked(a, spark.createDataFrame(other, "k int, b int"), "k")
+        with pytest.raises(Exception, match="not aligned"):
+            joins.attach_checked(a, spark.createDataFrame(other, "k int, b int"), "k").collect()
 
 
 def test_region_classes(spark):
@@ -295,3 +296,33 @@ def test_correlation_is_pairwise_complete(spark):
     df = spark.createDataFrame([(1.0, 2.0, None), (2.0, 4.0, 1.0), (3.0, 6.0, 0.0), (None, 1.0, 5.0)], "a double, b double, c double")
     got = {(r["x"], r["y"]): r["r"] for r in describe.correlation_long(df, ["a", "b", "c"]).collect()}
     assert set(got) == set(itertools.combinations("cba", 2)) and got["b", "a"] == pytest.approx(1)
+
+
+def test_text_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "lab.csv").write_text("NOTE,MET_ID,FOLLOW,AGE,Release_No\nx,m1,Baseline,41,007\ny,m2,Later,42,008\nz,,Baseline,old,009\n")
+    schema = "Release_No string, FOLLOW string, AGE bigint, MET_ID string"
+    read = readers.read_baseline(spark, str(tmp_path / "lab.csv"), StructType.fromDDL(schema), ["Release_No", "AGE", "MET_ID"])
+    assert sorted(tuple(r) for r in read.collect()) == [("007", 41, "m1"), ("009", None, None)]
+    with pytest.raises(ValueError, match="HEIGHT"):
+        readers.read_csv_table(spark, str(tmp_path / "lab.csv"), "Release_No string, HEIGHT double")
+    folder = tmp_path / "MET"
+    folder.mkdir()
+    (folder / "s1_nor.txt").write_text("Index\tDetection Pval\tTargetID\tAVG_Beta\n1\t0.0001\tcg1\t0.5\n2\t0.2\tcg2\t0.6\n")
+    assert [(r["TargetID"], r["AVG_Beta"], r["MET_ID"]) for r in readers.read_sample_readings(spark, str(folder)).collect()] == [("cg1", 0.5, "s1")]
+
+
+def test_lookups_keep_no_lonely_rows(spark):
+    rows = spark.createDataFrame([(1,)], "k int")
+    for how in ("right", "full_outer"):
+        with pytest.raises(ValueError):
+            joins.lookup_join(rows, rows, ["k"], how)
+
+
+def test_generated_names_in_lower_case():
+    names = ["qty", "total", "logo", "qty_square", "qty_log", "qty_mul_total", "logo_div_qty", "multi_mul_x"]
+    assert features.ablation_feature_sets([*names, "IR"], base=["qty"])["extended"] == ["qty", "total", "logo", "multi_mul_x"]
+
+
+def test_a_missing_label_has_no_sign(spark):
+    shown = spark.createDataFrame([(True,), (False,), (None,)], "l boolean").select(text.signed_label(F.col("l"))).collect()
+    assert [r[0] for r in shown] == ["IR+", "IR-", None]

@@ -228,22 +228,25 @@ def test_bootstrap_and_calibration(spark):
     assert summary["brier_score"] == pytest.approx(np.mean([(p - y) ** 2 for _, y, p in rows]))
 
 
-@pytest.mark.parametrize("limit", [None, 2000])
-def test_split_sizes(spark, limit):
+def test_split_sizes(spark):
     df = spark.range(26_798).select("id", (F.col("id") < 9_409).alias("label"))
-    got = splits.stratified_split(df, "id", "label", max_group_rows=limit).groupBy("label", "is_test").count().collect()
+    got = splits.stratified_split(df, "id", "label").groupBy("label", "is_test").count().collect()
     sizes = {(r["label"], r["is_test"]): r["count"] for r in got}
     assert sizes[True, True] + sizes[False, True] == 8_040
     assert sizes[True, False] + sizes[False, False] == 18_758
     assert sizes[True, True] == round(8_040 * 9_409 / 26_798)
 
 
-@pytest.mark.parametrize("limit", [None, 20])
-def test_folds(spark, limit):
+def test_a_continuous_column_is_no_label(spark):
+    with pytest.raises(ValueError):
+        splits.stratified_split(spark.range(2_000).withColumn("label", F.col("id")), "id", "label")
+
+
+def test_folds(spark):
     df = spark.range(103).select("id", (F.col("id") % 3 == 0).alias("label"))
-    sizes = [r["count"] for r in splits.assign_folds(df, "id", 5, max_group_rows=limit).groupBy("fold").count().orderBy("fold").collect()]
+    sizes = [r["count"] for r in splits.assign_folds(df, "id", 5).groupBy("fold").count().orderBy("fold").collect()]
     assert sizes == [21, 21, 21, 20, 20]
-    dealt = splits.assign_folds(df, "id", 5, by="label", max_group_rows=limit).groupBy("label", "fold").count().collect()
+    dealt = splits.assign_folds(df, "id", 5, by="label").groupBy("label", "fold").count().collect()
     for label, n in ((True, 35), (False, 68)):
         counts = [r["count"] for r in dealt if r["label"] == label]
         assert sum(counts) == n and max(counts) - min(counts) <= 1
