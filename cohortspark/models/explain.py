@@ -101,16 +101,17 @@ def attribute_batch(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
 def tree_attributions(model: PipelineModel, df: DataFrame, name: str = "attribution") -> tuple[DataFrame, float]:
     """Add an array of path-dependent Shapley values on the margin, in feature order.
 
-    The leaf rules travel with the function; rows are scored in Arrow batches where
+    The leaf rules are broadcast; rows are scored in Arrow batches where
     they are.  Returns the frame and the expected margin: it plus the attributions of
     a row is the row's margin.
     """
     leaves, expected = leaf_rules(model.stages[-1])
+    shared = df.sparkSession.sparkContext.broadcast(leaves)  # the size of the model
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def attribute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(list(attribute_batch(np.vstack(batch.to_numpy()).astype(float), leaves))) if len(batch) else batch
+            yield pd.Series(list(attribute_batch(np.vstack(batch.to_numpy()).astype(float), shared.value))) if len(batch) else batch
 
     features = model.stages[0].transform(df)
     return features.withColumn(name, attribute(vector_to_array("features"))).drop("features"), expected

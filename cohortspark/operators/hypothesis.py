@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions import numeric, pvalues
 from cohortspark.functions.numeric import ratio
 from cohortspark.functions.tails import EXACT_RANK_SUM
-from cohortspark.operators.joins import fits_broadcast, lookup_join
+from cohortspark.operators.joins import HEAVY_ROWS, fits_broadcast, lookup_join
 from cohortspark.operators.ordered import OrderedGroups, Running, Total, ordered_groups
 from cohortspark.session import materialise
 
@@ -58,12 +58,18 @@ def counted_layout(
     return layout.compute(**{f"c_{g}": Running(F.col(f"n_{g}")) for g in GROUPS})
 
 
-def attach_moments(counts: DataFrame, moments: DataFrame, keys: list[str], columns: list[str], fits: bool | None = None) -> DataFrame:
-    """Put a key's moments on each of its rows; ``fits`` when they were measured."""
+def attach_moments(
+    counts: DataFrame, moments: DataFrame, keys: list[str], columns: list[str], fits: bool | None = None, largest: int | None = None
+) -> DataFrame:
+    """Put a key's moments on each of its rows; ``fits`` when they were measured.
+
+    ``largest`` is the size of the largest key where it is known, which spares the count of keys.
+    """
     if not keys:
         row = moments.first()
         return counts.withColumns({c: F.lit(row[c]) for c in columns})
-    return lookup_join(counts, moments.select(*keys, *columns), keys, "inner", null_safe=True, kept=True, fits=fits)
+    heavy = None if largest is not None and largest < HEAVY_ROWS else HEAVY_ROWS
+    return lookup_join(counts, moments.select(*keys, *columns), keys, "inner", null_safe=True, kept=True, fits=fits, heavy_rows=heavy)
 
 
 def group_counts(
@@ -131,20 +137,29 @@ def two_group_tests(
     tests: tuple[str, ...] = ("u", "t", "ks1", "ks2"),
     exact_rank_sum: bool = True,
     max_group_rows: int | None = None,
+    complete: int | None = None,
 ) -> DataFrame:
     """Summaries and tests of ``value`` between two groups, one row per key.
 
+    With ``complete`` only keys with exactly that many usable values are tested; this is known from
+    the moments, so the data is read once for them and once for the layout.
+
     Columns per group: n, sum, mean, sd (n-1), med.  Tests: ``u`` Mann-Whitney,
     ``t`` Welch, ``ks1`` each group against a normal with that group's own mean and
     population sd, ``ks2`` between the groups.  One layout of the data serves all.
     """
     rows = labelled_values(df, keys, value, positive)
     moments = group_moments(rows, keys)
+    if complete is not None:
+        moments = moments.where(F.col("t_neg") + F.col("t_pos") == complete)
+    largest = moments.agg(F.max(F.col("t_neg") + F.col("t_pos"))).first()[0] or 0
+    fits = fits_broadcast(moments) if keys else True
+    if complete is not None and keys:
+        rows = lookup_join(rows, moments.select(*keys), keys, "left_semi", null_safe=True, kept=True, fits=fits, heavy_rows=None if largest < HEAVY_ROWS else HEAVY_ROWS)
     ordered = counted_layout(rows, keys, moments, max_group_rows).frame()
 
     placed = ["t_neg", "t_pos"] + (["mean_neg", "m2_neg", "mean_pos", "m2_pos"] if "ks1" in tests else [])
-    fits = fits_broadcast(moments) if keys else True
-    counts = attach_moments(ordered, moments, keys, placed, fits)
+    counts = attach_moments(ordered, moments, keys, placed, fits, largest)
     derived, aggregates = {}, {}
     for g in GROUPS:
         derived[f"mid_{g}"] = _middle(g)
@@ -160,7 +175,7 @@ def two_group_tests(
         aggregates |= {f"ks_d_{g}": F.max(f"gap_{g}") for g in GROUPS}
     ranked = counts.groupBy(*keys).agg(*[c.alias(name) for name, c in aggregates.items()])
 
-    table = attach_moments(ranked, moments, keys, [c for c in moments.columns if c not in keys], fits)
+    table = attach_moments(ranked, moments, keys, [c for c in moments.columns if c not in keys], fits, largest)
     renames = {}
     for g in GROUPS:
         table = table.withColumn(f"sd_{g}", F.sqrt(ratio(F.col(f"m2_{g}"), F.col(f"t_{g}") - 1))).drop(f"m2_{g}")

@@ -58,9 +58,14 @@ def probe_statistics(
     value: str = "AVG_Beta",
     tests: tuple[str, ...] = ("u", "t", "ks1"),
     max_group_rows: int | None = None,
+    n_samples: int | None = None,
 ) -> DataFrame:
-    """Per probe and group: sum, sd, n, median; and the raw p-values."""
-    return two_group_tests(readings, [key], value, positive, tests, max_group_rows=max_group_rows)
+    """Per probe and group: sum, sd, n, median; and the raw p-values.
+
+    ``n_samples`` keeps the probes that every sample has, when a sample has at most one reading of a
+    probe and belongs to a group; it spares a pass before the tests.
+    """
+    return two_group_tests(readings, [key], value, positive, tests, max_group_rows=max_group_rows, complete=n_samples)
 
 
 def volcano(

@@ -30,6 +30,9 @@ from cohortspark.session import materialise
 MAX_GROUP_ROWS = 5_000_000
 """Rows one task may sort for one group before the group is cut into slices."""
 
+KEYLESS_ROWS = 250_000
+"""The same for rows without keys, which would otherwise all meet in one task."""
+
 SLICE_ROWS = 2_000_000
 """Rows aimed at per slice."""
 
@@ -156,7 +159,7 @@ def ordered_groups(
     order columns must be unique within a group.  ``sizes`` (rows of the largest group,
     rows in all) spares the count when the caller has measured them already.
     """
-    limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
+    limit = (MAX_GROUP_ROWS if keys else KEYLESS_ROWS) if max_group_rows is None else max_group_rows
     if sizes is None:
         sizes = rows.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
     largest, total = sizes[0] or 0, sizes[1] or 0

@@ -202,7 +202,8 @@ _VOLCANO_SQL = f"""WITH {_ranked('TargetID', 'AVG_Beta', 'positive', 'kept_readi
 
 def _volcano(spark, sf_dir):
     """Thresholds that some of the random readings pass."""
-    return matrix.differential_table(kept_readings(spark, sf_dir), F.col("positive"), log2fc_threshold=0.02, q_threshold=0.95)
+    n_samples = table(spark, sf_dir, "embeddings").count()
+    return matrix.differential_table(readings(spark, sf_dir), F.col("positive"), log2fc_threshold=0.02, q_threshold=0.95, n_samples=n_samples)
 
 
 @query(with_tables("kept_readings", _VOLCANO_SQL + """ SELECT TargetID, round(mean_neg, 6) AS mean_neg, round(mean_pos, 6) AS mean_pos, round(u_p, 6) AS u_p,
