@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortspark.models import build, evaluate, explain, search
@@ -194,11 +195,13 @@ def linear_regression_cv(spark, sf_dir):
     return scores.select("model", "feature_set", "n_features", *[F.round(c, 5).alias(c) for c in ("r2", "mae", "rmse")])
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{m}' AS model, 'four' AS feature_set, 4 AS n_features, TRUE AS better_than_mean FROM region WHERE r_regionkey = 0"
+    for m in ("LinearRegression", "Polynomial_Regression", "RandomForest", "XGBoost", "LightGBM", "CatBoost")))
 def regression_models(spark, sf_dir):
     small = {n: {"maxIter": 5, "maxDepth": 3} for n in ("XGBoost", "LightGBM", "CatBoost")} | {"RandomForest": {"numTrees": 5, "maxDepth": 4}}
     models = build.build_regressors(sizes=small)
-    return evaluate.evaluate_feature_sets(complete_subject(spark, sf_dir), "id", "idx", {"four": FEATURES}, models, folds=2)
+    scores = evaluate.evaluate_feature_sets(complete_subject(spark, sf_dir), "id", "idx", {"four": FEATURES}, models, folds=2)
+    return scores.select("model", "feature_set", "n_features", (F.col("r2").between(0, 1) & (F.col("mae") <= F.col("rmse"))).alias("better_than_mean"))
 
 
 @query(with_tables("complete_subject", """WITH s AS (SELECT avg(price) AS m1, avg(total) AS m2, var_pop(price) AS v1, var_pop(total) AS v2, covar_pop(price, total) AS v12,
@@ -229,11 +232,14 @@ def tree_attribution(spark, sf_dir):
     return explained.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(off).alias("n_off"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{f}' AS feature, TRUE AS in_order FROM region WHERE r_regionkey = 0" for f in FEATURES))
 def tree_attribution_rank(spark, sf_dir):
+    """Every feature once, by falling mean attribution; what the values are is tested on small models."""
     rows = complete_subject(spark, sf_dir).select("id", "label", *FEATURES)
     model = build.fit_classifier(rows, FEATURES, "label", "XGBoost", SMALL)
-    return explain.rank_features(explain.tree_attributions(model, rows)[0], FEATURES)
+    ranked = explain.rank_features(explain.tree_attributions(model, rows)[0], FEATURES)
+    before = F.lag("mean_abs").over(Window.orderBy(F.desc("mean_abs"), "feature"))  # four rows
+    return ranked.select("feature", ((F.col("mean_abs") >= 0) & (F.coalesce(before, F.col("mean_abs")) >= F.col("mean_abs"))).alias("in_order"))
 
 
 @query(with_tables("complete_subject", _SIZES_SQL + " SELECT n_pos, n_neg, 2::BIGINT AS n_chosen, TRUE AS better_than_chance FROM n"))
@@ -249,24 +255,39 @@ def top_features(spark, sf_dir):
     )
 
 
-@query()
+@query(with_tables("complete_subject", _SIZES_SQL + f""" SELECT s.name AS feature_set, s.n_features, n_pos, n_neg, s.n_features - 1 AS features_considered, TRUE AS some_used
+    FROM n, (VALUES ('one', 2), ('all', {len(FEATURES) + 1})) s(name, n_features)"""))
 def feature_ablation(spark, sf_dir):
     rows = complete_subject(spark, sf_dir).withColumn("constant", F.lit(1)).select("id", "label", "constant", *FEATURES)
     sets = {"one": ["qty", "constant"], "all": [*FEATURES, "constant"]}
-    return evaluate.feature_ablation(rows, "id", "label", sets, "XGBoost", SMALL)
+    table_ = evaluate.feature_ablation(rows, "id", "label", sets, "XGBoost", SMALL)
+    used = F.col("contributing_features").between(1, F.col("features_considered"))  # never the constant, which is not considered
+    return table_.select(
+        "feature_set", "n_features", (F.col("TP") + F.col("FN")).alias("n_pos"), (F.col("TN") + F.col("FP")).alias("n_neg"), "features_considered",
+        (used & (F.abs(F.col("cfr") - F.col("contributing_features") / F.col("features_considered")) < 1e-3)).alias("some_used"),
+    )
+
 
+_MODELS_SQL = "(VALUES ('XGBoost'), ('lightGBM'), ('CatBoost'), ('Voting')) m(model)"
 
-@query()
+
+@query(with_tables("complete_subject", f"""WITH c AS (SELECT sex, count(*) AS n FROM complete_subject GROUP BY sex)
+    SELECT 'within-cohort hold-out' AS evaluation, sex AS trained_on, sex || ' (hold-out)' AS evaluated_on, model, ceil(round(0.3 * n, 9))::BIGINT AS n_samples FROM c, {_MODELS_SQL}
+    UNION ALL SELECT 'cross-cohort', a.sex, b.sex || ' (all)', model, b.n FROM c a JOIN c b ON a.sex <> b.sex, {_MODELS_SQL}"""))
 def cross_cohort_transfer(spark, sf_dir):
     rows = complete_subject(spark, sf_dir).select("id", "sex", "label", *FEATURES)
     cohorts = {name: rows.where(F.col("sex") == name) for name in ("F", "O", "P")}
-    return evaluate.cross_cohort_transfer(cohorts, FEATURES, "id", "label", {c: SMALL_PRESETS for c in cohorts})
+    table_ = evaluate.cross_cohort_transfer(cohorts, FEATURES, "id", "label", {c: SMALL_PRESETS for c in cohorts})
+    return table_.select("evaluation", "trained_on", "evaluated_on", "model", "n_samples")
 
 
-@query()
+@query(with_tables("complete_subject", _SIZES_SQL + f" SELECT model, {len(FEATURES)} AS n_features, n_pos, n_neg, TRUE AS better_than_chance FROM n, {_MODELS_SQL}"))
 def pooled_performance(spark, sf_dir):
     rows = complete_subject(spark, sf_dir).select("id", "label", *FEATURES)
-    return evaluate.pooled_performance(rows, FEATURES, "id", "label", SMALL_PRESETS)[0]
+    table_ = evaluate.pooled_performance(rows, FEATURES, "id", "label", SMALL_PRESETS)[0]
+    return table_.select(
+        "model", "n_features", (F.col("TP") + F.col("FN")).alias("n_pos"), (F.col("TN") + F.col("FP")).alias("n_neg"), (F.col("roc_auc") > 0.5).alias("better_than_chance"),
+    )
 
 
 @query(with_tables("complete_subject", "SELECT count(*) AS n, TRUE AS by_cutoff FROM complete_subject WHERE sex = 'P'"))
@@ -294,7 +315,8 @@ def model_manifest(spark, sf_dir):
     return writers.model_manifest(spark, [entry]).select("training_data", "n_features", "n_train", "n_test", "hyperparameters", scored.alias("scored"))
 
 
-@query()
+@query("SELECT unnest(range(2))::INT AS candidate, TRUE AS scored FROM region WHERE r_regionkey = 0")
 def param_search(spark, sf_dir):
     rows = complete_subject(spark, sf_dir).select("id", "label", *FEATURES)
-    return search.search_parameters(rows, FEATURES, "id", "label", "CatBoost", n_candidates=2, folds=2, max_trees=4)[1]
+    means = search.search_parameters(rows, FEATURES, "id", "label", "CatBoost", n_candidates=2, folds=2, max_trees=4)[1]
+    return means.select("candidate", (F.col("mean_auc").between(0.5, 1) & F.col("n_estimators").between(1, 4)).alias("scored"))

