@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -417,3 +417,22 @@ def result_sheets(spark, sf_dir):
     count = lambda c: rows.groupBy(F.col(c).alias("level")).agg(F.count(F.lit(1)).alias("n"))
     path = writers.write_sheets({"status": count("sex"), "priority": count("cohort")}, scratch_path(spark, "sheets"))
     return spark.read.parquet(path).select("sheet", "level", "n")
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS n_out_of_order, (SELECT arg_max(o_orderkey, o_totalprice) FROM orders) AS first_id FROM orders")
+def sorted_export(spark, sf_dir):
+    """A sink in falling order, read back file by file."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    path = writers.write_parquet(rows, scratch_path(spark, "sorted"), order_by=[F.desc("o_totalprice"), "o_orderkey"])
+    read = spark.read.parquet(path).select("o_orderkey", "o_totalprice", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    # Within a file each row is at most the one before; between files, the least of one is at least the greatest of the next.
+    inside = read.withColumn("before", F.lag("o_totalprice").over(Window.partitionBy("file").orderBy("at")))
+    by_file = inside.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") < F.col("o_totalprice")).alias("wrong"), F.min("o_totalprice").alias("low"),
+        F.max("o_totalprice").alias("high"), F.min_by("o_orderkey", "at").alias("first"),
+    )
+    follows = by_file.withColumn("last_low", F.lag("low").over(Window.orderBy("file")))  # a row per file
+    return follows.agg(
+        F.sum("n").alias("n"), F.sum(F.col("wrong") + F.coalesce((F.col("last_low") < F.col("high")).cast("int"), F.lit(0))).alias("n_out_of_order"),
+        F.min_by("first", "file").alias("first_id"),
+    )

@@ -158,3 +158,9 @@ def test_normality_distance_agrees_with_spark(spark, cohort):
     built_in = KolmogorovSmirnovTest.test(cohort, "a", "norm", *moments).first()["statistic"]
     ours = two_group_tests(cohort, [], "a", F.lit(True), tests=("ks1",)).first()
     assert ours["ks_d_pos"] == pytest.approx(built_in, abs=1e-9) and ours["ks_d_neg"] is None
+
+
+def test_rows_without_a_label_have_no_weight(spark):
+    rows = spark.createDataFrame([(True,), (False,), (False,), (None,), (None,), (None,)], "label boolean")
+    weighted = build.with_class_weight(rows, "label", "CatBoost").groupBy("label").agg(F.sum("weight").alias("w")).collect()
+    assert {r["label"]: r["w"] for r in weighted} == {True: 1.5, False: 1.5}
