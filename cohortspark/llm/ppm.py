@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from cohortspark.llm.text import fold
 from cohortspark.session import materialise
 
-ORDER, CONTEXTS, HEAD = 4, 131_072, 300_000
+ORDER, CONTEXTS, HEAD = 4, 65_536, 200_000
 END, FILL = 255, b"\xff" * ORDER
 PIECE = 2 * 1024 * 1024  # bytes of text worked on at once
-HELD_IN_TASK = 1_500_000  # distinct grams or words a task holds before it hands them on
+HELD_IN_TASK = 1_000_000  # distinct grams a task holds before it hands them on; a fifth of that for words
+ROWS_AT_ONCE = 1_000
 FOLDS, HELD_OUT = 5, 1
 
 
@@ -143,19 +144,18 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarr
 
 def build(order: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> Trie:
     """The trie from rows (order, context, byte, count) whose contexts are closed under shortening."""
-    context = context.astype(np.uint64)
-    seen = np.unique(symbol).astype(np.int64)
+    seen = np.unique(symbol)
     column = np.full(256, len(seen), np.int64)
     column[seen] = np.arange(len(seen))
-    nodes = sorted(set(zip(order.tolist(), context.tolist()))) or [(0, 0)]
-    number = {node: i for i, node in enumerate(nodes)}
-    counts = np.zeros((len(nodes), len(seen)), np.float32)
-    if len(n):
-        counts[[number[x] for x in zip(order.tolist(), context.tolist())], column[symbol]] = n
-    shorter = np.array([number[j - 1, c & ((1 << (8 * (j - 1))) - 1)] if j else -1 for j, c in nodes])
-    logs = np.empty((len(nodes), len(seen) + 1), np.float32)
-    for at in range(0, len(nodes), 4_096):
-        rows = np.arange(at, min(at + 4_096, len(nodes)))
+    keys, at = np.unique(np.append(order << 32 | context, 0), return_inverse=True)  # the empty context is always there
+    counts = np.zeros((len(keys), len(seen)), np.float32)
+    counts[at[:-1], column[symbol]] = n
+    lengths, contexts = keys >> 32, keys & 0xFFFFFFFF
+    shorter = np.searchsorted(keys, lengths - 1 << 32 | contexts & (1 << 8 * np.maximum(lengths - 1, 0)) - 1)
+    shorter[0] = -1
+    logs = np.empty((len(keys), len(seen) + 1), np.float32)
+    for start in range(0, len(keys), 2_048):
+        rows = np.arange(start, min(start + 2_048, len(keys)))
         chance, free = np.zeros((len(rows), len(seen))), np.ones((len(rows), len(seen)), bool)
         mass, node, live = np.ones(len(rows)), rows.copy(), np.ones(len(rows), bool)
         while live.any():
@@ -172,8 +172,8 @@ def build(order: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndar
         logs[rows] = np.log10(np.concatenate((chance, left[:, None]), axis=1))
     tables = []
     for j in range(ORDER + 1):
-        own = [i for i, (o, _) in enumerate(nodes) if o == j]
-        tables.append(_hash_table(np.array([nodes[i][1] for i in own], np.uint64), np.array(own, np.int64)))
+        own = np.flatnonzero(lengths == j)
+        tables.append(_hash_table(contexts[own].astype(np.uint64), own))
     return Trie(tables, column, logs)
 
 
@@ -189,8 +189,8 @@ def train(texts: DataFrame, contexts: int = CONTEXTS) -> Trie:
     every = materialise(every.select("ord", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("symbol"), "n"))
     totals = every.groupBy("ord", "context").agg(F.sum("n").alias("total"))
     frequent = materialise(totals.orderBy(F.desc("total"), "ord", "context").limit(contexts).select("ord", "context"))
-    model = every.join(frequent, ["ord", "context"]).select("ord", "context", "symbol", "n").toPandas()  # at most 256 rows per kept context
-    return build(*[model[c].to_numpy(np.int64) for c in ("ord", "context", "symbol", "n")])
+    model = every.join(frequent, ["ord", "context"]).select("ord", "context", "symbol", "n").toArrow()  # at most 256 rows per kept context
+    return build(*[model.column(c).to_numpy().astype(np.int64) for c in ("ord", "context", "symbol", "n")])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             counts.update((text or "").encode().lower().split())
-            if len(counts) > HELD_IN_TASK // 4:
+            if len(counts) > HELD_IN_TASK // 5:
                 yield rows()
                 counts.clear()
     yield rows()
@@ -221,7 +221,7 @@ def _score_rows(model: Broadcast, head: Broadcast) -> Callable[[Iterator[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, known = model.value, head.value
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             texts = batch.column("text").to_pylist()
             sums = np.zeros(len(texts))
             for group in pieces(texts):
@@ -275,8 +275,9 @@ def score(docs: DataFrame, training: Column | None = None, key: str = "doc_id",
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_all, v = n_words + n_texts, distinct + (n_texts > 0)
     whole = n_all + 0.5 * (v + 1)
-    frequent = counts.orderBy(F.desc("n"), "word").limit(head).toPandas()
-    values = {bytes(w): float(np.log10((n + 0.5) / whole)) for w, n in zip(frequent["word"], frequent["n"])}
+    frequent = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    logs = np.log10((frequent.column("n").to_numpy() + 0.5) / whole)
+    values = dict(zip(frequent.column("word").to_pylist(), logs.tolist()))
     end = float(np.log10((n_texts + 0.5) / whole))
 
     model, known = spark.sparkContext.broadcast(train(learned, contexts)), spark.sparkContext.broadcast(values)
