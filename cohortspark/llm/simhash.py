@@ -267,7 +267,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     of_root = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     linked = rooted.join(of_root, "root").select("fp", "component_id")
     every = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(every, "fp").select("doc_id", "fp", "component_id")
+    # Kept as a table, so that the join reads two plain exchanges and many copies can be split over tasks.
+    return marked.join(materialise(every), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
