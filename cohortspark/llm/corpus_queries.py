@@ -13,7 +13,7 @@ from cohortspark.llm.text import LOWER, UPPER
 @query()
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    judged = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=simhash.SHINGLE, radius=simhash.RADIUS)
     return judged.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 

@@ -1,0 +1,146 @@
+"""Links between texts whose sets of word shingles are similar, exact at any size.
+
+Two sets with a Jaccard similarity of at least s share a shingle among the first
+n - ceil(s n) + 1 of each, in any order of all shingles that both follow.  So these prefixes meet
+in an equi join, and every pair that meets is verified on the whole sets.  Shingles that are
+frequent in a sample come last in the order; the sample decides the cost, never a link.
+
+All pairs at a shingle are compared, so a large group of near copies costs the square of its size; equal sets are
+one and cost nothing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from cohortspark.operators.joins import lookup_join
+from cohortspark.session import materialise
+
+SAMPLE, MOST_FREQUENT, FREQUENT = 10_000, 200_000, 3  # texts, shingles kept of them, and texts that make a shingle frequent
+SPREAD = 64
+REMEMBERED = 200_000  # sets that a task knows it has handed on
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def shingles_of(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; one of all words if there are fewer, none without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    to = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
+    hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: len(to)].tolist(), to.tolist())]
+    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+
+
+def id_of(shingles: np.ndarray) -> int:
+    """A signed 64-bit number for a set; zero for the empty one."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64)) if len(shingles) else 0
+
+
+def set_id(text: Column, shingle: int) -> Column:
+    return F.arrow_udf(lambda texts: pa.array([id_of(shingles_of(t, shingle)) for t in texts.to_pylist()], pa.int64()), "bigint").asNondeterministic()(text)
+
+
+def _counts(shingle: int) -> Batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(np.concatenate([shingles_of(t, shingle) for t in batch.column(0).to_pylist()] or [np.zeros(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["token", "n"])
+
+    return run
+
+
+def frequent_shingles(texts: DataFrame, n: int, shingle: int, sample: int = SAMPLE) -> np.ndarray:
+    """The frequent shingles of a sample of a one-column table, the most frequent last."""
+    cut = int(min(1.0, sample / max(1, n)) * 1_000_000)
+    picked = texts.where(F.pmod(F.xxhash64(texts.columns[0]), F.lit(1_000_000)) < cut)
+    counted = picked.mapInArrow(_counts(shingle), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column(0).to_numpy()[::-1]
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def _prefixes(frequent: Broadcast, shingle: int, similarity: float) -> Batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = frequent.value
+        order = np.argsort(last, kind="stable")
+        known, seen = last[order], set()
+        for batch in batches:
+            tokens, marks, ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [], []
+            lengths = []
+            for text in batch.column(0).to_pylist():
+                own = shingles_of(text, shingle)
+                fp = id_of(own)
+                if not len(own) or fp in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(fp)
+                rank = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, order[at] + 1, 0)
+                first = np.lexsort((own, rank))[: prefix_length(len(own), similarity)]
+                tokens.append(own[first])
+                marks.append(rank[first] > 0)
+                ids.append(fp)
+                sizes.append(len(own))
+                lengths.append(len(first))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(tokens)), pa.array(np.concatenate(marks)),
+                    pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+                ],
+                ["token", "hot", "fp", "n"],
+            )
+
+    return run
+
+
+def _sets(shingle: int) -> Batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles_of(t, shingle) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["fp", "own"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar."""
+    a, b = sets.select(F.col("fp").alias("u"), F.col("own").alias("_a")), sets.select(F.col("fp").alias("v"), F.col("own").alias("_b"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    met = pairs.distinct().join(a, "u").join(b, "v")
+    return materialise(met.where(both / (F.size("_a") + F.size("_b") - both) >= similarity).select("u", "v"))
+
+
+def links(texts: DataFrame, n: int, shingle: int, similarity: float, sample: int = SAMPLE) -> DataFrame:
+    """All pairs (u, v) of set ids with at least ``similarity``, for a one-column table of ``n`` texts.  Empty sets are in no pair."""
+    if not 0 < similarity <= 1:
+        raise ValueError("a similarity is above 0 and at most 1")
+    text = texts.columns[0]
+    frequent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, n, shingle, sample))
+    rows = texts.mapInArrow(_prefixes(frequent, shingle, similarity), "token bigint, hot boolean, fp bigint, n int")
+    # Frequent shingles are kept unasked and spread over tasks; of the others those in a single set go.
+    place = Window.partitionBy("token", F.when(F.col("hot"), F.pmod(F.xxhash64("fp"), F.lit(SPREAD))).otherwise(0))
+    met = rows.withColumns({"_least": F.min("fp").over(place), "_most": F.max("fp").over(place)}).where("hot OR _least < _most")
+    shared = materialise(met.select("token", "fp", "n").distinct())
+    needed = shared.select("fp").distinct()
+    those = lookup_join(texts.select(set_id(F.col(text), shingle).alias("fp"), F.col(text).alias("_text")), needed, ["fp"], "left_semi")
+    sets = materialise(those.select("fp", "_text").mapInArrow(_sets(shingle), "fp bigint, own array<bigint>").groupBy("fp").agg(F.first("own").alias("own")))
+
+    met = shared.alias("a").join(shared.alias("b"), "token").where("a.fp < b.fp")
+    alike = F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9
+    return _verified(met.where(alike).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")), sets, similarity)

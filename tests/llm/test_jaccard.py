@@ -1,0 +1,68 @@
+import random
+from itertools import combinations
+
+import pytest
+
+from cohortspark.llm import jaccard as j
+from cohortspark.llm import simhash as s
+
+
+def slow_set(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def slow_components(rows, similarity=0.8):
+    sets, root = {d: slow_set(t) for d, t in rows}, {d: d for d, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x == y or len(x & y) / len(x | y) >= similarity:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {d: find(d) for d in root}
+
+
+def edited(seed, n):
+    """Texts around a few originals, words changed or cut, some after the same long opening."""
+    draw = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    opening = draw.choices(words, k=30)
+    bases = [(opening if i % 2 else []) + draw.choices(words, k=draw.choice([1, 4, 6, 40, 120])) for i in range(12)]
+    out = [None, "", "One", "one"]
+    while len(out) < n:
+        own = list(draw.choice(bases))
+        for _ in range(draw.randrange(4)):
+            own[draw.randrange(len(own))] = draw.choice(words)
+        out.append(" ".join(own[: len(own) - draw.randrange(3)] or ["x"]))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("sample", [10_000, 0])
+def test_links_connect_what_is_similar(spark, sample, monkeypatch):
+    plain = j.frequent_shingles
+    monkeypatch.setattr(j, "frequent_shingles", lambda texts, n, shingle, _: plain(texts, n, shingle, sample))
+    rows = edited(sample, 220)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(docs).collect()}
+    assert got == slow_components(rows)
+
+
+def test_similar_texts_with_distant_fingerprints_are_one(spark, data, db):
+    rows = db.execute("SELECT doc_id, text FROM documents").fetchall()
+    wanted = slow_components(rows)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert {r["doc_id"]: r["component_id"] for r in s.near_duplicates(docs).collect()} == wanted
+    # Both pairs are beyond three bits, so the fingerprints alone keep them.
+    assert wanted[177] == wanted[1] and wanted[145] == wanted[6]
+    kept = {r["doc_id"] for r in s.keep_one(docs).collect()}
+    assert kept == set(wanted.values())
+
+
+def test_a_similarity_out_of_range_raises(spark, odd_docs):
+    with pytest.raises(ValueError):
+        s.near_duplicates(odd_docs, similarity=0.0)
