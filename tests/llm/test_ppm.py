@@ -90,3 +90,12 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert p.score(no_docs).count() == 0
     untrained = p.score(odd_docs, training=odd_docs["doc_id"].isNull() & odd_docs["doc_id"].isNotNull()).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in untrained)
+
+
+@pytest.mark.parametrize("head", [1, 40])
+def test_a_small_head_changes_no_score(spark, head):
+    held = ["zebra the cat", "\U0001f600 hat bat", "cadabra abrab ünïx the cat the hot"]
+    docs = spark.createDataFrame(list(enumerate([*TEXTS, *held])), "doc_id bigint, text string")
+    counts = slow_model(TEXTS)
+    got = {r["doc_id"]: r["score"] for r in p.score(docs, training=docs["doc_id"] < len(TEXTS), contexts=head).collect()}
+    assert got == {i: pytest.approx(slow_score(counts, t), rel=1e-5) for i, t in enumerate([*TEXTS, *held])}
