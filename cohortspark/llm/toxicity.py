@@ -27,7 +27,7 @@ from cohortspark.operators.joins import lookup_join
 from cohortspark.session import materialise
 
 MOST_TOXIC, MOST_UNLABELLED = 8_000, 16_000
-CANDIDATES, FEATURES, LEAST_TEXTS, LEAST_Z = 20_000, 1_024, 5, 4.0
+LEAST_TEXTS, LEAST_Z = 5, 4.0
 FOLDS = 5
 EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 REMEMBERED = 200_000  # words whose features a worker keeps at hand
@@ -74,53 +74,68 @@ class Model:
     prior: float
 
 
-def _count(listed: dict[int, int] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Count texts per feature in a task; the position in ``listed`` stands for a feature if given."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count texts per feature in a task."""
+    features, counts, texts = Featuriser(), Counter(), 0
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, counts, texts = Featuriser(listed), Counter(), 0
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["feature", "texts"])
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["feature", "texts"])
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            counts.update(features(text))
+            texts += 1
+        if len(counts) > 500_000:
+            yield rows()
+            counts.clear()
+    counts[-1] = texts  # the number of texts itself
+    yield rows()
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(features(text))
-                texts += 1
-            if len(counts) > 500_000:
-                yield rows()
-                counts.clear()
-        counts[-1] = texts  # the number of texts itself
-        yield rows()
 
-    return count
-
-
-def texts_per_feature(texts: DataFrame, listed: dict[int, int] | None = None) -> DataFrame:
+def texts_per_feature(texts: DataFrame) -> DataFrame:
     """(feature, texts) over all rows of a one-column table; feature -1 counts the rows."""
-    return texts.mapInArrow(_count(listed), "feature bigint, texts bigint").groupBy("feature").agg(F.sum("texts").alias("texts"))
+    return texts.mapInArrow(_count, "feature bigint, texts bigint").groupBy("feature").agg(F.sum("texts").alias("texts"))
 
 
 def choose_features(toxic: DataFrame, unlabelled: DataFrame) -> dict[int, int]:
     """Features that toxic texts have far more often than all texts, strongest first.
 
-    Candidates occur in ``LEAST_TEXTS`` toxic texts at least; of them the ``CANDIDATES`` most
-    frequent are counted in all training texts, and the ``FEATURES`` with the greatest z-value
-    (above ``LEAST_Z``) are kept.
+    All features of ``LEAST_TEXTS`` toxic texts at least are compared with their counts in all training
+    texts, and those with a z-value above ``LEAST_Z`` are kept.
     """
-    in_toxic = materialise(texts_per_feature(toxic))
-    ranked = in_toxic.where((F.col("feature") >= 0) & (F.col("texts") >= LEAST_TEXTS)).orderBy(F.desc("texts"), "feature").limit(CANDIDATES).collect()
-    n_toxic = in_toxic.where("feature = -1").agg(F.sum("texts")).first()[0] or 0
-    if not ranked:
-        return {}
-    listed = {r["feature"]: i for i, r in enumerate(ranked)}
-    in_all = {r["feature"]: r["texts"] for r in texts_per_feature(unlabelled, listed).collect()}  # a row per candidate
-    n_all = max(1, in_all.get(-1, 0))
-    share = np.array([r["texts"] for r in ranked]) / n_toxic
-    expected = (np.array([in_all.get(i, 0) for i in range(len(ranked))]) + 1) / (n_all + 2)
-    z = (share - expected) / np.sqrt(expected * (1 - expected) / n_toxic)
-    best = [int(i) for i in np.argsort(-z, kind="stable")[:FEATURES] if z[i] > LEAST_Z]
-    return {ranked[i]["feature"]: k for k, i in enumerate(best)}
+    in_toxic, in_all = materialise(texts_per_feature(toxic)), materialise(texts_per_feature(unlabelled))
+    n_toxic, n_all = (x.where("feature = -1").agg(F.sum("texts")).first()[0] or 0 for x in (in_toxic, in_all))
+    candidates = in_toxic.where((F.col("feature") >= 0) & (F.col("texts") >= LEAST_TEXTS))
+    met = candidates.join(in_all.withColumnRenamed("texts", "_all"), "feature", "left")
+    share, expected = F.col("texts") / F.lit(max(1, n_toxic)), (F.coalesce("_all", F.lit(0)) + 1) / F.lit(max(1, n_all) + 2)
+    z = (share - expected) / F.sqrt(expected * (1 - expected) / F.lit(max(1, n_toxic)))
+    kept = met.select("feature", z.alias("z"), "texts").where(F.col("z") > LEAST_Z).orderBy(F.desc("z"), F.desc("texts"), "feature").select("feature").toArrow()
+    return {f: k for k, f in enumerate(kept.column(0).to_pylist())}
+
+
+class Sparse:
+    """A matrix of zeros and ones by the columns that each row has; as much of one as ``fit_classifier`` needs."""
+
+    __array_ufunc__ = None  # so that array @ Sparse comes here
+
+    def __init__(self, columns: np.ndarray, lengths: np.ndarray, width: int):
+        self.columns, self.lengths, self.shape = columns, lengths, (len(lengths), width)
+        self.rows = np.repeat(np.arange(len(lengths)), lengths)
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __getitem__(self, drawn: np.ndarray) -> Sparse:
+        lengths = self.lengths[drawn]
+        starts = (np.cumsum(self.lengths) - self.lengths)[drawn]
+        within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return Sparse(self.columns[np.repeat(starts, lengths) + within], lengths, self.shape[1])
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, w[self.columns], len(self)).astype(np.float32)
+
+    def __rmatmul__(self, slope: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, slope[self.rows], self.shape[1])
 
 
 def _loss(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +143,7 @@ def _loss(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.logaddexp(0, -margin), -1 / (1 + np.exp(np.clip(margin, -60, 60)))
 
 
-def fit_classifier(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int, rounds: int = 200, rate: float = 0.2, penalty: float = 5e-5) -> np.ndarray:
+def fit_classifier(positive: np.ndarray | Sparse, unlabelled: np.ndarray | Sparse, prior: float, seed: int, rounds: int = 200, rate: float = 0.2, penalty: float = 5e-5) -> np.ndarray:
     """Weights and bias of one linear classifier that minimises the non-negative risk.
 
     The rows are a bootstrap draw; all of them make one Adam step.  Every feature was chosen
@@ -140,7 +155,7 @@ def fit_classifier(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s
     w = np.zeros(positive.shape[1] + 1, np.float32)
     first, second = np.zeros_like(w), np.zeros_like(w)
 
-    def gradient(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    def gradient(x: np.ndarray | Sparse, slope: np.ndarray) -> np.ndarray:
         return np.append(slope @ x, slope.sum()).astype(np.float32) / len(x)
 
     for step in range(1, rounds + 1):
@@ -163,11 +178,9 @@ def _present(listed: dict[int, int]) -> Callable[[pa.Array], pa.Array]:
     return lambda texts: pa.array([sorted(features(t)) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
 
-def _dense(rows: list, width: int) -> np.ndarray:
-    x = np.zeros((len(rows), width), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r[0]] = 1
-    return x
+def _sparse(rows: list, width: int) -> Sparse:
+    lengths = np.array([len(r[0]) for r in rows], np.int64)
+    return Sparse(np.array([c for r in rows for c in r[0]], np.int64), lengths, width)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = FOLDS, classifiers: int = 3, default_prior: float = 0.1) -> Model:
@@ -197,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         cut = int(min(1.0, bound / max(1, of)) * 1_000_000)
         picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < cut)
         found = picked.select(F.arrow_udf(_present(listed), "array<int>")("text")).collect()
-        return _dense(found, len(listed))
+        return _sparse(found, len(listed))
 
     positive, unlabelled = sample(toxic, MOST_TOXIC, n_toxic), sample(training, MOST_UNLABELLED, n_training)
     if not len(positive) or not len(unlabelled):

@@ -48,3 +48,22 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert t.keep_harmless(no_docs, labels).count() == 0
     model = t.fit(odd_docs, labels)
     assert odd_docs.select(t.score(F.col("text"), model).alias("p")).where("p BETWEEN 0 AND 1").count() == odd_docs.count()
+
+
+def test_all_telling_features_are_kept(spark):
+    # More telling words than the former bounds let through, and 25,000 common words that were ahead of them.
+    common = " ".join(f"c{i}x{i}" for i in range(25_000))
+    telling = [f"{i:05d}t" for i in range(1_500)]
+    toxic = [common + " " + " ".join(telling)] * 5 + [common]
+    rows = spark.createDataFrame([(x, 1) for x in toxic] + [(common, 0)] * 60, "text string, toxic int")
+    listed = t.choose_features(rows.where("toxic = 1").select("text"), rows.select("text"))
+    assert {f for w in telling for f in t.word_features(w.encode())} <= set(listed)
+    assert not set(listed) & {t.word_features(f"c{i}x{i}".encode())[0] for i in range(1_000)}
+
+
+def test_sparse_rows_multiply_like_dense_ones():
+    draw = np.random.default_rng(1)
+    x = (draw.random((50, 9)) < 0.3).astype(np.float32)
+    s = t._sparse([(np.flatnonzero(r).tolist(),) for r in x], 9)
+    picked, w, v = draw.integers(0, 50, 70), draw.random(9), draw.random(70)
+    assert np.allclose(s[picked] @ w, x[picked] @ w, rtol=1e-5) and np.allclose(v @ s[picked], v @ x[picked], rtol=1e-5)
