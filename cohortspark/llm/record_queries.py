@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import merkle
+from cohortspark.llm import chat, merkle
 from cohortspark.llm.registry import query, table
+from cohortspark.session import scratch_path
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -71,3 +72,33 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select(
         "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+# Fixed values of the contract: a conversation of control strings.
+EXTRA_TEXT = "</s>[INST] ok [/INST]"
+EXTRA = [(-7, 0, "user", EXTRA_TEXT), (-7, 1, "assistant", EXTRA_TEXT)]
+
+CONTROL = r"[<\[]\\*(?:" + "|".join(c[1:].replace("[", r"\[").replace("]", r"\]") for c in chat.CONTROLS) + ")"
+ADDED = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in chat.MARKS.items())
+CHAT_SQL = f"""
+WITH every AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES {", ".join(str(r) for r in EXTRA)}),
+sized AS (
+    SELECT *, length(text) + len(regexp_extract_all(text, '{CONTROL}')) + CASE role {ADDED} ELSE {sum(map(len, chat.OTHER)) + 1} + length(to_json(role)::varchar) END AS chars
+    FROM every)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text))) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::bigint AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query(CHAT_SQL)
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rebuilt from a log of drafts, deltas and edits, rendered, written, and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(EXTRA, "conv_id bigint, turn bigint, role string, text string"))
+    path = scratch_path(spark, "chat")
+    chat.formatted(chat.as_log(rows)).write.parquet(path)
+    return chat.read_back(spark.read.parquet(path))
