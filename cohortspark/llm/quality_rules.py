@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.operators.joins import lookup_join
+from cohortspark.operators.joins import fits_broadcast, lookup_join
 from cohortspark.session import materialise
 
 STATISTICS = [
@@ -184,21 +184,29 @@ def described(docs: DataFrame, text: str = "text", stratum: str = "lang") -> Dat
     return docs.withColumns({"_stats": statistics(F.col(text)), "_stratum": F.coalesce(F.col(stratum).cast("string"), F.lit("\x00none"))})
 
 
+def _held(labels: DataFrame, key: str, label: str) -> DataFrame:
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
+    return known.groupBy(F.col(key).alias("_label_key")).agg(F.max(label).alias("_good"))
+
+
 def with_labels(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
     """Rows that have a label, with it as ``_good``; a document labelled twice counts as good if one label says so."""
-    held = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_label_key")).agg(F.max(label).alias("_good"))
-    return rows.join(held, F.col(key) == F.col("_label_key")).drop("_label_key")
+    return rows.join(_held(labels, key, label), F.col(key) == F.col("_label_key")).drop("_label_key")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality") -> DataFrame:
     """The documents that pass, with their own columns.
 
     A null or empty text has no words and goes; repeated rows are judged alike; without
-    labels only the base rules hold.  Texts with a label are read twice: once for the
-    cutoffs, once with all others.
+    labels only the base rules hold.  No text is shuffled: labels that fit are broadcast and the texts with a
+    label are read twice; of more labels only the counts of the texts meet them, and all texts are read twice.
     """
     needed = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(stratum).alias("lang"))
-    known = with_labels(needed, labels.select(F.col(key).alias("doc_id"), F.col(label).alias("quality")))
-    cutoffs = fit_cutoffs(described(known).where(~base_failed()))
+    held = materialise(_held(labels, key, label))
+    if fits := fits_broadcast(held):
+        known = described(lookup_join(needed, held, [("doc_id", "_label_key")], "inner", kept=True, fits=fits))
+    else:
+        known = lookup_join(described(needed).drop("text"), held, [("doc_id", "_label_key")], "inner", kept=True, fits=fits)
+    cutoffs = fit_cutoffs(known.where(~base_failed()))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("text"), F.col(stratum).alias("lang"))
     return verdicts(described(rows), cutoffs).where("_kept").select("_row.*")

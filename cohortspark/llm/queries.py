@@ -1,7 +1,6 @@
 """All queries of this subpackage and their SQL."""
 
-import corpus_pipeline
-from cohortspark.llm import corpus_queries, quality_queries, record_queries, vector_queries, web_queries
+from cohortspark.llm import corpus_queries, pipeline, quality_queries, record_queries, vector_queries, web_queries
 from cohortspark.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus_pipeline", "corpus_queries", "quality_queries", "record_queries", "vector_queries", "web_queries"]
+__all__ = ["ORACLES", "QUERIES", "corpus_queries", "pipeline", "quality_queries", "record_queries", "vector_queries", "web_queries"]

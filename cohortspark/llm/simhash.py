@@ -14,9 +14,6 @@ A value that more than ``MOST_IN_BUCKET`` fingerprints share is not answered by
 members and probers meet at centres instead: two fingerprints at 3 bits or fewer have a centre
 within 1 bit of the member and 2 of the prober, everyone at a centre is linked to its least
 member, and rows grow with the members, not with their pairs.
-
-Five-word shingles at a similarity of 0.8 differ in some 10 of 64 bits, which no deal of units
-can probe.  Without a radius texts are therefore linked by their sets of shingles (``jaccard``).
 """
 
 from __future__ import annotations
@@ -32,12 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm import jaccard
 from cohortspark.llm.components import connected_components
+from cohortspark.operators.joins import lookup_join
 from cohortspark.session import materialise
 
 RADIUS, SHINGLE = 3, 3
-WORDS, SIMILARITY = 5, 0.8  # of near-duplicates without a radius
 SAMPLE = 100_000
 MOST_IN_BUCKET = 2_000
 PROBE_COST, CANDIDATE_COST = 1.0, 0.25
@@ -258,27 +254,18 @@ def links(classes: DataFrame, n: int, radius: int = RADIUS, most_in_bucket: int
     return found.unionByName(starred.select("u", F.col("fp").alias("v")))
 
 
-def _marked(text: Column, shingle: int, radius: int | None) -> Column:
-    return jaccard.set_id(text, shingle) if radius is None else fingerprint(text, shingle)
-
-
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, radius: int | None = None, most_in_bucket: int = MOST_IN_BUCKET,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, most_in_bucket: int = MOST_IN_BUCKET,
 ) -> DataFrame:
     """(doc_id, fp, component_id) for every row; the component is the least id that links reach.
 
-    Texts link at a Jaccard similarity of at least ``similarity`` between their sets of shingles, and
-    ``fp`` stands for the set.  With a ``radius`` they link by their fingerprints instead.  Copies share a fingerprint and are handled as one class.  Null and empty texts have
-    fingerprint zero and are linked like any other; a null id is never the least unless alone;
+    Texts link when their fingerprints differ in ``radius`` bits or fewer.  Copies share a fingerprint and
+    are handled as one class.  Null and empty texts have fingerprint zero and are linked like any other; a null id is never the least unless alone;
     repeated rows stay and are judged alike; an empty table gives an empty result.
     """
-    marked = materialise(docs.select(F.col(key).alias("doc_id"), _marked(F.col(text), shingle, radius).alias("fp")))
+    marked = materialise(docs.select(F.col(key).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")))
     classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    if radius is None:
-        linked = jaccard.links(docs.select(F.col(text)), marked.count(), shingle, similarity)
-    else:
-        linked = links(classes, classes.count(), radius, most_in_bucket)
-    found = connected_components(linked)
+    found = connected_components(links(classes, classes.count(), radius, most_in_bucket))
     rooted = materialise(found.join(classes, found["node"] == classes["fp"]).select("fp", "root", "least"))
     of_root = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     linked = rooted.join(of_root, "root").select("fp", "component_id")
@@ -287,17 +274,21 @@ def near_duplicates(
     return marked.join(materialise(every), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, radius: int | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One document of every group of near-duplicates, the one with the least id, with its own columns.
 
-    Rows with equal id and fingerprint are copies of each other; one of them stays.
+    Rows with equal id and fingerprint are copies of each other; one of them stays.  Null and empty texts are copies
+    of each other too, a null id stays only where its group has no other, and an empty table stays empty.
     """
-    judged = materialise(near_duplicates(docs, key, text, shingle, similarity, radius))
-    chosen = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("_rows"))
-    chosen = materialise(chosen.withColumnsRenamed({"doc_id": "_key", "fp": "_of"}))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_id"), _marked(F.col(text), shingle, radius).alias("_fp"))
-    stay = rows.join(chosen, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_fp") == F.col("_of")))
-    if chosen.where("_rows > 1").isEmpty():
+    judged = materialise(near_duplicates(docs, key, text, shingle, radius))
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = judged.where(~least).select(F.col("doc_id").alias("_key"), F.col("fp").alias("_of")).distinct()
+    again = materialise(judged.where(least).groupBy(F.col("doc_id").alias("_key"), F.col("fp").alias("_of")).count().where("count > 1").select("_key", "_of"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_id"), fingerprint(F.col(text), shingle).alias("_fp"))
+    on = [("_id", "_key"), ("_fp", "_of")]
+    stay = lookup_join(rows, gone, on, "left_anti", null_safe=True)
+    if again.isEmpty():
         return stay.select("_row.*")
-    alike = stay.where("_rows > 1").dropDuplicates(["_key", "_of"])
-    return stay.where("_rows = 1").unionByName(alike).select("_row.*")
+    single = lookup_join(stay, again, on, "left_anti", null_safe=True, kept=True)
+    alike = lookup_join(stay, again, on, "left_semi", null_safe=True, kept=True).dropDuplicates(["_id", "_fp"])
+    return single.unionByName(alike).select("_row.*")
