@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels embeddings conversations".split()
 DOC = "doc_id bigint, text string, lang string, source string, n_words string, kept string, score string, size string, digest string, fp string"
 
 
