@@ -1,31 +1,38 @@
-"""Classifiers and regressors on Spark ML.
+"""Classifiers and regressors.
 
-The three boosted presets keep the names analysts know, but all are Spark
-gradient-boosted trees whose parameters are mapped; equal metrics to the original
-libraries are not claimed.
+The three boosted presets keep the names analysts know and grow trees by that library's rule with its own
+penalties (``boosting``): level by level, best leaf first, or symmetric with ordered
+gradients.  Sampling draws and quantile sketches differ, so metrics agree in kind, not digit by digit.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.models import boosting
+from cohortspark.models.boosting import Booster, Settings
 from cohortspark.operators.splits import SEED, stratified_split
 from cohortspark.session import materialise
 
-# Default size, step and depth of each preset.  CatBoost grows 1,000 trees by default where it is
-# native; as Spark trees are grown one job each, 200 is the default here, and ``n_estimators`` is a parameter.
+# Default settings of each preset.  CatBoost grows 1,000 trees by default where it is
+# native; as every level of a tree is a pass over the rows, 200 is the default here, and ``n_estimators`` is a parameter.
 PRESETS = {
-    "XGBoost": {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 6},
-    "lightGBM": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 5},
-    "CatBoost": {"n_estimators": 200, "learning_rate": 0.06, "max_depth": 6},
+    "XGBoost": Settings(trees=100, rate=0.3, depth=6, growth="depth", reg_lambda=1.0),
+    "lightGBM": Settings(trees=100, rate=0.1, depth=None, leaves=31, growth="leaf", reg_lambda=0.0, min_child_weight=1e-3, min_child_rows=20),
+    "CatBoost": Settings(trees=200, rate=0.06, depth=6, growth="symmetric", reg_lambda=3.0, min_child_weight=0.0, ordered=True),
+}
+# Names of parameters and of the settings they set.
+PARAMETERS = {
+    "n_estimators": "trees", "learning_rate": "rate", "max_depth": "depth", "num_leaves": "leaves", "min_child_samples": "min_child_rows",
+    "reg_lambda": "reg_lambda", "reg_alpha": "reg_alpha", "gamma": "gamma", "min_child_weight": "min_child_weight", "subsample": "subsample",
+    "colsample_bytree": "colsample_bytree", "colsample_bylevel": "colsample_bylevel",
 }
 THRESHOLD = 0.5
 FOREST_DEPTH = 12
@@ -43,27 +50,17 @@ SEARCH_SPACE = {
 """Ranges searched per preset; fixed values."""
 
 
-def tree_params(params: dict) -> dict:
-    """Spark ML parameters for a set of booster parameters.
-
-    Penalties on leaf weights (``reg_lambda``, ``reg_alpha``) have no counterpart in
-    Spark ML and are left out.
-    """
-    mapped: dict = {}
-    for source, target, convert in (
-        ("n_estimators", "maxIter", int),
-        ("learning_rate", "stepSize", float),
-        ("max_depth", "maxDepth", int),
-        ("subsample", "subsamplingRate", float),
-        ("min_child_weight", "minInstancesPerNode", lambda v: max(1, int(-(-v // 1)))),
-        ("gamma", "minInfoGain", float),
-    ):
-        if source in params:
-            mapped[target] = convert(params[source])
-    share = params.get("colsample_bytree", 1.0) * params.get("colsample_bylevel", 1.0)
-    if share < 1:
-        mapped["featureSubsetStrategy"] = str(share)
-    return mapped
+def booster_settings(algorithm: str, params: dict | None = None, **changes) -> Settings:
+    """A preset with some parameters set; whole numbers stay whole, an unknown name raises."""
+    if algorithm not in PRESETS:
+        raise ValueError(f"unknown algorithm {algorithm!r}")
+    chosen = {}
+    for name, value in (params or {}).items():
+        if name not in PARAMETERS:
+            raise ValueError(f"unknown parameter {name!r}")
+        whole = PARAMETERS[name] in ("trees", "depth", "leaves", "min_child_rows") and value is not None
+        chosen[PARAMETERS[name]] = int(value) if whole else value
+    return boosting.replace(PRESETS[algorithm], **(chosen | changes))
 
 
 def with_class_weight(df: DataFrame, label: str, algorithm: str, weight: str = "weight") -> DataFrame:
@@ -83,32 +80,23 @@ def with_class_weight(df: DataFrame, label: str, algorithm: str, weight: str = "
     return df.withColumn(weight, F.when(F.col(label).cast("boolean"), F.lit(weights[1])).otherwise(F.lit(weights[0])))
 
 
-def build_classifier(features: list[str], algorithm: str, params: dict | None = None, seed: int = SEED, **spark_params) -> Pipeline:
-    """Unfitted pipeline that picks its own columns; any other columns may be present."""
-    chosen = tree_params(PRESETS[algorithm] | (params or {})) | spark_params
-    booster = GBTClassifier(
-        featuresCol="features", labelCol="_label", weightCol="weight", seed=seed, cacheNodeIds=True, maxMemoryInMB=512, **chosen
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), booster])
-
-
-def fit_classifier(train: DataFrame, features: list[str], label: str, algorithm: str, params: dict | None = None, **options) -> PipelineModel:
-    """Weight the classes of the training rows and fit."""
+def fit_classifier(train: DataFrame, features: list[str], label: str, algorithm: str, params: dict | None = None, **options) -> Booster:
+    """Weight the classes of the training rows and fit; ``options`` change settings by their own names."""
     rows = train.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*features, label])])
-    rows = with_class_weight(rows, label, algorithm).withColumn("_label", F.col(label).cast("double"))
-    return build_classifier(features, algorithm, params, **options).fit(rows)
+    rows = with_class_weight(rows, label, algorithm, "_weight")
+    return boosting.fit(rows, features, label, booster_settings(algorithm, params, **options), weight="_weight")
 
 
-def model_features(model: PipelineModel) -> list[str]:
+def model_features(model: Booster | PipelineModel) -> list[str]:
     """Input columns of a fitted model in its own order."""
-    return model.stages[0].getInputCols()
+    return model.features if isinstance(model, Booster) else model.stages[0].getInputCols()
 
 
 @dataclass
 class VotingModel:
     """Mean of the member probabilities; members are applied to the same row, not joined."""
 
-    members: list[PipelineModel]
+    members: list[Booster | PipelineModel]
 
     def scored(self, df: DataFrame, p: str = "p") -> DataFrame:
         names = [f"_p_{i}" for i in range(len(self.members))]
@@ -122,6 +110,8 @@ def scored(model, df: DataFrame, p: str = "p") -> DataFrame:
     """All columns of ``df`` plus the probability of the positive class."""
     if isinstance(model, VotingModel):
         return model.scored(df, p)
+    if isinstance(model, Booster):
+        return model.transform(df, p)
     made = ["features", "rawPrediction", "probability", "prediction"]
     return model.transform(df).withColumn(p, vector_to_array("probability")[1]).drop(*made)
 
@@ -156,7 +146,7 @@ def predict_labels(model, df: DataFrame, threshold: float = THRESHOLD, label: st
 class Run:
     """A fitted model with its split and the scored test rows."""
 
-    model: PipelineModel | VotingModel
+    model: Booster | PipelineModel | VotingModel
     train: DataFrame
     test: DataFrame
     features: list[str] = field(default_factory=list)
@@ -199,15 +189,15 @@ def average_predictions(frames: list[DataFrame], key: str, label: str, p: str =
 
 
 def build_regressors(seed: int = SEED, sizes: dict | None = None) -> dict[str, tuple]:
-    """Model name to (feature stages, regressor), all with default settings.
+    """Model name to (feature stages, regressor or booster settings), all with default settings.
 
-    ``sizes`` overrides Spark parameters by model name, for instance fewer trees.  The forest's trees
+    ``sizes`` overrides parameters by model name, for instance fewer trees.  The forest's trees
     grow to ``FOREST_DEPTH``, which its ``maxDepth`` raises up to the 30 levels that Spark's trees can have.
     """
     sizes = sizes or {}
 
     def boosted(name: str, preset: str) -> tuple:
-        return (), GBTRegressor(seed=seed, cacheNodeIds=True, **(tree_params(PRESETS[preset]) | sizes.get(name, {})))
+        return (), boosting.replace(booster_settings(preset, sizes.get(name)), loss="squared", seed=seed)
 
     forest = {"numTrees": 100, "featureSubsetStrategy": "all", "maxDepth": FOREST_DEPTH} | sizes.get("RandomForest", {})
     return {

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.numeric import ratio
+from cohortspark.models import boosting
+from cohortspark.models.boosting import Booster, Settings
 from cohortspark.models.build import (
     PRESETS, Run, VotingModel, build_regressors, fit_classifier, run_on_split, scored, scored_by_all, split_once,
 )
@@ -56,8 +58,12 @@ def evaluate_feature_sets(
             for model_name, (stages, regressor) in models.items():
                 scores = []
                 for fold in range(folds):
-                    fitted = Pipeline(stages=[*stages, regressor]).fit(assembled.where(F.col("fold") != fold))
-                    held_out = fitted.transform(assembled.where(F.col("fold") == fold))
+                    if isinstance(regressor, Settings):
+                        fitted = boosting.fit(rows.where(F.col("fold") != fold), columns, "label", regressor)
+                        held_out = fitted.transform(rows.where(F.col("fold") == fold))
+                    else:
+                        fitted = Pipeline(stages=[*stages, regressor]).fit(assembled.where(F.col("fold") != fold))
+                        held_out = fitted.transform(assembled.where(F.col("fold") == fold))
                     scores.append(regression_scores(held_out, [], "label").first())
                 means = [float(sum(s[m] for s in scores) / folds) for m in ("r2", "mae", "rmse")]
                 results.append((model_name, set_name, len(columns), *means))
@@ -67,13 +73,13 @@ def evaluate_feature_sets(
     return df.sparkSession.createDataFrame(results, "model string, feature_set string, n_features int, r2 double, mae double, rmse double")
 
 
-def contributing_features(model: PipelineModel, df: DataFrame | None = None, digits: int = 3) -> dict:
+def contributing_features(model: Booster, df: DataFrame | None = None, digits: int = 3) -> dict:
     """Share of the input features with importance above zero.
 
     Columns constant in ``df`` (a null counts as a value) leave both counts.
     """
-    names = model.stages[0].getInputCols()
-    importance = dict(zip(names, model.stages[-1].featureImportances.toArray().tolist()))
+    names = model.features
+    importance = model.importance
     constant: list[str] = []
     if df is not None:
         # One pass; constant means equal extremes without nulls, or nulls only.
@@ -113,7 +119,7 @@ def feature_ablation(
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def score_external(model: PipelineModel | VotingModel, df: DataFrame, key: str, label: str, threshold: float = 0.5) -> DataFrame:
+def score_external(model: Booster | PipelineModel | VotingModel, df: DataFrame, key: str, label: str, threshold: float = 0.5) -> DataFrame:
     """Metrics of a fitted model on a whole other cohort."""
     predictions = scored(model, df).select(key, F.col(label).cast("int").alias("y"), "p")
     table = classification_metrics(predictions, "y", "p", threshold=threshold)

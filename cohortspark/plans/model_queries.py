@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortspark.models import build, evaluate, explain, search
@@ -149,10 +148,6 @@ _SPLIT_SQL = f"""WITH c AS (SELECT label, count(*) AS n, sum(count(*)) OVER () A
     r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {sql_hash('id')}, id) AS rn FROM complete_subject)"""
 
 
-_SIZES_SQL = _SPLIT_SQL + """, n AS (SELECT count(*) FILTER (rn <= quota) AS n_test, count(*) FILTER (rn > quota) AS n_train,
-    count(*) FILTER (rn <= quota AND label) AS n_pos, count(*) FILTER (rn <= quota AND NOT label) AS n_neg FROM r JOIN q USING (label))"""
-
-
 @query(with_tables("complete_subject", _SPLIT_SQL + " SELECT id, label, rn <= quota AS is_test FROM r JOIN q USING (label)"))
 def stratified_split(spark, sf_dir):
     return splits.stratified_split(complete_subject(spark, sf_dir).select("id", "label"), "id", "label")
@@ -195,13 +190,12 @@ def linear_regression_cv(spark, sf_dir):
     return scores.select("model", "feature_set", "n_features", *[F.round(c, 5).alias(c) for c in ("r2", "mae", "rmse")])
 
 
-@query(" UNION ALL ".join(f"SELECT '{m}' AS model, 'four' AS feature_set, 4 AS n_features, TRUE AS better_than_mean FROM region WHERE r_regionkey = 0"
-    for m in ("LinearRegression", "Polynomial_Regression", "RandomForest", "XGBoost", "LightGBM", "CatBoost")))
+@query()
 def regression_models(spark, sf_dir):
-    small = {n: {"maxIter": 5, "maxDepth": 3} for n in ("XGBoost", "LightGBM", "CatBoost")} | {"RandomForest": {"numTrees": 5, "maxDepth": 4}}
+    """All six regressors; ``SMALL`` boosters, a small forest, two folds."""
+    small = {n: SMALL for n in ("XGBoost", "LightGBM", "CatBoost")} | {"RandomForest": {"numTrees": 5, "maxDepth": 4}}
     models = build.build_regressors(sizes=small)
-    scores = evaluate.evaluate_feature_sets(complete_subject(spark, sf_dir), "id", "idx", {"four": FEATURES}, models, folds=2)
-    return scores.select("model", "feature_set", "n_features", (F.col("r2").between(0, 1) & (F.col("mae") <= F.col("rmse"))).alias("better_than_mean"))
+    return evaluate.evaluate_feature_sets(complete_subject(spark, sf_dir), "id", "idx", {"four": FEATURES}, models, folds=2)
 
 
 @query(with_tables("complete_subject", """WITH s AS (SELECT avg(price) AS m1, avg(total) AS m2, var_pop(price) AS v1, var_pop(total) AS v2, covar_pop(price, total) AS v12,
@@ -232,76 +226,58 @@ def tree_attribution(spark, sf_dir):
     return explained.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(off).alias("n_off"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{f}' AS feature, TRUE AS in_order FROM region WHERE r_regionkey = 0" for f in FEATURES))
+@query()
 def tree_attribution_rank(spark, sf_dir):
-    """Every feature once, by falling mean attribution; what the values are is tested on small models."""
+    """Every feature by falling mean attribution; what the values are is tested on small models."""
     rows = complete_subject(spark, sf_dir).select("id", "label", *FEATURES)
     model = build.fit_classifier(rows, FEATURES, "label", "XGBoost", SMALL)
-    ranked = explain.rank_features(explain.tree_attributions(model, rows)[0], FEATURES)
-    before = F.lag("mean_abs").over(Window.orderBy(F.desc("mean_abs"), "feature"))  # four rows
-    return ranked.select("feature", ((F.col("mean_abs") >= 0) & (F.coalesce(before, F.col("mean_abs")) >= F.col("mean_abs"))).alias("in_order"))
+    return explain.rank_features(explain.tree_attributions(model, rows)[0], FEATURES)
 
 
-@query(with_tables("complete_subject", _SIZES_SQL + " SELECT n_pos, n_neg, 2::BIGINT AS n_chosen, TRUE AS better_than_chance FROM n"))
+@query()
 def top_features(spark, sf_dir):
-    """Rank by attribution, refit on the top two, score the test rows."""
+    """Rank by attribution, refit on the top two of four, score the test rows."""
     rows = complete_subject(spark, sf_dir).select("id", "label", *FEATURES)
     run = build.train_classifier(rows, FEATURES, "id", "label", "CatBoost", SMALL)
     chosen, _, scored = explain.top_features_retrain(run.model, run.train, run.test.drop("p"), "label", "CatBoost", SMALL, top=2)
     table_ = metrics.classification_metrics(scored.withColumn("y", F.col("label").cast("int")), "y", "p")
-    return table_.select(
-        (F.col("TP") + F.col("FN")).alias("n_pos"), (F.col("TN") + F.col("FP")).alias("n_neg"), F.lit(len(set(chosen) & set(FEATURES))).cast("bigint").alias("n_chosen"),
-        (F.col("roc_auc") > 0.5).alias("better_than_chance"),
-    )
+    return table_.withColumn("chosen", F.lit(",".join(chosen)))
 
 
-@query(with_tables("complete_subject", _SIZES_SQL + f""" SELECT s.name AS feature_set, s.n_features, n_pos, n_neg, s.n_features - 1 AS features_considered, TRUE AS some_used
-    FROM n, (VALUES ('one', 2), ('all', {len(FEATURES) + 1})) s(name, n_features)"""))
+@query()
 def feature_ablation(spark, sf_dir):
+    """Four nested feature sets, the last with a column that never varies."""
     rows = complete_subject(spark, sf_dir).withColumn("constant", F.lit(1)).select("id", "label", "constant", *FEATURES)
-    sets = {"one": ["qty", "constant"], "all": [*FEATURES, "constant"]}
-    table_ = evaluate.feature_ablation(rows, "id", "label", sets, "XGBoost", SMALL)
-    used = F.col("contributing_features").between(1, F.col("features_considered"))  # never the constant, which is not considered
-    return table_.select(
-        "feature_set", "n_features", (F.col("TP") + F.col("FN")).alias("n_pos"), (F.col("TN") + F.col("FP")).alias("n_neg"), "features_considered",
-        (used & (F.abs(F.col("cfr") - F.col("contributing_features") / F.col("features_considered")) < 1e-3)).alias("some_used"),
-    )
+    sets = {"one": FEATURES[:1], "two": FEATURES[:2], "four": FEATURES, "all": [*FEATURES, "constant"]}
+    return evaluate.feature_ablation(rows, "id", "label", sets, "XGBoost", SMALL)
 
 
-_MODELS_SQL = "(VALUES ('XGBoost'), ('lightGBM'), ('CatBoost'), ('Voting')) m(model)"
-
-
-@query(with_tables("complete_subject", f"""WITH c AS (SELECT sex, count(*) AS n FROM complete_subject GROUP BY sex)
-    SELECT 'within-cohort hold-out' AS evaluation, sex AS trained_on, sex || ' (hold-out)' AS evaluated_on, model, ceil(round(0.3 * n, 9))::BIGINT AS n_samples FROM c, {_MODELS_SQL}
-    UNION ALL SELECT 'cross-cohort', a.sex, b.sex || ' (all)', model, b.n FROM c a JOIN c b ON a.sex <> b.sex, {_MODELS_SQL}"""))
+@query()
 def cross_cohort_transfer(spark, sf_dir):
+    """Three presets and their vote of three cohorts, within and across, all metrics."""
     rows = complete_subject(spark, sf_dir).select("id", "sex", "label", *FEATURES)
     cohorts = {name: rows.where(F.col("sex") == name) for name in ("F", "O", "P")}
-    table_ = evaluate.cross_cohort_transfer(cohorts, FEATURES, "id", "label", {c: SMALL_PRESETS for c in cohorts})
-    return table_.select("evaluation", "trained_on", "evaluated_on", "model", "n_samples")
+    return evaluate.cross_cohort_transfer(cohorts, FEATURES, "id", "label", {c: SMALL_PRESETS for c in cohorts})
 
 
-@query(with_tables("complete_subject", _SIZES_SQL + f" SELECT model, {len(FEATURES)} AS n_features, n_pos, n_neg, TRUE AS better_than_chance FROM n, {_MODELS_SQL}"))
+@query()
 def pooled_performance(spark, sf_dir):
+    """Three presets and their vote on one split, all metrics."""
     rows = complete_subject(spark, sf_dir).select("id", "label", *FEATURES)
-    table_ = evaluate.pooled_performance(rows, FEATURES, "id", "label", SMALL_PRESETS)[0]
-    return table_.select(
-        "model", "n_features", (F.col("TP") + F.col("FN")).alias("n_pos"), (F.col("TN") + F.col("FP")).alias("n_neg"), (F.col("roc_auc") > 0.5).alias("better_than_chance"),
-    )
+    return evaluate.pooled_performance(rows, FEATURES, "id", "label", SMALL_PRESETS)[0]
 
 
-@query(with_tables("complete_subject", "SELECT count(*) AS n, TRUE AS by_cutoff FROM complete_subject WHERE sex = 'P'"))
+@query()
 def predict_unlabelled(spark, sf_dir):
-    """Train on two cohorts, save and load, label every row of the third by its probability."""
+    """Train on two cohorts, save and load, label every row of the third; how many there are and how many are positive."""
     rows = complete_subject(spark, sf_dir).select("id", "sex", "label", *FEATURES)
     model = build.fit_classifier(rows.where("sex <> 'P'"), FEATURES, "label", "CatBoost", SMALL)
     loaded = writers.load_model(writers.save_model(model, scratch_path(spark, "model")))
     labelled = build.predict_labels(loaded, rows.where("sex = 'P'").drop("label"))
-    return labelled.agg(F.count(F.lit(1)).alias("n"), F.bool_and((F.col("p") > 0.5) == F.col("IR").cast("boolean")).alias("by_cutoff"))
+    return labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("IR").alias("n_positive"), F.avg("IR").alias("prevalence"), F.avg("p").alias("mean_p"))
 
 
-@query(with_tables("complete_subject", _SIZES_SQL + f""" SELECT 'orders' AS training_data, {len(FEATURES)} AS n_features, n_train, n_test,
-    '{json.dumps(SMALL)}' AS hyperparameters, TRUE AS scored FROM n"""))
+@query()
 def model_manifest(spark, sf_dir):
     rows = complete_subject(spark, sf_dir).select("id", "label", *FEATURES)
     run = build.train_classifier(rows, FEATURES, "id", "label", "CatBoost", SMALL)
@@ -311,12 +287,11 @@ def model_manifest(spark, sf_dir):
         "file": path.rsplit("/", 1)[-1], "training_data": "orders", "n_features": len(FEATURES), "n_train": run.train.count(), "n_test": run.test.count(),
         "params": SMALL, "roc_auc": scores["roc_auc"], "sensitivity": scores["sensitivity"], "npv": scores["npv"],
     }
-    scored = F.col("roc_auc").between(0.5, 1) & F.col("sensitivity").between(0, 1) & F.col("npv").between(0, 1)
-    return writers.model_manifest(spark, [entry]).select("training_data", "n_features", "n_train", "n_test", "hyperparameters", scored.alias("scored"))
+    return writers.model_manifest(spark, [entry]).drop("file")  # its folder is named anew in every run
 
 
-@query("SELECT unnest(range(2))::INT AS candidate, TRUE AS scored FROM region WHERE r_regionkey = 0")
+@query()
 def param_search(spark, sf_dir):
+    """Two random candidates and one that the surrogate chose, two folds, at most eight trees with a patience of three."""
     rows = complete_subject(spark, sf_dir).select("id", "label", *FEATURES)
-    means = search.search_parameters(rows, FEATURES, "id", "label", "CatBoost", n_candidates=2, folds=2, max_trees=4)[1]
-    return means.select("candidate", (F.col("mean_auc").between(0.5, 1) & F.col("n_estimators").between(1, 4)).alias("scored"))
+    return search.search_parameters(rows, FEATURES, "id", "label", "CatBoost", n_random=2, n_guided=1, folds=2, max_trees=8, patience=3)[1]

@@ -30,7 +30,7 @@ def enumerated(leaves, x, d):
 
     def value(coalition):
         total = 0.0
-        for v, feats, lows, highs, shares in leaves:
+        for v, feats, lows, highs, shares, _ in leaves:
             weight = v
             for f, lo, hi, share in zip(feats, lows, highs, shares):
                 weight *= (lo < x[f] <= hi) if f in coalition else share
@@ -50,7 +50,7 @@ def enumerated(leaves, x, d):
 
 def test_tree_attributions(spark, cohort):
     model = build.fit_classifier(cohort, FEATURES, "label", "XGBoost", SMALL)
-    leaves, expected = explain.leaf_rules(model.stages[-1])
+    leaves, expected = explain.leaf_rules(model)
     rows, base = explain.tree_attributions(model, explain.margin(model, cohort))
     assert base == expected
     for r in rows.limit(25).collect():
@@ -59,7 +59,7 @@ def test_tree_attributions(spark, cohort):
         assert expected + sum(r["attribution"]) == pytest.approx(r["margin"], abs=1e-9)
     p = {r["id"]: r["p"] for r in build.scored(model, cohort).collect()}
     some = rows.first()
-    assert p[some["id"]] == pytest.approx(1 / (1 + math.exp(-2 * some["margin"])))
+    assert p[some["id"]] == pytest.approx(1 / (1 + math.exp(-some["margin"])))
     ranked = explain.rank_features(rows, FEATURES).collect()
     assert ranked[-1]["feature"] == "c" and ranked[-1]["mean_abs"] == 0
     long = explain.attributions_long(rows, "id", FEATURES)
@@ -73,6 +73,26 @@ def test_missing_values_go_right():
     assert got[:, 0] == pytest.approx([-1.5, 0.5, 0.5, 0.5])
 
 
+def test_tables_of_leaves_equal_working_them_out():
+    draw = np.random.default_rng(5)
+    leaves = []
+    for d in (0, 1, 3, 6, 9):
+        for _ in range(4):
+            low = draw.normal(size=d) - 1
+            leaves.append((float(draw.normal()), list(map(int, draw.permutation(10)[:d])), list(low), list(low + draw.random(d) * 3), list(draw.random(d)), list(draw.random(d) < 0.5)))
+    x = draw.normal(size=(300, 10))
+    x[draw.random(x.shape) < 0.1] = np.nan
+    assert explain.attribute_batch(x, explain.leaf_tables(leaves)) == pytest.approx(explain.attribute_batch(x, leaves), abs=1e-12)
+
+
+def test_attributions_of_rows_with_missing_values_add_up(spark, cohort):
+    rows = cohort.withColumn("a", F.when(F.col("id") % 7 > 0, F.col("a"))).withColumn("b", F.when(F.col("id") % 5 > 0, F.col("b")).otherwise(float("nan")))
+    model = build.fit_classifier(rows, FEATURES, "label", "lightGBM", {"n_estimators": 4, "num_leaves": 6})
+    assert any(any(t.missing_left) for t in model.trees)
+    got, base = explain.tree_attributions(model, explain.margin(model, rows))
+    assert all(base + sum(r["attribution"]) == pytest.approx(r["margin"], abs=1e-9) for r in got.collect())
+
+
 def test_contributing_features(cohort):
     model = build.fit_classifier(cohort, FEATURES, "label", "CatBoost", SMALL)
     use = evaluate.contributing_features(model, cohort)
@@ -98,8 +118,12 @@ def test_weights_and_parameter_mapping(cohort):
     assert weighted[0]["w"] == pytest.approx(weighted[1]["w"]) == pytest.approx(200)
     with pytest.raises(ValueError):
         build.with_class_weight(cohort, "label", "other")
-    mapped = build.tree_params({"n_estimators": 9, "learning_rate": 0.1, "max_depth": 4, "min_child_weight": 2.1, "colsample_bylevel": 0.5, "reg_lambda": 3})
-    assert mapped == {"maxIter": 9, "stepSize": 0.1, "maxDepth": 4, "minInstancesPerNode": 3, "featureSubsetStrategy": "0.5"}
+    mapped = build.booster_settings("CatBoost", {"n_estimators": 9.7, "learning_rate": 0.1, "max_depth": 4.9, "min_child_weight": 2.1, "colsample_bylevel": 0.5, "reg_lambda": 3})
+    assert (mapped.trees, mapped.rate, mapped.depth, mapped.min_child_weight, mapped.colsample_bylevel, mapped.reg_lambda) == (9, 0.1, 4, 2.1, 0.5, 3)
+    assert mapped.growth == "symmetric" and mapped.ordered and build.booster_settings("lightGBM").leaves == 31
+    for wrong in (lambda: build.booster_settings("other"), lambda: build.booster_settings("XGBoost", {"depth": 3})):
+        with pytest.raises(ValueError):
+            wrong()
 
 
 def test_regression_by_least_squares(spark):
@@ -125,8 +149,43 @@ def test_regression_by_least_squares(spark):
 def test_search_is_reproducible(cohort):
     assert search.candidates("XGBoost", 3) == search.candidates("XGBoost", 3)
     assert set(search.candidates("CatBoost", 1)[0]) == set(build.SEARCH_SPACE["CatBoost"])
-    best, table = search.search_parameters(cohort, FEATURES, "id", "label", "CatBoost", n_candidates=2, folds=2, max_trees=3)
-    assert table.count() == 2 and 1 <= best["n_estimators"] <= 3
+    best, table = search.search_parameters(cohort, FEATURES, "id", "label", "CatBoost", n_random=2, n_guided=1, folds=2, max_trees=3)
+    assert table.count() == 3 and 1 <= best["n_estimators"] <= 3
+
+
+def test_posterior_in_closed_form():
+    known, values = np.array([[0.1, 0.2], [0.7, 0.4], [0.5, 0.9]]), np.array([1.0, -0.5, 0.3])
+    at = np.array([[0.3, 0.3], [0.7, 0.4], [0.0, 1.0]])
+    mean, variance = search.posterior(known, values, at, 0.5)
+
+    def cov(a, b):
+        r = math.sqrt(5) * math.dist(a, b) / 0.5
+        return (1 + r + r * r / 3) * math.exp(-r)
+
+    k = np.array([[cov(a, b) for b in known] for a in known]) + search.JITTER * np.eye(3)
+    for i, p in enumerate(at):
+        across = np.array([cov(p, a) for a in known])
+        assert mean[i] == pytest.approx(across @ np.linalg.inv(k) @ values, abs=1e-9)
+        assert variance[i] == pytest.approx(1 + search.JITTER - across @ np.linalg.inv(k) @ across, abs=1e-9)
+    density = -0.5 * values @ np.linalg.inv(k) @ values - 0.5 * math.log(np.linalg.det(k)) - 1.5 * math.log(2 * math.pi)
+    assert search.likelihood(known, values, 0.5) == pytest.approx(density)
+    # At a known point the surrogate is sure.
+    assert mean[1] == pytest.approx(-0.5, abs=1e-4) and variance[1] < 1e-4
+
+
+def test_the_surrogate_finds_a_peak_that_draws_miss():
+    names = list(build.SEARCH_SPACE["CatBoost"])
+    goal = np.array([0.3, 0.8, 0.6, 0.45])
+
+    def evaluate(points):
+        units = [search._unit("CatBoost", p) for p in points]
+        return [-float(((np.array(u) - goal)[1:] ** 2).sum()) for u in units]  # depth is whole
+
+    got = search.guided_search(evaluate, "CatBoost", 6, 12, seed=3)
+    assert len(got) == 18 and len(names) == 4 and got == search.guided_search(evaluate, "CatBoost", 6, 12, seed=3)
+    drawn = max(evaluate(search.candidates("CatBoost", 18, seed=3)))
+    assert max(v for _, v in got) > drawn  # as many draws without the surrogate
+    assert search.next_point([[0.1] * 4, [0.9] * 4], [0.0, 0.0], 1) == search.next_point([[0.1] * 4, [0.9] * 4], [0.0, 0.0], 1)
 
 
 def test_transfer_scores_every_model_both_ways(cohort):
