@@ -76,8 +76,11 @@ def _window(length: int) -> Callable[[Column], Column]:
 
 
 def _looked_up(lengths: list[int]) -> Column:
-    """(anchor, length, at) for the looked-up positions of a document, after a row that stands for the document."""
-    arrays = [F.array(F.struct(F.lit(0).cast("bigint").alias("anchor"), F.lit(0).alias("length"), F.lit(-1).alias("at")))]
+    """(anchor, length, at) for the looked-up positions of a document, after a row that stands for the document.
+
+    That row has a key of its own, so that the rows of all documents do not meet where anchors are joined.
+    """
+    arrays = [F.array(F.struct(F.xxhash64("doc_id", "digest").alias("anchor"), F.lit(0).alias("length"), F.lit(-1).alias("at")))]
     for length in lengths:
         size, step = _layout(length)
         last = F.size("w") - size
@@ -164,14 +167,17 @@ def _judged(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents in which no test window occurs, with their own columns."""
+    """The documents in which no test window occurs, with their own columns.
+
+    Null and empty texts have no window and stay, equal rows are judged alike, and without items every document stays.
+    """
     return _judged(docs, items, key, text).where("spans IS NULL").select("_row.*")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All documents, with the words of occurring test windows taken out of the text.
 
-    A removed word goes with the separator before it, so what stands around a span stays as it was.
+    A removed word goes with the separator before it, so what stands around a span stays as it was.  A null text stays null.
     """
     judged = _judged(docs, items, key, text)
     clean = judged.where("spans IS NULL").select("_row.*")

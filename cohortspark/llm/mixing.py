@@ -25,6 +25,7 @@ from cohortspark.session import materialise
 WEIGHTS, SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
 BLOCK_WORDS, SHARD_SLOTS, BUCKET_WORDS = 128, 4_096, 250_000
 CELL = 4_096  # tickets per cell in which a ticket looks for its source
+SLOTS_IN_TASK = 50_000
 PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587)
 ROUNDS = [(1_103_515_245, 16_807), (1_664_525, 48_271), (214_013, 69_621), (630_360_016, 39_373)]
 
@@ -97,9 +98,11 @@ def placed(rows: DataFrame, goals: DataFrame, block_words: int = BLOCK_WORDS, bu
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "digest")
     number = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("bigint")
     in_bucket = Window.partitionBy("rank", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "digest").rowsBetween(Window.unboundedPreceding, -1)
-    docs = ranked.withColumn("bucket", number % buckets).withColumn("at", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
-    docs = materialise(docs)
-    counted = docs.groupBy("rank", "bucket").agg(F.ceil(F.sum("size") / block_words).cast("bigint").alias("blocks"))
+    full = ranked.where("size > 0").withColumn("bucket", number % buckets).withColumn("at", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
+    # Texts without words have no place in the stream, however many there are.
+    none = F.lit(0).cast("bigint")
+    docs = materialise(full.unionByName(ranked.where("size = 0").withColumns({"bucket": none, "at": none})))
+    counted = docs.where("size > 0").groupBy("rank", "bucket").agg(F.ceil(F.sum("size") / block_words).cast("bigint").alias("blocks"))
     earlier = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     return docs, materialise(counted.withColumn("first_block", F.coalesce(F.sum("blocks").over(earlier), F.lit(0))))
 
@@ -116,7 +119,8 @@ def slots(goals: DataFrame, buckets: DataFrame, seed: int = 0, shard_slots: int
     cells = F.explode(F.sequence(F.expr(f"first div {CELL}"), F.expr(f"(first + tickets - 1) div {CELL}"))).alias("cell")
     owners = quota.select("rank", "blocks", "first", (F.col("first") + F.col("tickets")).alias("end"), cells)
 
-    every = spark.range(total).select(F.col("id").alias("slot"), F.lit(total).cast("bigint").alias("total"), F.lit(seed).cast("bigint").alias("seed"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // SLOTS_IN_TASK))
+    every = spark.range(0, total, 1, tasks).select(F.col("id").alias("slot"), F.lit(total).cast("bigint").alias("total"), F.lit(seed).cast("bigint").alias("seed"))
     dealt = permuted(every, "slot", "total", "seed", "ticket").withColumn("cell", F.expr(f"ticket div {CELL}"))
     owned = (F.col("ticket") >= F.col("first")) & (F.col("ticket") < F.col("end"))
     dealt = lookup_join(dealt, owners, ["cell"], "inner", condition=owned, heavy_rows=None)

@@ -177,9 +177,12 @@ def read_records(selected: DataFrame, read_bytes: int = READ_BYTES, gap_bytes: i
 
     An archive is dealt out in units of ``unit_bytes``; within a task the rows are sorted by archive
     and offset, and ranges at most ``gap_bytes`` apart are read at once, up to ``read_bytes``.
+    A record selected twice is read twice; an empty selection has no records.
     """
     units = selected.select("path", "offset", "length", F.expr(f"offset div {unit_bytes}").alias("_unit"))
-    in_order = units.repartition("path", "_unit").sortWithinPartitions("path", "offset").select("path", "offset", "length")
+    # As many tasks as there are units, by the bytes of the archives; those of the index say nothing about the work.
+    tasks = units.groupBy("path", "_unit").agg(F.lit(1)).count()
+    in_order = units.repartition(max(1, tasks), "path", "_unit").sortWithinPartitions("path", "offset").select("path", "offset", "length")
     schema = RECORD + ", payload string"
     found = in_order.mapInArrow(_reader(read_bytes, gap_bytes, payloads), schema)
     return found if payloads else found.drop("payload")

@@ -78,3 +78,15 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert m.mixed(odd_docs).agg(F.sum("n_words")).first()[0] == rows.agg(F.sum("taken")).first()[0]
     assert m.taken(no_docs).count() == 0 and m.mixed(no_docs).count() == 0
     assert m.taken(odd_docs.where("text = ''")).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_very_many_empty_texts_of_one_source(spark):
+    full = [(i, f"w{i} " * (i % 40 + 1), "a" if i % 2 else "b") for i in range(200)]
+    docs = spark.createDataFrame(full, "doc_id long, text string, source string")
+    empty = spark.range(1_000, 101_000).selectExpr("id AS doc_id", "CAST(NULL AS string) AS text", "'a' AS source")
+    got = {r["doc_id"]: (r["size"], r["taken"]) for r in m.taken(docs.unionByName(empty)).where("size > 0 OR taken > 0").collect()}
+    assert got == {r["doc_id"]: (r["size"], r["taken"]) for r in m.taken(docs).collect()}
+    # They have no place in a stream, so no window holds them.
+    at, buckets = m.placed(m.described(docs.unionByName(empty)), m.targets(m.described(docs)))
+    assert at.where("size = 0").agg(F.max("at"), F.max("bucket"), F.count(F.lit(1))).first()[:] == (0, 0, 100_000)
+    assert buckets.agg(F.sum("blocks")).first()[0] == m.placed(m.described(docs), m.targets(m.described(docs)))[1].agg(F.sum("blocks")).first()[0]

@@ -61,3 +61,9 @@ def test_damage_is_noticed():
 
 def test_no_pages(spark, pages, tmp_path):
     assert w.archive(spark, pages.limit(0), f"file://{tmp_path}/four").count() == 0
+
+
+def test_a_task_reads_a_unit(spark, pages, tmp_path):
+    index = w.write_archives(w.with_revisits(pages), f"file://{tmp_path}/four", archive_bytes=1_000_000)
+    units = index.selectExpr("path", "offset div 300 AS unit").distinct().count()
+    assert units > 3 and w.read_records(index, unit_bytes=300).rdd.getNumPartitions() == units
