@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.numeric import ratio
 from cohortspark.functions.text import count_share, mean_sd, reported_p
 from cohortspark.operators.clean import column
+from cohortspark.operators.gram import correlations
 from cohortspark.operators.hypothesis import two_group_tests
 from cohortspark.session import materialise
 
@@ -116,13 +115,11 @@ def descriptive_sheet(df: DataFrame, variables: list[str], by: str, label: str)
 
 
 def correlation_long(df: DataFrame, variables: list[str], by: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair, strict lower triangle (``x`` after ``y``)."""
-    by = by or []
-    pairs = list(combinations(sorted(variables), 2))
-    # Correlation is pairwise complete: rows count where both values are present.
-    cors = [F.corr(column(a).cast("double"), column(b).cast("double")).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)]
-    cells = F.array(*[F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(f"r_{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return df.groupBy(*by).agg(*cors).select(*by, F.explode(cells).alias("c")).select(*by, "c.*")
+    """Pearson correlation of every pair, strict lower triangle (``x`` after ``y``).
+
+    Correlation is pairwise complete: rows count where both values are present.  One scan for any number of variables.
+    """
+    return correlations(df, sorted(variables), by)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

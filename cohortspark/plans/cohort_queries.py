@@ -300,6 +300,21 @@ def index_histogram(spark, sf_dir):
     return quantiles.log_histogram(subject(spark, sf_dir), ["cohort"], "idx", 4.0, 14.0, 40, cutoff=70000)
 
 
+@query(with_tables("subject", """WITH v AS (SELECT cohort, ln(idx) AS v FROM subject WHERE idx > 0),
+    s AS (SELECT cohort, count(*) AS n, stddev_samp(v) / pow(count(*), 0.2) AS b, min(v) AS lo, max(v) AS hi FROM v GROUP BY cohort),
+    g AS (SELECT *, lo - 3 * b AS low, (hi - lo + 6 * b) / 39 AS step FROM s),
+    p AS (SELECT cohort, (v - low) / step AS pl FROM v JOIN g USING (cohort)),
+    m AS (SELECT cohort, i, sum(m) AS m FROM (SELECT cohort, floor(pl) AS i, 1 - pl + floor(pl) AS m FROM p UNION ALL SELECT cohort, floor(pl) + 1, pl - floor(pl) FROM p) GROUP BY ALL)
+    SELECT cohort, point::INT AS point, round(any_value(low + point * step), 6) AS x, any_value(n) AS n,
+           round(sum(m * exp(-0.5 * pow((point - i) * step / b, 2))) / any_value(n * b * sqrt(2 * pi())), 8) AS density
+    FROM g JOIN m USING (cohort), range(40) r(point) GROUP BY cohort, point"""))
+def index_density(spark, sf_dir):
+    """The smooth curve over the histogram of the index."""
+    rows = subject(spark, sf_dir).where("idx > 0").select("cohort", F.log("idx").alias("v"))
+    curve = quantiles.density(rows, ["cohort"], "v", points=40)
+    return curve.select("cohort", "point", F.round("x", 6).alias("x"), "n", F.round("density", 8).alias("density"))
+
+
 @query(with_tables("subject", """SELECT count(*) FILTER (NOT label) AS n_neg, count(*) FILTER (label) AS n_pos,
     round(count(*) FILTER (label) / count(label), 6) AS prevalence,
     round(count(*) FILTER (NOT label) / count(*) FILTER (label), 6) AS positive_weight,
