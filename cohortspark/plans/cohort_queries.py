@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from cohortspark.functions import text
-from cohortspark.operators import clean, describe, features, joins, quantiles
+from cohortspark.operators import clean, describe, features, joins, quantiles, wide
 from cohortspark.operators.hypothesis import cohens_d as effect_size
 from cohortspark.plans.registry import query
 from cohortspark.plans.stand_ins import manifest, readings, subject, table, with_tables
@@ -451,3 +451,14 @@ def sorted_export(spark, sf_dir):
         F.sum("n").alias("n"), F.sum(F.col("wrong") + F.coalesce((F.col("last_low") < F.col("high")).cast("int"), F.lit(0))).alias("n_out_of_order"),
         F.min_by("first", "file").alias("first_id"),
     )
+
+
+@query(with_tables("kept_readings", "SELECT TargetID, MET_ID, round(AVG_Beta, 6) AS AVG_Beta FROM kept_readings"))
+def wide_assembly(spark, sf_dir):
+    """The complete probes as a matrix in blocks of 100 samples, written, read and unfolded again."""
+    long = readings(spark, sf_dir)
+    samples = [r[0] for r in table(spark, sf_dir, "embeddings").select("vec_id").orderBy("vec_id").collect()]  # names of columns
+    path = wide.write_wide(wide.assemble(long, samples, block=100), scratch_path(spark, "wide"))
+    kind = long.schema["MET_ID"].dataType.simpleString()
+    back = wide.in_long_form(wide.read_wide(spark, path), samples, "MET_ID", kind, block=100)
+    return back.select("TargetID", "MET_ID", F.round("AVG_Beta", 6).alias("AVG_Beta"))
