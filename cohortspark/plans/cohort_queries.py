@@ -12,7 +12,7 @@ from cohortspark.operators.hypothesis import cohens_d as effect_size
 from cohortspark.plans.registry import query
 from cohortspark.plans.stand_ins import manifest, readings, subject, table, with_tables
 from cohortspark.session import scratch_path
-from cohortspark.sources import readers, writers
+from cohortspark.sources import archives, readers, writers
 
 
 def components(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -462,3 +462,11 @@ def wide_assembly(spark, sf_dir):
     kind = long.schema["MET_ID"].dataType.simpleString()
     back = wide.in_long_form(wide.read_wide(spark, path), samples, "MET_ID", kind, block=100)
     return back.select("TargetID", "MET_ID", F.round("AVG_Beta", 6).alias("AVG_Beta"))
+
+
+@query(with_tables("readings", "SELECT TargetID::VARCHAR AS TargetID, MET_ID::VARCHAR AS MET_ID, round(AVG_Beta, 6) AS AVG_Beta FROM readings WHERE det_p < 0.5"))
+def archived_samples(spark, sf_dir):
+    """Readings packed into archives of a text per sample, read from there without unpacking."""
+    index = archives.write_archives(readings(spark, sf_dir), scratch_path(spark, "zip"))
+    paths = [r[0] for r in index.select("archive").collect()]  # names of files
+    return archives.read_archived_samples(spark, paths, limit=0.5).select("TargetID", "MET_ID", F.round("AVG_Beta", 6).alias("AVG_Beta"))
