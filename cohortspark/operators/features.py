@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,20 +18,16 @@ LEAKING = ["Release_No", ".*HOMA-IR.*", ".*FASTING_INSULIN.*", ".*DIABETES.*"]
 BASELINE = ["AGE", "BMI", "FASTING_GLUCOSE", "HBA1C", "HDL_C", "RACE", "SEX", "TG", "T_CHO"]
 
 
+# Suffixes of the generated columns and what each holds, of one column and of two.
+OF_ONE = {"square": lambda x: x * x, "sqrt": F.sqrt, "log": lambda x: log_if_positive(x, 10)}
+OF_TWO = {"mul": lambda x, y: x * y, "div": ratio}
+
+
 def feature_expressions(bases: list[str]) -> dict[str, Column]:
-    """Name to expression: three transforms per base, product and ratio per pair."""
-    bases = sorted(bases)
-    number = {name: column(name).cast("double") for name in bases}
-    made: dict[str, Column] = {}
-    for i, first in enumerate(bases):
-        x = number[first]
-        made[f"{first}_square"] = x * x
-        made[f"{first}_sqrt"] = F.sqrt(x)
-        made[f"{first}_log"] = log_if_positive(x, 10)
-        for second in bases[i + 1 :]:
-            made[f"{first}_mul_{second}"] = x * number[second]
-            made[f"{first}_div_{second}"] = ratio(x, number[second])
-    return made
+    """Name to expression: every transform of a base, and every combination of a pair in name order."""
+    value = lambda name: column(name).cast("double")
+    of_one = {f"{b}_{suffix}": f(value(b)) for suffix, f in OF_ONE.items() for b in bases}
+    return of_one | {f"{a}_{word}_{b}": f(value(a), value(b)) for word, f in OF_TWO.items() for a, b in combinations(sorted(bases), 2)}
 
 
 SAFE_DIVISOR = 1e-150
