@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,3 +39,32 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert r.resample(odd_docs, targets.limit(0), 0.5).where("log_weight != 0").count() == 0
     assert r.resample(odd_docs, targets, 0.0).where("drawn").count() == 0 and r.resample(odd_docs, targets, 1.0).where("NOT drawn").count() == 0
     assert r.resample(no_docs, targets, 0.5).count() == 0
+
+
+def slow_buckets(text):
+    """The bucket of every four bytes of a text, one after another."""
+    plain = (text or "").encode()
+    return [(int.from_bytes(plain[i : i + 4], "little") * 0x9E3779B97F4A7C15 % 2**64 >> 40) % 65_536 for i in range(len(plain) - 3)]
+
+
+def test_query_by_brute_force(spark, data, db):
+    from cohortspark.llm.queries import QUERIES
+
+    rows = db.execute("SELECT doc_id, text FROM documents").fetchall()
+    good = {r[0] for r in db.execute("SELECT doc_id FROM labels WHERE quality = 1").fetchall()}
+    share = db.execute("SELECT avg(quality) FROM labels WHERE quality IS NOT NULL").fetchone()[0]
+    raw, target = Counter(), Counter()
+    for d, text in rows:
+        raw.update(own := slow_buckets(text))
+        target.update(own if d in good else [])
+    n_raw, n_target = sum(raw.values()) + 65_536, sum(target.values()) + 65_536
+    ratio = {b: math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw) for b in raw}
+    weight = {d: 400 * sum(ratio[b] for b in own) / len(own) if (own := slow_buckets(t)) else 0.0 for d, t in rows}
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    noise = {r[0]: r[1] for r in docs.select("doc_id", r.gumbel(F.col("doc_id").cast("string"), F.xxhash64("text"))).collect()}
+    order = sorted(weight, key=lambda d: -(weight[d] + noise[d]))
+    drawn = set(order[: round(share * len(rows))])
+    got = {x["doc_id"]: x for x in QUERIES["op7_importance_resampling"](spark, data).collect()}
+    assert got.keys() == weight.keys() and 0 < len(drawn) < len(rows)
+    for d, x in got.items():
+        assert x["log_weight"] == pytest.approx(weight[d], rel=1e-9, abs=1e-9) and x["drawn"] == (d in drawn)

@@ -1,4 +1,10 @@
+import math
+import string
+from collections import Counter
+from zlib import crc32
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.llm import toxicity as t
@@ -67,3 +73,36 @@ def test_sparse_rows_multiply_like_dense_ones():
     s = t._sparse([(np.flatnonzero(r).tolist(),) for r in x], 9)
     picked, w, v = draw.integers(0, 50, 70), draw.random(9), draw.random(70)
     assert np.allclose(s[picked] @ w, x[picked] @ w, rtol=1e-5) and np.allclose(v @ s[picked], v @ x[picked], rtol=1e-5)
+
+
+def slow_features(text):
+    """The features of a text by name: every word, and its first four and five bytes."""
+    found = set()
+    for word in (text or "").encode().lower().split():
+        core = word.strip(string.punctuation.encode())
+        found |= {b"w" + core, b"4" + core[:4], b"5" + core[:5]} if core else {b"w" + word}
+    return {crc32(f) for f in found}
+
+
+def test_features_and_scores_by_brute_force(spark, data):
+    larger = data.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{larger}/{x}.parquet") for x in ("documents", "labels"))
+    rows, known = docs.select("doc_id", "text").collect(), labels.where("toxic IS NOT NULL").select("doc_id", "toxic").collect()
+    learned = [(d, slow_features(t)) for d, t in rows if crc32(str(d).encode()) % 5]
+    bad = {d for d, toxic in known if toxic == 1 and crc32(str(d).encode()) % 5}
+    in_all, in_toxic = Counter(f for _, own in learned for f in own), Counter(f for d, own in learned if d in bad for f in own)
+    n_all, n_toxic = len(learned), sum(d in bad for d, _ in learned)
+    wanted = set()
+    for f, n in in_toxic.items():
+        expected = (in_all[f] + 1) / (n_all + 2)
+        if n >= 5 and (n / n_toxic - expected) / math.sqrt(expected * (1 - expected) / n_toxic) > 4:
+            wanted.add(f)
+    model = t.fit(docs, labels)
+    assert set(model.listed) == wanted and len(wanted) > 3
+    labelled = [toxic for d, toxic in known if crc32(str(d).encode()) % 5]
+    assert model.prior == pytest.approx(sum(labelled) / len(labelled))
+    mean = model.weights.mean(axis=0)
+    got = {r["doc_id"]: r["p"] for r in docs.select("doc_id", t.score(F.col("text"), model).alias("p")).collect()}
+    for d, text in rows:
+        logit = mean[-1] + sum(mean[model.listed[f]] for f in slow_features(text) & wanted)
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-logit)), rel=1e-5)
