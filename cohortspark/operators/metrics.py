@@ -125,6 +125,7 @@ def _with_metrics(table: DataFrame, keys: list[str], digits: int | None) -> Data
 
 
 SLICE_ROWS = 200_000
+BAND_SLICES = 1_000  # slices that one task draws for
 REPLICATES_AT_ONCE = 50
 
 
@@ -152,6 +153,42 @@ def _draw_slices(keys: list[str], resamples: int, seed: int):
     return run
 
 
+def _draw_within(keys: list[str], seed: int):
+    """The slices' part of what every replicate draws from their band."""
+
+    def run(sizes: pd.DataFrame, bands: pd.DataFrame) -> pd.DataFrame:
+        sizes, band = sizes.sort_values("_slice", ascending=False), bands.iloc[0]
+        draw = _generator(seed, *band[[*keys, "_band"]].tolist(), "band")
+        out = sizes[[*keys, "_slice"]].copy()
+        for g in ("pos", "neg"):
+            own, wanted = sizes[f"n_{g}"].to_numpy(float), np.asarray(band[f"_{g}"])
+            got = draw.multinomial(wanted, own / own.sum()) if own.sum() else np.zeros((len(wanted), len(own)), int)
+            above = np.cumsum(got, axis=1) - got + np.asarray(band[f"_{g}_above"])[:, None]
+            out[f"_{g}"], out[f"_{g}_above"] = list(got.T), list(above.T)
+        out["_neg_total"] = [band["_neg_total"]] * len(out)
+        return out[[*keys, "_slice", "_pos", "_neg", "_pos_above", "_neg_above", "_neg_total"]]
+
+    return run
+
+
+def _slice_draws(sizes: DataFrame, keys: list[str], resamples: int, seed: int, head: str) -> DataFrame:
+    """What every replicate draws from each slice (n_pos, n_neg) of a key.
+
+    A key with more than ``BAND_SLICES`` slices is drawn in two steps, first bands of slices and then the slices of
+    a band, each band in a task of its own; the law is the same.
+    """
+    lists = ", ".join(f"_{x} array<bigint>" for x in ("pos", "neg", "pos_above", "neg_above", "neg_total"))
+    sizes = materialise(sizes)
+    most = sizes.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= BAND_SLICES:
+        return sizes.groupBy(*keys).applyInPandas(_draw_slices(keys, resamples, seed), f"{head}_slice bigint, {lists}")
+    banded = sizes.withColumn("_band", F.expr(f"_slice div {BAND_SLICES}"))
+    whole = banded.groupBy(*keys, F.col("_band").alias("_slice")).agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+    bands = _slice_draws(whole, keys, resamples, seed, head).withColumnRenamed("_slice", "_band")
+    group = [*keys, "_band"]
+    return banded.groupBy(*group).cogroup(bands.groupBy(*group)).applyInPandas(_draw_within(keys, seed), f"{head}_slice bigint, {lists}")
+
+
 def _replicate_sums(keys: list[str], threshold: float, seed: int):
     """What a slice adds to the curve areas and confusion counts of every replicate."""
 
@@ -216,8 +253,7 @@ def bootstrap_metrics(
     kinds = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
     named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     head = f"{named}, " if keys else ""
-    lists = ", ".join(f"_{x} array<bigint>" for x in ("pos", "neg", "pos_above", "neg_above", "neg_total"))
-    draws = sizes.groupBy(*keys).applyInPandas(_draw_slices(keys, resamples, seed), f"{head}_slice bigint, {lists}")
+    draws = _slice_draws(sizes, keys, resamples, seed, head)
     schema = f"replicate bigint, _beaten double, _strip double, TP bigint, FP bigint, TN bigint, FN bigint{', ' + named if keys else ''}"
     group = [*keys, "_slice"]
     summed = counts.groupBy(*group).cogroup(draws.groupBy(*group)).applyInPandas(_replicate_sums(keys, threshold, seed), schema)

@@ -258,3 +258,25 @@ def test_folds_of_a_small_class(spark):
     got = splits.assign_folds(df, "id", 5, by="c").collect()
     assert sorted(r["fold"] for r in got if r["c"] == "x") == [0, 1, 2]
     assert sorted(r["fold"] for r in got if r["c"] is None) == [0, 0, 1, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_draws_in_bands_follow_the_law(spark, monkeypatch, keys):
+    # Forty slices in bands of three: four steps.
+    rows = [(g, k, 5 + k, 0 if k == 7 else 80 - k) for g in (["a", None] if keys else ["a"]) for k in range(40)]
+    sizes = spark.createDataFrame(rows, "g string, _slice bigint, n_pos bigint, n_neg bigint")
+    monkeypatch.setattr(metrics, "BAND_SLICES", 3)
+    draws = metrics._slice_draws(sizes, keys, 600, 5, "g string, " if keys else "").collect()
+    again = metrics._slice_draws(sizes.repartition(5), keys, 600, 5, "g string, " if keys else "").collect()
+    assert sorted(map(str, draws)) == sorted(map(str, again)) and len(draws) == len(rows)
+    for g in {r["g"] if keys else "a" for r in draws}:
+        own = {r["_slice"]: r for r in draws if not keys or r["g"] == g}
+        size = {k: (p, n) for h, k, p, n in rows if h == g}
+        pos, neg = (np.array([own[k][c] for k in range(40)]) for c in ("_pos", "_neg"))
+        n = sum(p + m for p, m in size.values())
+        assert (pos.sum(axis=0) + neg.sum(axis=0) == n).all() and (np.array(own[0]["_neg_total"]) == neg.sum(axis=0)).all()
+        for k in range(40):
+            assert (np.array(own[k]["_pos_above"]) == pos[k + 1 :].sum(axis=0)).all() and (np.array(own[k]["_neg_above"]) == neg[k + 1 :].sum(axis=0)).all()
+            for drawn, wanted in zip((pos[k], neg[k]), size[k]):
+                assert drawn.mean() == pytest.approx(wanted, abs=0.35 * math.sqrt(wanted) + 1e-9)
+                assert drawn.var() == pytest.approx(wanted * (1 - wanted / n), rel=0.3) if wanted else not drawn.any()
