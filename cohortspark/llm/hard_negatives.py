@@ -115,7 +115,9 @@ def _overlapping(a: _Block, chosen: np.ndarray, x: _Block, near: np.ndarray, low
     """(anchor of ``chosen``, row of ``near``, score) for the pairs whose score may and does lie within low and high."""
     nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     # First the rows that no anchor of the chunk can reach by any single reference.
-    size = np.maximum(a.norm[chosen] * x.norm[near].max(initial=0), 1e-9)
+    # A score above zero is easiest for the longest row, one below zero for the shortest.
+    norm = np.where(low > 1, x.norm[near].max(initial=0), x.norm[near].min(initial=np.inf))
+    size = np.maximum(a.norm[chosen] * norm, 1e-9)
     reach = np.arccos(np.clip((low - 1) / size - SCORE_SLACK, -1, 1)) + ANGLE_SLACK
     theirs = x.angles[near]
     within = ((theirs >= (a.angles[chosen] - reach[:, None]).min(axis=0)) & (theirs <= (a.angles[chosen] + reach[:, None]).max(axis=0))).all(axis=1)

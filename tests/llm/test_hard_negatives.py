@@ -89,3 +89,21 @@ def test_windows_hold_every_score_and_close_on_clusters():
 def test_large_components_are_exact(spark):
     rows = [(i, i % 2, [1e5 + i, -9e4 - 3 * i, 0.004 * i]) for i in range(20)]
     assert mined(spark, rows, high=100) == brute(rows, lambda i: i % 3 == 0, high=100)
+
+
+def test_scores_below_zero_are_not_cut_off_by_long_rows():
+    # Anchors that wait for scores below zero, rows of very different lengths, and chunks of every make-up.
+    draw = np.random.default_rng(7)
+    vectors = draw.normal(size=(240, 6)) * np.repeat([0.02, 1.0, 30.0], 80)[:, None]
+    block = h._Block.__new__(h._Block)
+    block.values = h.scaled(vectors)
+    block.norm, block.row, block.label = np.linalg.norm(block.values, axis=1), np.arange(240), np.zeros(240, np.int64)
+    block.angles = h._angles(block.values, block.norm, h.choose_references(vectors)).astype(np.float32).astype(float)
+    scores = block.values @ block.values.T
+    for n in [1] * 200 + [9] * 40:
+        chosen, near = draw.choice(240, n, replace=False), draw.choice(240, 60, replace=False)
+        low = np.repeat(draw.choice([-1e5, -300.0, -1.0, 0.0, 0.5, 40.0, 1e4]), n) * draw.choice([1.0, 2.0], n)
+        high = low + draw.choice([1.0, 1e3, np.inf], n)
+        at, of, got = h._overlapping(block, chosen, block, near, low, high, True)
+        wanted = {(i, j, int(scores[c, j])) for i, c in enumerate(chosen) for j in near if c != j and low[i] <= scores[c, j] <= high[i]}
+        assert set(zip(at.tolist(), of.tolist(), got.tolist())) == wanted
