@@ -80,11 +80,16 @@ def with_class_weight(df: DataFrame, label: str, algorithm: str, weight: str = "
     return df.withColumn(weight, F.when(F.col(label).cast("boolean"), F.lit(weights[1])).otherwise(F.lit(weights[0])))
 
 
-def fit_classifier(train: DataFrame, features: list[str], label: str, algorithm: str, params: dict | None = None, **options) -> Booster:
-    """Weight the classes of the training rows and fit; ``options`` change settings by their own names."""
+def fit_classifier(
+    train: DataFrame, features: list[str], label: str, algorithm: str, params: dict | None = None, cuts: dict[str, list[float]] | None = None, **options,
+) -> Booster:
+    """Weight the classes of the training rows and fit; ``options`` change settings by their own names.
+
+    Features are cut at quantiles, or at the borders that ``cuts`` has by name; one that is not named there is not cut.
+    """
     rows = train.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*features, label])])
     rows = with_class_weight(rows, label, algorithm, "_weight")
-    return boosting.fit(rows, features, label, booster_settings(algorithm, params, **options), weight="_weight")
+    return boosting.fit(rows, features, label, booster_settings(algorithm, params, **options), weight="_weight", cuts=cuts and [cuts.get(f, []) for f in features])
 
 
 def model_features(model: Booster | PipelineModel) -> list[str]:

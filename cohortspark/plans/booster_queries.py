@@ -17,30 +17,36 @@ CUTS = {
 RATE = 0.3
 
 
-def _tree_sql(p: Settings, trees: int) -> str:
-    """Grow ``trees`` trees on ln(idx) or the label, leaf by leaf, level by level or with shared splits."""
-    cuts = ", ".join(f"({f}, {c}, {CUTS[name][c]!r})" for f, name in enumerate(FEATURES) for c in range(len(CUTS[name])))
+def _grown_sql(p: Settings, trees: int, trained: str = "TRUE", weighted: bool = False, features: list[str] = FEATURES) -> tuple[list[str], list[str]]:
+    """Growth on ln(idx) or the label, leaf by leaf, level by level or with shared splits.
+
+    Returns common table expressions and a selection per split and leaf.  ``t<k>`` has a row per subject with its margin ``m`` after k trees and
+    ``tr``, whether it was trained on; with ``weighted`` positives count for as much as negatives.
+    """
+    cuts = ", ".join(f"({f}, {c}, {CUTS[name][c]!r})" for f, name in enumerate(features) for c in range(len(CUTS[name])))
     shrunk = lambda g: f"(greatest(abs({g}) - {p.reg_alpha}, 0) * sign({g}))"
     score = lambda g, h: f"({shrunk(g)} ** 2 / ({h} + {p.reg_lambda}))"
-    slopes = "m - y AS g, 1.0 AS h" if p.loss == "squared" else "1 / (1 + exp(-m)) - y AS g, 1 / (1 + exp(-m)) * (1 - 1 / (1 + exp(-m))) AS h"
+    slopes = "w * (m - y) AS g, w AS h" if p.loss == "squared" else "w * (1 / (1 + exp(-m)) - y) AS g, w / (1 + exp(-m)) * (1 - 1 / (1 + exp(-m))) AS h"
     y, base = ("ln(idx)", "y") if p.loss == "squared" else ("label::int::double", "ln(y / (1 - y))")
+    weight = "CASE WHEN y > 0.5 THEN (SELECT count(*) FILTER (y < 0.5) / count(*) FILTER (y > 0.5) FROM data WHERE tr) ELSE 1.0 END" if weighted else "1.0"
     parts = [
         f"cuts AS (SELECT f, c, cut::double AS cut FROM (VALUES {cuts}) v(f, c, cut))",
-        f"data AS (SELECT id, {y} AS y, [{', '.join(f'{f}::double' for f in FEATURES)}] AS x FROM complete_subject)",
-        f"t0 AS (SELECT id, y, x, (SELECT {base} FROM (SELECT avg(y) AS y FROM data)) AS m FROM data)",
+        f"data AS (SELECT id, {y} AS y, {trained} AS tr, [{', '.join(f'{f}::double' for f in features)}] AS x FROM complete_subject)",
+        f"weighed AS (SELECT *, {weight} AS w FROM data)",
+        f"t0 AS (SELECT id, y, tr, w, x, (SELECT {base} FROM (SELECT sum(w * y) / sum(w) AS y FROM weighed WHERE tr)) AS m FROM weighed)",
     ]
     found = []
     steps = (p.leaves or 2) - 1 if p.growth == "leaf" else p.depth
     for t in range(trees):
-        parts.append(f"n{t}_0 AS (SELECT id, x, {slopes}, '' AS node FROM t{t})")
+        parts.append(f"n{t}_0 AS (SELECT id, tr, x, {slopes}, '' AS node FROM t{t})")
         for k in range(steps):
             now, name = f"n{t}_{k}", f"{t}_{k}"
             partition = "" if p.growth in ("leaf", "symmetric") else "PARTITION BY node"
             gain = f"{score('gl', 'hl')} + {score('(gt - gl)', '(ht - hl)')} - {score('gt', 'ht')}"
-            level = f"WHERE length(node) = {k}" if p.growth != "leaf" else ""
+            level = f"AND length(node) = {k}" if p.growth != "leaf" else ""
             parts += [
                 f"""e{name} AS (SELECT node, f, c, cut, sum(g) FILTER (x[f + 1] <= cut) AS gl, sum(h) FILTER (x[f + 1] <= cut) AS hl, sum(g) AS gt, sum(h) AS ht,
-                    count(*) FILTER (x[f + 1] <= cut) AS nl, count(*) AS nt FROM {now}, cuts {level} GROUP BY ALL)""",
+                    count(*) FILTER (x[f + 1] <= cut) AS nl, count(*) AS nt FROM {now}, cuts WHERE tr {level} GROUP BY ALL)""",
                 f"""g{name} AS (SELECT *, {gain} AS gain FROM e{name} WHERE nl >= {p.min_child_rows} AND nt - nl >= {p.min_child_rows}
                     AND hl >= {p.min_child_weight} AND ht - hl >= {p.min_child_weight})""",
             ]
@@ -49,16 +55,30 @@ def _tree_sql(p: Settings, trees: int) -> str:
                 parts.append(f"b{name} AS (SELECT DISTINCT node, s.f, s.cut, s.gain FROM s{name} s, {now} WHERE length(node) = {k})")
             else:
                 parts.append(f"b{name} AS (SELECT node, f, cut, gain FROM g{name} WHERE gain > {p.gamma} QUALIFY row_number() OVER ({partition} ORDER BY round(gain, 7) DESC, f, c) = 1)")
-            parts.append(f"n{t}_{k + 1} AS (SELECT id, x, g, h, CASE WHEN b.node IS NULL THEN n.node WHEN x[b.f + 1] <= b.cut THEN n.node || 'L' ELSE n.node || 'R' END AS node FROM {now} n LEFT JOIN b{name} b ON n.node = b.node)")
+            moved = "CASE WHEN b.node IS NULL THEN n.node WHEN x[b.f + 1] <= b.cut THEN n.node || 'L' ELSE n.node || 'R' END"
+            parts.append(f"n{t}_{k + 1} AS (SELECT id, tr, x, g, h, {moved} AS node FROM {now} n LEFT JOIN b{name} b ON n.node = b.node)")
             found.append(f"SELECT {t} AS tree, node AS path, f::int AS feature, cut AS threshold, gain, NULL::double AS value, NULL::double AS weight FROM b{name}")
         last = f"n{t}_{steps}"
-        parts.append(f"v{t} AS (SELECT node, -{shrunk('sum(g)')} / (sum(h) + {p.reg_lambda}) AS value, sum(h) AS weight FROM {last} GROUP BY node)")
-        parts.append(f"t{t + 1} AS (SELECT id, r.y, r.x, m + {RATE} * value AS m FROM t{t} r JOIN {last} n USING (id) JOIN v{t} v USING (node))")
+        parts.append(f"v{t} AS (SELECT node, -{shrunk('sum(g)')} / (sum(h) + {p.reg_lambda}) AS value, sum(h) AS weight FROM {last} WHERE tr GROUP BY node)")
+        parts.append(f"t{t + 1} AS (SELECT id, r.y, r.tr, r.w, r.x, m + {p.rate} * value AS m FROM t{t} r JOIN {last} n USING (id) JOIN v{t} v USING (node))")
         found.append(f"SELECT {t}, node, NULL, NULL, NULL, value, weight FROM v{t}")
+    return parts, found
+
+
+def _tree_sql(p: Settings, trees: int) -> str:
+    parts, found = _grown_sql(p, trees)
     every = " UNION ALL ".join(found)
     return f"WITH {', '.join(parts)} SELECT tree::int AS tree, path, feature, threshold, round(gain, 4) AS gain, round(value, 8) AS value, round(weight, 4) AS weight FROM ({every})"
 
 
+def scores_sql(p: Settings, trained: str, select: str, features: list[str] = FEATURES) -> str:
+    """A selection from ``scores`` (id, y, tr, p), the probabilities of boosted trees that weigh the classes and are trained on some of
+    the rows, and ``used`` (feature, gain), the features that split."""
+    parts, found = _grown_sql(p, p.trees, trained, True, features)
+    made = [f"scores AS (SELECT id, y, tr, 1 / (1 + exp(-m)) AS p FROM t{p.trees})", f"used AS (SELECT feature, sum(gain) AS gain FROM ({' UNION ALL '.join(found)}) WHERE feature IS NOT NULL GROUP BY feature)"]
+    return f"WITH {', '.join([*parts, *made])} {select}"
+
+
 def _tree_rows(spark, model: boosting.Booster):
     """A row per node of a model: splits with their gain, leaves with their value."""
     rows = []

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortspark.models import build, evaluate, explain, search
 from cohortspark.operators import metrics, quantiles, splits
 from cohortspark.operators.metrics import METRICS
+from cohortspark.plans.booster_queries import CUTS, scores_sql
 from cohortspark.plans.registry import query
 from cohortspark.plans.stand_ins import complete_subject, predictions, sql_hash, subject, with_tables
 from cohortspark.session import scratch_path
@@ -244,12 +245,24 @@ def top_features(spark, sf_dir):
     return table_.withColumn("chosen", F.lit(",".join(chosen)))
 
 
-@query()
+_ABLATION = {"one": FEATURES[:1], "two": FEATURES[:2], "four": FEATURES, "all": FEATURES}
+
+
+def _test_metrics_sql(features: list[str]) -> str:
+    """Metrics of the test rows of the split, of trees on some features, and how many of these split."""
+    inner = _metrics_sql("(SELECT y::INT AS y, p FROM scores WHERE NOT tr)", "0")
+    select = f"SELECT f.*, (SELECT count(*) FROM used WHERE gain > 0) AS n_used FROM (WITH {inner} SELECT * FROM f) f"
+    return scores_sql(build.booster_settings("XGBoost", SMALL), "id NOT IN (SELECT id FROM r JOIN q USING (label) WHERE rn <= quota)", select, features)
+
+
+@query(with_tables("complete_subject", _SPLIT_SQL + "".join(f", of_{name} AS ({_test_metrics_sql(features)})" for name, features in _ABLATION.items()) + " UNION ALL ".join(
+    f""" SELECT '{name}' AS feature_set, {len(features) + (name == "all")} AS n_features, TP, TN, FP, FN, {", ".join(f"round({m}, 3) AS {m}" for m in METRICS)},
+    round(n_used / {len(features)}, 3) AS cfr, n_used::INT AS contributing_features, {len(features)} AS features_considered FROM of_{name}""" for name, features in _ABLATION.items())))
 def feature_ablation(spark, sf_dir):
     """Four nested feature sets, the last with a column that never varies."""
     rows = complete_subject(spark, sf_dir).withColumn("constant", F.lit(1)).select("id", "label", "constant", *FEATURES)
-    sets = {"one": FEATURES[:1], "two": FEATURES[:2], "four": FEATURES, "all": [*FEATURES, "constant"]}
-    return evaluate.feature_ablation(rows, "id", "label", sets, "XGBoost", SMALL)
+    sets = _ABLATION | {"all": [*FEATURES, "constant"]}
+    return evaluate.feature_ablation(rows, "id", "label", sets, "XGBoost", SMALL, cuts=CUTS)
 
 
 @query()
@@ -267,20 +280,25 @@ def pooled_performance(spark, sf_dir):
     return evaluate.pooled_performance(rows, FEATURES, "id", "label", SMALL_PRESETS)[0]
 
 
-@query()
+@query(with_tables("complete_subject", scores_sql(build.booster_settings("XGBoost", SMALL), "sex <> 'P'",
+    "SELECT count(*) AS n, count(*) FILTER (p > 0.5) AS n_positive, round(avg((p > 0.5)::int), 6) AS prevalence, round(avg(p), 6) AS mean_p FROM scores WHERE NOT tr")))
 def predict_unlabelled(spark, sf_dir):
     """Train on two cohorts, save and load, label every row of the third; how many there are and how many are positive."""
     rows = complete_subject(spark, sf_dir).select("id", "sex", "label", *FEATURES)
-    model = build.fit_classifier(rows.where("sex <> 'P'"), FEATURES, "label", "CatBoost", SMALL)
+    model = build.fit_classifier(rows.where("sex <> 'P'"), FEATURES, "label", "XGBoost", SMALL, cuts=CUTS)
     loaded = writers.load_model(writers.save_model(model, scratch_path(spark, "model")))
     labelled = build.predict_labels(loaded, rows.where("sex = 'P'").drop("label"))
-    return labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("IR").alias("n_positive"), F.avg("IR").alias("prevalence"), F.avg("p").alias("mean_p"))
+    return labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("IR").alias("n_positive"), F.round(F.avg("IR"), 6).alias("prevalence"), F.round(F.avg("p"), 6).alias("mean_p"))
 
 
-@query()
+@query(with_tables("complete_subject", _SPLIT_SQL + f""", scored AS ({_test_metrics_sql(FEATURES)}),
+    sizes AS (SELECT count(*) FILTER (rn > quota) AS n_train, count(*) FILTER (rn <= quota) AS n_test FROM r JOIN q USING (label))
+    SELECT 'orders' AS training_data, {len(FEATURES)} AS n_features, n_train, n_test, '{json.dumps(SMALL)}' AS hyperparameters,
+    round(roc_auc, 3) AS roc_auc, round(sensitivity, 3) AS sensitivity, round(npv, 3) AS npv FROM scored, sizes"""))
 def model_manifest(spark, sf_dir):
+    """A model, saved, and its line in the list of models."""
     rows = complete_subject(spark, sf_dir).select("id", "label", *FEATURES)
-    run = build.train_classifier(rows, FEATURES, "id", "label", "CatBoost", SMALL)
+    run = build.train_classifier(rows, FEATURES, "id", "label", "XGBoost", SMALL, cuts=CUTS)
     path = writers.save_model(run.model, scratch_path(spark, "model"))
     scores = metrics.classification_metrics(run.predictions("id", "label"), "y", "p").first()
     entry = {
