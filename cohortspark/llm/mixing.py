@@ -121,13 +121,17 @@ def slots(goals: DataFrame, buckets: DataFrame, seed: int = 0, shard_slots: int
 
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // SLOTS_IN_TASK))
     every = spark.range(0, total, 1, tasks).select(F.col("id").alias("slot"), F.lit(total).cast("bigint").alias("total"), F.lit(seed).cast("bigint").alias("seed"))
-    dealt = permuted(every, "slot", "total", "seed", "ticket").withColumn("cell", F.expr(f"ticket div {CELL}"))
+    # No ticket, cell or block is null.  Where that cannot be seen, the joins' null filters are pushed below the
+    # permutations and repeat all of their terms, in code too long for the JVM to compile.
+    seen = lambda c: F.coalesce(c, F.lit(-1).cast("bigint"))
+    dealt = permuted(every, "slot", "total", "seed", "ticket").withColumn("ticket", seen(F.col("ticket")))
+    dealt = dealt.withColumn("cell", seen(F.expr(f"ticket div {CELL}")))
     owned = (F.col("ticket") >= F.col("first")) & (F.col("ticket") < F.col("end"))
     dealt = lookup_join(dealt, owners, ["cell"], "inner", condition=owned, heavy_rows=None)
     dealt = dealt.withColumn("j", F.col("ticket") - F.col("first")).withColumn("pass", F.expr("j div blocks")).withColumn("k", F.col("j") % F.col("blocks"))
     dealt = dealt.withColumn("own_key", (F.col("seed") + 1) * 1_000_003 + F.col("rank") * 7_919 + F.col("pass") * 104_729)
     mapped = permuted(dealt, "k", "blocks", "own_key", "block")
-    return mapped.select(F.expr(f"slot div {shard_slots}").alias("shard"), "slot", "rank", "pass", "block")
+    return mapped.select(F.expr(f"slot div {shard_slots}").alias("shard"), "slot", "rank", "pass", seen(F.col("block")).alias("block"))
 
 
 def pieces(docs: DataFrame, buckets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

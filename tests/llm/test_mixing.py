@@ -90,3 +90,15 @@ def test_very_many_empty_texts_of_one_source(spark):
     at, buckets = m.placed(m.described(docs.unionByName(empty)), m.targets(m.described(docs)))
     assert at.where("size = 0").agg(F.max("at"), F.max("bucket"), F.count(F.lit(1))).first()[:] == (0, 0, 100_000)
     assert buckets.agg(F.sum("blocks")).first()[0] == m.placed(m.described(docs), m.targets(m.described(docs)))[1].agg(F.sum("blocks")).first()[0]
+
+
+def test_permutations_are_not_repeated_in_filters(spark, data):
+    """Null filters of the joins once carried copies of both permutations: a method of 18 kB, never compiled."""
+    rows = m.described(spark.read.parquet(f"{data}/documents.parquet"))
+    goals = m.materialise(m.targets(rows))
+    _, buckets = m.placed(rows, goals)
+    dealt = m.slots(goals, buckets)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    for first, second in m.ROUNDS:
+        assert plan.count(f"* {first}") == plan.count(f"* {second}") == 2
+    assert dealt.where("slot IS NULL OR rank IS NULL OR block IS NULL OR block < 0").count() == 0
