@@ -156,3 +156,49 @@ def test_odd_tables(spark, frame):
     assert len(model.trees) == 1 and model.base == pytest.approx(0) and set(model.importance.values()) == {0.0}
     again = b.Booster.from_json(b.fit(frame, NAMES, "label", b.replace(DEEP, trees=1), cuts=CUTS).to_json())
     assert again.trees[0].threshold[0] in [c for cuts in CUTS for c in cuts] and again.settings.reg_alpha == 0.7
+
+
+@pytest.mark.parametrize("weight", ["w", "id"])
+def test_blocks_hold_every_row(frame, points, weight):
+    # Weights that are all different are kept one by one, few by a code.
+    table = b.blocks(frame, NAMES, "label", weight, "held", CUTS, 400, 30)
+    assert table.count() <= 2 * frame.rdd.getNumPartitions()
+    rows = b._Rows(table, b.Settings(bins=6), 3, 0.25)
+    got = sorted((bytes(r["x"]), r["y"], r["w"], r["held"], r["margin"], r["ordered"]) for r in rows.table.collect())
+    x, y, w = points
+    bins = [bytes(0 if math.isnan(v) else sum(c < v for c in cuts) + 1 for v, cuts in zip(row, CUTS)) for row in x]
+    assert got == sorted((bins[i], y[i], float(i) if weight == "id" else w[i], i % 4 == 0, 0.25, 0.25) for i in range(400))
+    rows.close()
+
+
+def test_a_path_ends_where_a_walk_does(points):
+    draw, tree, level = np.random.default_rng(3), b.Tree(), [0]
+    for _ in range(4):
+        f = int(draw.integers(3))
+        cut = int(draw.integers(len(CUTS[f]) + 1)) + 1
+        how = b.Split(1.0, f, cut, bool(draw.integers(2)), (0.0,) * 3, (0.0,) * 3)
+        level = [c for n in level for c in tree.split(n, how, [*CUTS[f], math.inf][cut - 1])]
+    assert tree.levels() == [0, 1, 3, 7]
+    x = points[0]
+    bins = np.array([[0 if math.isnan(v) else sum(c < v for c in cuts) + 1 for v, cuts in zip(row, CUTS)] for row in x], np.uint8)
+    expected = []
+    for row in x:
+        node = 0
+        while tree.left[node] >= 0:
+            v = row[tree.feature[node]]
+            node = (tree.left if (tree.missing_left[node] if math.isnan(v) else v <= tree.threshold[node]) else tree.right)[node]
+        expected.append(node)
+    assert tree.leaf_of(x, False).tolist() == tree.leaf_of(bins, True).tolist() == expected
+    tree.split(tree.left[7], b.Split(1.0, 0, 1, False, (0.0,) * 3, (0.0,) * 3), -1.0)  # no longer alike on all paths
+    assert tree.levels() is None
+
+
+@pytest.mark.parametrize("p", [DEEP, b.Settings(trees=2, depth=4, growth="symmetric", reg_lambda=2.0, min_child_weight=0.0, ordered=True)])
+def test_sums_added_by_tasks_are_those_of_the_driver(frame, monkeypatch, p):
+    one = b.fit(frame, NAMES, "label", p, "w", cuts=CUTS)
+    monkeypatch.setattr(b, "GATHER_BYTES", 0)
+    monkeypatch.setattr(b, "PART_BYTES", 64)
+    monkeypatch.setattr(b, "NODES_AT_ONCE", 1)
+    other = b.fit(frame, NAMES, "label", p, "w", cuts=CUTS)
+    for tree, again in zip(one.trees, other.trees):
+        assert (tree.feature, tree.cut) == (again.feature, again.cut) and tree.value == pytest.approx(again.value)

@@ -223,3 +223,20 @@ def test_rows_without_a_label_have_no_weight(spark):
     rows = spark.createDataFrame([(True,), (False,), (False,), (None,), (None,), (None,)], "label boolean")
     weighted = build.with_class_weight(rows, "label", "CatBoost").groupBy("label").agg(F.sum("weight").alias("w")).collect()
     assert {r["label"]: r["w"] for r in weighted} == {True: 1.5, False: 1.5}
+
+
+def test_a_search_computes_its_table_once_and_packs_every_fold_once(spark, cohort, monkeypatch):
+    from cohortspark.models import boosting
+
+    seen, packed, prepare = spark.sparkContext.accumulator(0), [], boosting.prepare
+    rows = cohort.select("id", "label", *FEATURES)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(boosting, "prepare", lambda *a, **k: packed.append(1) or prepare(*a, **k))
+    table = rows.mapInArrow(counted, rows.schema)
+    scores = search.search_parameters(table, FEATURES, "id", "label", "CatBoost", n_random=2, n_guided=1, folds=2, max_trees=2)[1]
+    assert scores.count() == 3 and seen.value == rows.count() and len(packed) == 2
