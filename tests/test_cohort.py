@@ -326,3 +326,17 @@ def test_generated_names_in_lower_case():
 def test_a_missing_label_has_no_sign(spark):
     shown = spark.createDataFrame([(True,), (False,), (None,)], "l boolean").select(text.signed_label(F.col("l"))).collect()
     assert [r[0] for r in shown] == ["IR+", "IR-", None]
+
+
+@pytest.mark.parametrize("names", [["1", "007", "3", "12"], ["1", "2", "9876543210", "4"], ["1", "02", "s3", "a b[1],c%d"]])
+def test_many_samples_are_written_and_read_in_batches(spark, tmp_path, names):
+    rows = spark.createDataFrame([(f"cg{i}", i / 10 + k, n) for k, n in enumerate(names) for i in range(3)], "TargetID string, AVG_Beta double, MET_ID string")
+    for folder in ("flat", "groups"):
+        save = lambda df, to: writers.write_parquet(df, to, ["MET_ID"])
+        path = writers.write_folders(rows, str(tmp_path / folder), "MET_ID", save, at_once=1 if folder == "groups" else None)
+        assert (tmp_path / folder / "MET_ID=1").exists() == (folder == "flat") and len(list((tmp_path / folder).glob("**/MET_ID=*"))) == 4
+        whole, batches = readers.read_samples(spark, str(tmp_path / "flat")), readers.read_samples(spark, path, at_once=1)
+        assert batches.schema == whole.schema and sorted(map(tuple, batches.collect())) == sorted(map(tuple, whole.collect()))
+        assert len(list(readers.folder_batches(spark, path, 1))) == 4
+        # A batch keeps no record of the others' files: the result reads the kept copy alone.
+        assert not any(str(tmp_path) in f for f in batches.inputFiles())
