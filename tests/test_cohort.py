@@ -340,3 +340,17 @@ def test_many_samples_are_written_and_read_in_batches(spark, tmp_path, names):
         assert len(list(readers.folder_batches(spark, path, 1))) == 4
         # A batch keeps no record of the others' files: the result reads the kept copy alone.
         assert not any(str(tmp_path) in f for f in batches.inputFiles())
+
+
+def test_text_samples_are_read_in_batches(spark, tmp_path):
+    for k in range(5):
+        folder = tmp_path / "MET" / f"s{k}"
+        folder.mkdir(parents=True)
+        (folder / f"s{k}_nor.txt").write_text(f"TargetID\tAVG_Beta\tDetection Pval\ncg1\t0.{k}\t0\ncg2\t0.5\t0.4\n")
+    whole = readers.read_sample_readings(spark, str(tmp_path / "MET"))
+    batches = readers.read_sample_readings(spark, str(tmp_path / "MET"), at_once=2)
+    assert sorted(map(tuple, batches.collect())) == sorted(map(tuple, whole.collect())) and batches.count() == 5
+    assert not any(str(tmp_path) in f for f in batches.inputFiles())
+    (tmp_path / "MET" / "s4" / "s4_nor.txt").write_text("TargetID\tAVG_Beta\ncg1\t0.5\n")
+    with pytest.raises(ValueError, match="Detection Pval"):
+        readers.read_sample_readings(spark, str(tmp_path / "MET"), at_once=2)
